@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, preference, quality, sharding
+from . import byte_bpe, langid, mixing, preference, quality, sharding, token_counts
 from .common import table
 
 
@@ -13,6 +14,22 @@ def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.divergence_rules(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
+def op3_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(docs, langid.learn(docs))
+    return out.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op4_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
+
+
+def op5_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), path, pattern)
+    return byte_bpe.digests(byte_bpe.decode(encoded, path, pattern))
+
+
 def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", F.get("positions", F.lit(0)).alias("first_position"))
 
@@ -29,7 +46,7 @@ def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("pair_id", "prefix_turns", "prompt", "chosen", "rejected", "identical", learned("chosen_segments").alias("chosen_learned_chars"), learned("rejected_segments").alias("rejected_learned_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op7_curriculum_mix, op8_stratified_interleave, op9_preference_format)}
+QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op3_cross_parsing, op4_transducer_counts, op5_rank_queue_bpe, op7_curriculum_mix, op8_stratified_interleave, op9_preference_format)}
 
 
 
