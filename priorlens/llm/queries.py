@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, langid, mixing, preference, quality, sharding, token_counts
+from . import byte_bpe, kdtree, langid, mixing, preference, quality, sharding, token_counts
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.divergence_rules(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
+def op2_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top_k(table(spark, sf_dir, "embeddings"), 20, 64.0, 20)
+
+
 def op3_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.identify(docs, langid.learn(docs))
@@ -46,7 +50,7 @@ def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("pair_id", "prefix_turns", "prompt", "chosen", "rejected", "identical", learned("chosen_segments").alias("chosen_learned_chars"), learned("rejected_segments").alias("rejected_learned_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op3_cross_parsing, op4_transducer_counts, op5_rank_queue_bpe, op7_curriculum_mix, op8_stratified_interleave, op9_preference_format)}
+QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op2_kdtree_topk, op3_cross_parsing, op4_transducer_counts, op5_rank_queue_bpe, op7_curriculum_mix, op8_stratified_interleave, op9_preference_format)}
 
 
 
@@ -95,6 +99,16 @@ select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as
   not (n_words < 50 or 100 * n_repeat > 50 * n_words)
     and not ((length(t) >= {quality.MIN_CHARS} and dc > {quality.MAX_CLASS_DISTANCE}) or (n_words >= {quality.MIN_WORDS} and dw > {quality.MAX_WORD_DISTANCE})) as kept
 from z""",
+    "op2_kdtree_topk": """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
+  from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id
+), r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20""",
     "op9_preference_format": """
 with t as (
   select conv_id, list_sort(list({'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')})) as turns
