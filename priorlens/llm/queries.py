@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, kdtree, langid, mixing, preference, quality, sharding, token_counts
+from . import byte_bpe, kdtree, langid, minhash, mixing, preference, quality, sharding, token_counts
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op5_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(encoded, path, pattern))
 
 
+def op6_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", F.get("positions", F.lit(0)).alias("first_position"))
 
@@ -50,7 +54,7 @@ def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("pair_id", "prefix_turns", "prompt", "chosen", "rejected", "identical", learned("chosen_segments").alias("chosen_learned_chars"), learned("rejected_segments").alias("rejected_learned_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op2_kdtree_topk, op3_cross_parsing, op4_transducer_counts, op5_rank_queue_bpe, op7_curriculum_mix, op8_stratified_interleave, op9_preference_format)}
+QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op2_kdtree_topk, op3_cross_parsing, op4_transducer_counts, op5_rank_queue_bpe, op6_minhash_components, op7_curriculum_mix, op8_stratified_interleave, op9_preference_format)}
 
 
 
