@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, kdtree, langid, minhash, mixing, preference, quality, sharding, token_counts
+from . import bitplane, byte_bpe, kdtree, langid, minhash, mixing, preference, quality, sharding, token_counts
 from .common import table
 
 
@@ -54,7 +54,13 @@ def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("pair_id", "prefix_turns", "prompt", "chosen", "rejected", "identical", learned("chosen_segments").alias("chosen_learned_chars"), learned("rejected_segments").alias("rejected_learned_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op2_kdtree_topk, op3_cross_parsing, op4_transducer_counts, op5_rank_queue_bpe, op6_minhash_components, op7_curriculum_mix, op8_stratified_interleave, op9_preference_format)}
+def op10_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = bitplane.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    out = bitplane.read_ids(manifest)
+    return out.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op2_kdtree_topk, op3_cross_parsing, op4_transducer_counts, op5_rank_queue_bpe, op6_minhash_components, op7_curriculum_mix, op8_stratified_interleave, op9_preference_format, op10_bitplane_ids)}
 
 
 
