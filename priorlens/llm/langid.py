@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_maps import mapped
+from .arrow_maps import mapped, slices
 from .byte_bpe import _schema
 from .common import pick
 
@@ -194,3 +194,19 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], *, id_col="doc_id",
     kind = rows.schema["doc_id"].dataType
     schema = _schema(kind, lang_pred=pa.string(), score=pa.float64(), phrase_rate=pa.float64())
     return rows.mapInArrow(mapped(make, "text", schema, ["doc_id"]), f"doc_id {kind.simpleString()}, lang_pred string, score double, phrase_rate double")
+
+
+def keep_identified(docs: DataFrame, samples: dict[str, list[str]], *, text_col="text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text has a language (is not ``und``)."""
+
+    def run(batches):
+        key = hash(tuple((k, *v) for k, v in sorted(samples.items())))
+        if key not in _cached:
+            _cached.clear()
+            _cached[key] = Parser(samples)
+        for batch in batches:
+            for part in slices(batch, text_col):
+                pred, _, _ = _cached[key].predict(part.column(text_col).to_pylist())
+                yield part.filter(pa.array([x != "und" for x in pred], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_maps import mapped
-from .byte_bpe import _schema
 from .common import drop_stored, pick, stored
 
 WORDS, THRESHOLD = 5, 85
@@ -72,8 +71,8 @@ def signature(x: np.ndarray) -> bytes:
     return ((low >> np.uint64(16)) & np.uint64(0xFFFF)).astype("<u2").tobytes()
 
 
-def features(docs: DataFrame, *, id_col="doc_id", text_col="text", words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, key (of the whole set; null if empty), sig."""
+def features(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
+    """docs: doc_id, text, text_hash. Returns doc_id, text_hash, n_shingles, key (of the whole set; null if empty), sig."""
 
     def make():
         from xxhash import xxh3_128_digest
@@ -89,10 +88,8 @@ def features(docs: DataFrame, *, id_col="doc_id", text_col="text", words: int =
 
         return f
 
-    rows = pick(docs, doc_id=id_col, text=text_col)
-    kind = rows.schema["doc_id"].dataType
-    schema = _schema(kind, n_shingles=pa.int64(), key=pa.binary(), sig=pa.binary())
-    return rows.mapInArrow(mapped(make, "text", schema, ["doc_id"]), f"doc_id {kind.simpleString()}, n_shingles long, key binary, sig binary")
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("sig", pa.binary())])
+    return docs.mapInArrow(mapped(make, "text", schema, ["doc_id", "text_hash"]), "doc_id long, text_hash long, n_shingles long, key binary, sig binary")
 
 
 def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -101,7 +98,7 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def make():
         return lambda texts: {"set": [shingles(x, words).tobytes() for x in texts]}
 
-    schema = _schema(docs.schema["doc_id"].dataType, set=pa.binary())
+    schema = pa.schema([("doc_id", pa.int64()), ("set", pa.binary())])
     return docs.mapInArrow(mapped(make, "text", schema, ["doc_id"]), "doc_id long, set binary").withColumnRenamed("doc_id", "id")
 
 
@@ -213,9 +210,9 @@ def _missed(reps: DataFrame, comps: DataFrame, tested: DataFrame, full_of, thres
     return pairs, dealt.select("bucket", "band", "i", "j", "block", "id", "component")
 
 
-def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
-    rows = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", threshold: int = THRESHOLD, words: int = WORDS, with_hash: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept; with_hash: also text_hash (xxhash64 of the text, to find rows by)."""
+    rows = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_hash", F.xxhash64("text"))
     feats = stored(features(rows, words=words), "features")
     reps = stored(feats.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig")), "classes")
     named = reps.where("id is not null").select("id", "n", "sig")
@@ -226,7 +223,7 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", thresh
     def full_sets(ids: DataFrame) -> DataFrame:
         ids = stored(ids.distinct(), "ids")
         own = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
-        return stored(sets(rows.join(own.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), words), "sets")
+        return stored(sets(rows.join(own.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text"), words), "sets")
 
     full = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")))
     links = stored(confirmed(pairs, named, full, threshold), "links")
@@ -239,5 +236,5 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", thresh
     if not more.isEmpty():
         comps = stored(components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
     of = reps.select("key", "id").join(comps, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
-    out = feats.join(of, "key", "left").select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = feats.join(of, "key", "left").select("doc_id", *["text_hash"] * with_hash, "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
