@@ -88,11 +88,14 @@ class Parser:
                 if len(sample) >= SAMPLE_SYMBOLS:
                     break
             step = suffix_automaton(sample[:SAMPLE_SYMBOLS])
-            # a missing transition ends the phrase: go on from the root, marked by a negative number
-            root = np.zeros(self.size, np.int32)
+            # a missing transition ends the phrase: go on from the root, marked by a negative number; a symbol that the
+            # sample lacks is a phrase alone, after which comes a state that any symbol leaves by a new phrase
+            alone = len(step)
+            root = np.full(self.size, alone, np.int32)
             for c, q in step[0].items():
                 root[c] = q
-            table = np.tile(-1 - root, (len(step), 1))
+            table = np.tile(-1 - root, (len(step) + 1, 1))
+            table[0] = root
             for p, out in enumerate(step):
                 for c, q in out.items():
                     table[p, c] = q
