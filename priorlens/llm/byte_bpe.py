@@ -3,7 +3,8 @@
 A pre-token's bytes form a linked list. Every neighbouring pair that is a token is queued in the bucket of its merge rank;
 a two-level bitmap over the ranks finds the lowest bucket in use by find-first-set, and the bucket gives its leftmost
 position. An entry whose pair has changed since is stale and skipped. A merge touches two pairs only, so a pre-token of n
-bytes takes n log n steps and not n squared.
+bytes takes n log n steps and not n squared. Many pre-tokens share one queue, which spreads the cost of a look at the
+bitmap over all places in a bucket.
 
 Null text counts as empty and gives no ids. Repeated rows each get a row; only id and text are read. A text is encoded in
 blocks of pre-tokens, and the table of known pre-tokens is bounded, so memory doesn't grow with text or vocabulary.
@@ -24,7 +25,7 @@ from .arrow_maps import mapped
 from .common import pick
 
 #: Known pre-tokens kept per worker; the table is emptied when full.
-KNOWN = 400_000
+KNOWN = 1_000_000
 BLOCK = 1 << 16
 
 _cached: dict[tuple, ByteBPE] = {}
@@ -45,23 +46,27 @@ class ByteBPE:
             _cached[path, pattern] = cls(path, pattern)
         return _cached[path, pattern]
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        rank = self.ranks
-        whole = rank.get(piece)
-        if whole is not None:
-            return [whole]
-        n = len(piece)
-        text = [piece[i : i + 1] for i in range(n)]
+    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of pre-tokens, which share one queue: no pair spans two of them, so none of them sees the others."""
+        rank = self.ranks.get
+        data = b"".join(pieces)
+        n = len(data)
+        text = [data[i : i + 1] for i in range(n)]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queued = [-1] * n  # rank of the pair that begins here
+        # rank of the pair that begins at each place, -1 for none
+        queued = [rank(data[i : i + 2], -1) for i in range(n)]
+        firsts, end = [], 0
+        for piece in pieces:
+            firsts.append(end)
+            before[end] = -1
+            end += len(piece)
+            after[end - 1] = n
+            queued[end - 1] = -1
         buckets: dict[int, list[int]] = {}
         words: dict[int, int] = {}
         top = 0
-        for i in range(n - 1):
-            r = rank.get(piece[i : i + 2])
-            if r is not None:
-                queued[i] = r
+        for i, r in enumerate(queued):
+            if r >= 0:
                 if r in buckets:
                     buckets[r].append(i)
                 else:
@@ -70,42 +75,82 @@ class ByteBPE:
                     words[w] = words.get(w, 0) | 1 << (r & 255)
                     top |= 1 << w
         while top:
-            w = (top & -top).bit_length() - 1
+            low = top & -top
+            w = low.bit_length() - 1
             bits = words[w]
-            r = w << 8 | ((bits & -bits).bit_length() - 1)
+            bit = bits & -bits
+            r = w << 8 | bit.bit_length() - 1
             places = buckets[r]
-            i = heappop(places)
+            least = r
+            while places and least >= r:
+                i = heappop(places)
+                if queued[i] != r:  # stale
+                    continue
+                j = after[i]
+                k = after[i] = after[j]
+                text[i] = merged = text[i] + text[j]
+                queued[j] = queued[i] = -1
+                h = before[i]
+                if h >= 0:
+                    x = queued[h] = rank(text[h] + merged, -1)
+                    if x >= 0:
+                        if x in buckets:
+                            heappush(buckets[x], h)
+                        else:
+                            buckets[x] = [h]
+                            w = x >> 8
+                            words[w] = words.get(w, 0) | 1 << (x & 255)
+                            top |= 1 << w
+                        if x < least:
+                            least = x
+                if k < n:
+                    before[k] = i
+                    x = queued[i] = rank(merged + text[k], -1)
+                    if x >= 0:
+                        if x in buckets:
+                            heappush(buckets[x], i)
+                        else:
+                            buckets[x] = [i]
+                            w = x >> 8
+                            words[w] = words.get(w, 0) | 1 << (x & 255)
+                            top |= 1 << w
+                        if x < least:
+                            least = x
             if not places:
                 del buckets[r]
-                words[w] = bits = bits & (bits - 1)
-                if not bits:
-                    top &= top - 1
-            if queued[i] != r:
+                w = r >> 8
+                words[w] ^= 1 << (r & 255)
+                if not words[w]:
+                    top ^= 1 << w
+        out = []
+        for i in firsts:
+            ids = []
+            while i < n:
+                ids.append(rank(text[i]))
+                i = after[i]
+            out.append(ids)
+        return out
+
+    def learn(self, pieces: list[str]) -> None:
+        """Take pre-tokens into the table of known ones."""
+        rank, known = self.ranks.get, self.known
+        some, size = [], 0
+        for p in pieces:
+            b = p.encode()
+            if (whole := rank(b)) is not None:
+                known[p] = whole.to_bytes(4, "little")
                 continue
-            j = after[i]
-            k = after[j]
-            text[i] += text[j]
-            text[j] = b""
-            after[i] = k
-            queued[j] = -1
-            if k < n:
-                before[k] = i
-            for a, b in ((before[i], i), (i, k)):
-                if a < 0 or b >= n:
-                    if a == i:
-                        queued[i] = -1
-                    continue
-                r = rank.get(text[a] + text[b], -1)
-                queued[a] = r
-                if r >= 0:
-                    if r in buckets:
-                        heappush(buckets[r], a)
-                    else:
-                        buckets[r] = [a]
-                        w = r >> 8
-                        words[w] = words.get(w, 0) | 1 << (r & 255)
-                        top |= 1 << w
-        return [rank[t] for t in text if t]
+            some.append((p, b))
+            size += len(b)
+            if size > BLOCK:
+                self._learn(some)
+                some, size = [], 0
+        if some:
+            self._learn(some)
+
+    def _learn(self, some: list[tuple[str, bytes]]) -> None:
+        for (p, _), ids in zip(some, self.merge([b for _, b in some]), strict=True):
+            self.known[p] = b"".join([i.to_bytes(4, "little") for i in ids])
 
     def pack(self, pieces: list[str]) -> bytes:
         """Ids of pre-tokens as little-endian unsigned 32-bit integers."""
@@ -118,10 +163,22 @@ class ByteBPE:
         if len(known) + len(new) > KNOWN:
             known.clear()
             new = set(pieces)
-        for p in new:
-            known[p] = b"".join([i.to_bytes(4, "little") for i in self.merge(p.encode())])
+        self.learn(list(new))
         return b"".join([known[p] for p in pieces])
 
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """As ``encode`` for each text; what is new in all of them goes through one queue."""
+        found = [self.pattern.findall(x) if x and len(x) <= 8 * BLOCK else None for x in texts]
+        every = set().union(*filter(None, found))
+        new = [p for p in every if p not in self.known]
+        if len(self.known) + len(new) > KNOWN:
+            self.known.clear()
+            new = list(every)
+        self.learn(new)
+        known = self.known
+        packed = [None if x is None else b"".join([known[p] for p in x]) for x in found]
+        return [self.encode(x) if p is None else p for x, p in zip(texts, packed, strict=True)]
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -141,7 +198,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col="doc_id", text_co
 
     def make():
         bpe = ByteBPE.load(path, pattern)
-        return lambda texts: {"ids": list(map(bpe.encode, texts))}
+        return lambda texts: {"ids": bpe.encode_all(texts)}
 
     rows = pick(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType
