@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
 ROWS, BYTES = 256, 4 << 20
 
+_resident: list[tuple[object, object]] = []
+
+
+def resident(key: object, make: Callable[[], object]) -> object:
+    """A model kept in the worker process under a key. Workers outlive tasks and serve any stage, so only the last model is
+    kept: the tables of an earlier stage go before those of the next are built."""
+    if not _resident or _resident[0][0] != key:
+        if _resident:
+            _resident.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _resident.append((key, make()))
+    return _resident[0][1]
+
 
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Slices of at most ROWS rows and, but for single larger rows, about BYTES bytes of ``column``."""

@@ -24,16 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_maps import mapped
+from .arrow_maps import mapped, resident
 from .byte_bpe import _schema
 from .common import pick
 
 SPACE = "▁"
 CHUNK = 1 << 16
 #: Compiled transitions and known units kept per worker; each table is emptied when full.
-TRANSITIONS, UNITS = 1_000_000, 300_000
-
-_cached: dict[str, Transducer] = {}
+TRANSITIONS, UNITS = 500_000, 200_000
 
 
 class Transducer:
@@ -212,9 +210,7 @@ class Counter:
 
     @classmethod
     def load(cls, path: str) -> Counter:
-        if path not in _cached:
-            _cached[path] = cls(path)
-        return _cached[path]
+        return resident(path, lambda: cls(path))
 
     def count(self, text: str | None, chunk: int = CHUNK) -> int:
         if not text:
