@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -29,47 +30,129 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_maps import mapped
+from .arrow_maps import mapped, resident
 from .byte_bpe import _schema
 from .common import pick, shared_path, stored
 
 BLOCK = 1 << 16
 MARK = b"BITPLANE"
-KNOWN = 300_000
-
-_cached: dict[str, Encoder] = {}
+KNOWN = 600_000
 
 
 class Encoder:
-    """A tokenizers file over whole texts. None of its steps look across white space, so each stretch between blanks and
-    line ends is encoded by the library once and kept in a bounded table."""
+    """A tokenizers file over whole texts.
+
+    Texts of ASCII signs and plain Latin letters only are lower-cased and cut at the file's own pattern by Arrow; each
+    distinct piece goes through the library once, many at a time (a piece ends where a token with the end-of-word mark
+    does), and its ids are kept in a bounded table and gathered by index. All other texts go through the library whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        spec = json.loads(self.model.to_str())
+        vocab = self.model.get_vocab()
+        mark = spec["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        if mark:
+            self.ends[[i for t, i in vocab.items() if t.endswith(mark)]] = True
+        split = spec.get("pre_tokenizer") or {}
+        split = next((x for x in split.get("pretokenizers", [split]) if x.get("type") == "Split"), {})
+        # the short cut below is this pattern's; with any other one all texts go through the library whole
+        self.cut = bool(mark) and split.get("invert") and split.get("behavior") == "Removed" and split["pattern"].get("Regex") == _PATTERN and "Lowercase" in json.dumps(spec.get("normalizer"))
+        signs = "".join(re.escape(c) for c in map(chr, range(0x21, 0x7F)) if c not in {t["content"][:1] for t in spec.get("added_tokens", [])})
+        self.plain = f"^[ \\n\\t\\r{signs}{_LATIN}]*$"
+        self.pieces: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str) -> Encoder:
-        if path not in _cached:
-            _cached[path] = cls(path)
-        return _cached[path]
+        return resident(path, lambda: cls(path))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers."""
-        parts = [(x or "").replace("\n", " ").split(" ") for x in texts]
-        known = self.known
-        new = list({p for x in parts for p in x if p not in known})
-        if len(known) + len(new) > KNOWN:
-            known.clear()
-            new = list({p for x in parts for p in x})
+    def _library(self, some: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch(some, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
-            for p, e in zip(some, self.model.encode_batch(some, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[p] for p in x]) for x in parts]
+            ids = np.array(self.model.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) == len(some):
+                raw, at = ids.tobytes(), [0, *(4 * at).tolist()]
+                self.pieces.update(zip(some, [raw[a:z] for a, z in zip(at, at[1:], strict=False)], strict=True))
+            else:
+                self.pieces.update(zip(some, self._library(some), strict=True))
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """Ids as little-endian unsigned 32-bit integers."""
+        import pyarrow.compute as pc
+
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not self.cut:
+            return self._library(column.to_pylist())
+        plain = pc.match_substring_regex(column, self.plain)
+        words, bounds = _pieces(pc.utf8_lower(pc.if_else(plain, column, "")))
+        words = words.dictionary_encode()
+        every, index, pieces = words.dictionary.to_pylist(), words.indices.to_numpy(), self.pieces
+        new = [p for p in every if p not in pieces]
+        if len(pieces) + len(new) > KNOWN:
+            pieces.clear()
+            new = every
+        self._learn(new)
+        packed = [pieces[p] for p in every]
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        start = np.cumsum(size) - size
+        n = size[index]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        ids = np.frombuffer(b"".join(packed), "<u4")[np.repeat(start[index] - upto[:-1], n) + np.arange(upto[-1])]
+        at = upto[bounds].tolist()
+        out = [ids[a:z].tobytes() for a, z in zip(at, at[1:], strict=False)]
+        if rest := np.flatnonzero(~plain.to_numpy(zero_copy_only=False)).tolist():
+            for i, x in zip(rest, self._library(column.take(pa.array(rest)).to_pylist()), strict=True):
+                out[i] = x
+        return out
+
+
+#: Letters that no normal form changes, but for case.
+_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e"
+# Fixed value: the pattern that ``_pieces`` follows.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[9, 10, 13, 32]] = _SPACE
+_CLASS[[*range(97, 123), *range(128, 256)]] = _LETTER  # beyond ASCII, plain texts have letters only
+_CLASS[48:58] = _DIGIT
+
+
+def _pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-cased plain texts cut at the pattern, all at once: the pieces, and the first piece of each text. A piece is a
+    run of letters or of other signs, or one digit; an apostrophe that stands alone takes its ending along."""
+    size = texts.offset, texts.offset + len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[size[0] : size[1] + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    starts, n = offsets - offsets[0], len(data)
+    if not n:
+        return pa.array([], pa.string()), np.zeros(len(starts), np.int64)
+    kind = _CLASS[data]
+    first = np.ones(n, bool)
+    first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    begins = np.zeros(n + 3, bool)
+    begins[starts] = True
+    first |= begins[:n]
+    if len(q := np.flatnonzero((data == 39) & first)):
+        padded = np.concatenate((data, np.zeros(3, np.uint8)))
+        a, b = np.where(begins[q + 1], 0, padded[q + 1]), np.where(begins[q + 1] | begins[q + 2], 0, padded[q + 2])
+        short = np.isin(a, np.frombuffer(b"stmd", np.uint8))
+        long = ((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))
+        ends = np.concatenate((q[short] + 2, q[long] + 3))
+        first[q[short | long] + 1] = False
+        first[ends[ends < n]] = True
+    keep = kind != _SPACE
+    at = np.flatnonzero(first & keep)
+    place = np.cumsum(keep)
+    borders = np.append(place[at] - 1, place[-1]).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(at), pa.py_buffer(borders), pa.py_buffer(data[keep]))
+    return words, np.searchsorted(at, starts)
 
 
 def encode(docs: DataFrame, path: str, end_id: int, *, id_col="doc_id", text_col="text") -> DataFrame:
@@ -85,22 +168,26 @@ def encode(docs: DataFrame, path: str, end_id: int, *, id_col="doc_id", text_col
 
 
 def planes(ids: np.ndarray, bits: bool) -> list[bytes]:
-    """The transpose of a block: 32 bit planes or 4 byte planes."""
-    raw = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
+    """The transpose of a block: 32 bit planes or 4 byte planes; empty where no bit is set."""
+    any_bit = int(np.bitwise_or.reduce(ids)) if len(ids) else 0
     if not bits:
-        return [raw[:, k].tobytes() for k in range(4)]
-    return [p.tobytes() for k in range(4) for p in np.packbits(np.unpackbits(raw[:, k : k + 1], axis=1, bitorder="little").T, axis=1)]
+        raw = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
+        return [raw[:, k].tobytes() if any_bit >> 8 * k & 255 else b"" for k in range(4)]
+    return [np.packbits((ids >> np.uint32(k)).astype(np.uint8) & np.uint8(1)).tobytes() if any_bit >> k & 1 else b"" for k in range(32)]
 
 
 def unplanes(parts: list[bytes], n: int, bits: bool) -> np.ndarray:
-    raw = np.zeros((n, 4), np.uint8)
+    if not bits:
+        raw = np.zeros((n, 4), np.uint8)
+        for k, p in enumerate(parts):
+            if p:
+                raw[:, k] = np.frombuffer(p, np.uint8)
+        return raw.reshape(-1).view("<u4")
+    out = np.zeros(n, "<u4")
     for k, p in enumerate(parts):
         if p:
-            if bits:
-                raw[:, k // 8] |= np.unpackbits(np.frombuffer(p, np.uint8), count=n) << np.uint8(k % 8)
-            else:
-                raw[:, k] = np.frombuffer(p, np.uint8)
-    return raw.reshape(-1).view("<u4")
+            out |= np.unpackbits(np.frombuffer(p, np.uint8), count=n).astype("<u4") << np.uint32(k)
+    return out
 
 
 def open_fs(path: str):
@@ -139,7 +226,7 @@ class Writer:
     def _flush(self, ids: np.ndarray) -> None:
         sizes, start = [], self.at
         for p in planes(ids, self.bits):
-            z = self.zip.compress(p) if any(p) else b""
+            z = self.zip.compress(p) if p else b""
             self.out.write(z)
             sizes.append(len(z))
             self.at += len(z)
