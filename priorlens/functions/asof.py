@@ -89,4 +89,5 @@ def publication_errors(c: Column, as_of: Column) -> Column:
         when = F.coalesce(d["published_at"], d["published_date"], F.when(d["availability_basis"] == "observed_conservative", d["observed_at"]))
         return F.concat(F.lit("dependency:"), single(when))
 
-    return F.when(as_of.isNull(), F.expr("cast(array() as array<string>)")).otherwise(F.concat(F.array_compact(F.array(own)), F.array_compact(F.transform(F.coalesce(c["availability_dependencies"], F.expr("cast(array() as array<struct<published_at:string,published_date:string,observed_at:string,use_policy:string,availability_basis:string>>)")), dependency))))
+    none = F.expr("cast(array() as array<string>)")
+    return F.when(as_of.isNull(), none).otherwise(F.concat(F.array_compact(F.array(own)), F.coalesce(F.array_compact(F.transform(c["availability_dependencies"], dependency)), none)))

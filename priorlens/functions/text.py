@@ -7,6 +7,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +21,7 @@ SIGNALS = {
     "number_unit": r"\d[\d,]*(?:\.\d+)?\s*(?:%|percent|million|billion|조|억|만|천|원|달러|USD|KRW)",
     "period": r"(?:19|20)\d{2}(?:\s*년)?|[1-4]\s*분기|Q[1-4]",
     "attribution": r"(?:said|according to|announced|reported|밝혔다|말했다|전했다|설명했다)",
-    "negation": r"(?:\bnot\b|\bno\b|\bnever\b|않|없|아니)",
+    "negation": r"(?:(?:^|[^\p{L}])(?:not|no|never)(?:[^\p{L}]|$)|않|없|아니)",
 }
 
 
@@ -33,7 +34,7 @@ def nonwhite_length(x: Column) -> Column:
     return F.length(F.regexp_replace(x, r"(?U)\s+", ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(x: pd.Series) -> pd.Series:
     """Spark has no NFKC of its own."""
     return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
@@ -45,10 +46,13 @@ def normal_form(x: Column) -> Column:
 
 
 def grams(x: Column, n: int = 3) -> Column:
-    """The set of character n-grams, sorted; a shorter text has none."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(x) - (n - 1), F.lit(1)))
-    none = F.expr("cast(array() as array<string>)")
-    return F.when(x.isNull(), F.lit(None)).when(F.length(x) < n, none).otherwise(F.array_sort(F.array_distinct(F.transform(at, lambda i: F.substring(x, i, F.lit(n))))))
+    """The set of character n-grams, sorted; a shorter text has none. Characters are split once and shifted copies zipped:
+    a substring by place would walk the text from its start each time."""
+    chars = F.split(x, "")
+    out = chars
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(chars, k + 1, F.greatest(F.size(chars), F.lit(0))), lambda a, b: F.concat(a, b))
+    return F.array_sort(F.array_distinct(F.filter(out, lambda g: F.length(g) == n)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -110,7 +114,7 @@ def signals(x):
         return None
     out, held = [], []
     for kind in ("quote", "number_unit", "period", "attribution", "negation", "number"):
-        for m in re.finditer(SIGNALS[kind], x):
+        for m in regex.finditer(SIGNALS[kind], x):
             a, z = m.span()
             if kind == "number" and any(s < z and a < e for s, e in held):
                 continue
@@ -140,7 +144,7 @@ def collapse_with_map(x, origin):
     return "".join(text), where
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks of two texts."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)])

@@ -104,7 +104,7 @@ def diverse_queue(items: DataFrame, k: int = 20, *, key="record_id", family="fam
         return pd.DataFrame(out, columns=[key, "position"])
 
     kind = items.schema[key].dataType.simpleString()
-    return best.groupBy(F.lit(1)).applyInPandas(choose, f"{key} {kind}, position int")
+    return best.groupBy().applyInPandas(choose, f"{key} {kind}, position int")
 
 
 def round_robin(df: DataFrame, group: str, order: list[Column | str], limit: int) -> DataFrame:
