@@ -176,4 +176,4 @@ def quantity(x: Column) -> Column:
 
 def refs(x: Column) -> Column:
     """References split at ; or |, empty ones dropped."""
-    return F.filter(F.transform(F.split(x, r"[;|]"), F.trim), lambda r: r != "")
+    return F.filter(F.transform(F.split(x, r"[;|]"), lambda r: F.trim(r)), lambda r: r != "")

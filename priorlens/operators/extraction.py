@@ -98,6 +98,6 @@ def batch_checks(results: DataFrame, inputs: DataFrame) -> DataFrame:
     """One row of booleans: every input has one terminal row, only predicted ones have a claim, the rest a reason."""
     n = results.groupBy("input_id").agg(F.count(F.lit(1)).alias("n"))
     j = inputs.select("input_id").distinct().withColumn("_in", F.lit(True)).join(n, "input_id", "full_outer")
-    conserved = j.agg(F.bool_and(F.col("_in").isNotNull() & (F.col("n") == 1)).alias("one_terminal_row_per_input"))
+    conserved = j.agg(F.bool_and(F.col("_in").isNotNull() & F.coalesce(F.col("n") == 1, F.lit(False))).alias("one_terminal_row_per_input"))
     own = results.agg(F.bool_and((F.col("status") == "predicted") == F.col("prediction_id").isNotNull()).alias("claims_only_if_predicted"), F.bool_and((F.col("status") == "predicted") == (F.size("reasons") == 0)).alias("reasons_if_not_predicted"), (F.count("prediction_id") == F.count_distinct("prediction_id")).alias("prediction_ids_unique"))
     return own.join(F.broadcast(conserved), F.lit(True))

@@ -76,7 +76,7 @@ def card_checks(built: DataFrame, ids: DataFrame) -> DataFrame:
     exploded = built.select("card_id", F.explode("candidate_refs").alias("record_id"))
     placed = exploded.groupBy("record_id").agg(F.count(F.lit(1)).alias("n"))
     joined = placed.join(ids.select("record_id").distinct().withColumn("_in", F.lit(True)), "record_id", "full_outer")
-    once = joined.agg(F.coalesce(F.bool_and((F.col("n") == 1) & F.col("_in").isNotNull()), F.lit(True)).alias("every_candidate_once"))
+    once = joined.agg(F.coalesce(F.bool_and(F.coalesce(F.col("n") == 1, F.lit(False)) & F.col("_in").isNotNull()), F.lit(True)).alias("every_candidate_once"))
     columns = sorted(c for c in built.columns if c != "card_version")
     own = built.agg((F.count(F.lit(1)) == F.count_distinct("card_id")).alias("unique_cards"), F.coalesce(F.bool_and((F.col("review_readiness") == "needs_review") & F.col("materiality_score").isNull()), F.lit(True)).alias("candidate_status_preserved"), F.coalesce(F.bool_and(F.col("card_version") == F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)), F.lit(True)).alias("version_integrity"))
     return own.join(F.broadcast(once), F.lit(True))
