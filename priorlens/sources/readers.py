@@ -36,7 +36,7 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType, strict: boo
 
 def json_object(spark: SparkSession, path: str) -> dict:
     """One JSON object of any Spark-readable path, for the driver: a policy or a manifest."""
-    rows = spark.read.option("wholetext", True).text(path).limit(2).collect()
+    rows = spark.read.text(path, wholetext=True).limit(2).collect()
     if len(rows) != 1:
         raise ValueError(f"{path} is not one file")
     value = json.loads(rows[0][0].lstrip("﻿"))
@@ -62,7 +62,7 @@ def zipped_entries(spark: SparkSession, path: str, pattern: str = "*.xml") -> Da
 def inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """path, bytes, sha256, rows of the files below a folder (rows: lines with content, for text files)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    lines = F.size(F.filter(F.split(F.decode("content", F.lit("UTF-8")), "\n"), lambda x: F.trim(x) != ""))
+    lines = F.size(F.filter(F.split(F.decode("content", "UTF-8"), "\n"), lambda x: F.trim(x) != ""))
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.when(F.col("path").rlike(r"\.(csv|jsonl|txt)$"), lines).alias("rows"))
 
 
@@ -119,8 +119,8 @@ def paged_source(name: str, schema: T.StructType, fetch: Callable[[str, int], di
         def schema(self):
             return schema
 
-        def reader(self, given):
-            return PagedReader(given, fetch, [k for k in self.options.get("keys", "").split(",") if k])
+        def reader(self, schema):
+            return PagedReader(schema, fetch, [k for k in self.options.get("keys", "").split(",") if k])
 
     return Paged
 
