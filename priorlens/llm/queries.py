@@ -30,8 +30,7 @@ def op4_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), path, pattern)
-    return byte_bpe.digests(byte_bpe.decode(encoded, path, pattern))
+    return byte_bpe.digests(byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, pattern))
 
 
 def op6_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +118,15 @@ with v as (
   from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id
 ), r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 20""",
+    "op6_minhash_components": """
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+g as (select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as g from w),
+n as (select doc_id, len(g) as n from g), s as (select doc_id, unnest(g) as t from g),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.t = b.t and a.doc_id < b.doc_id group by all),
+l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id as id, doc_id as m from documents union select e.b, r.m from r join e on e.a = r.id and r.m < e.b)
+select doc_id, cast(n as bigint) as n_shingles, min(m) as component_id, doc_id = min(m) as kept from n join r on id = doc_id group by doc_id, n""",
     "op9_preference_format": """
 with t as (
   select conv_id, list_sort(list({'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')})) as turns
