@@ -8,9 +8,21 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 ROWS, BYTES = 256, 4 << 20
 
+#: Rows that Spark puts into one Arrow batch for these operators; its own default would hold 10,000 whole texts at once.
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session, unless it was set to less already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 _resident: list[tuple[object, object]] = []
 
 

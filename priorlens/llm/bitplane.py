@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_maps import mapped, resident
+from .arrow_maps import mapped, resident, small_batches
 from .byte_bpe import _schema
 from .common import pick, shared_path, stored
 
@@ -162,6 +162,7 @@ def encode(docs: DataFrame, path: str, end_id: int, *, id_col="doc_id", text_col
         encoder, end = Encoder.load(path), np.array([end_id], "<u4").tobytes()
         return lambda texts: {"ids": [x + end for x in encoder.encode(texts)]}
 
+    small_batches(docs.sparkSession)
     rows = pick(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType
     return rows.mapInArrow(mapped(make, "text", _schema(kind, ids=pa.binary()), ["doc_id"]), f"doc_id {kind.simpleString()}, ids binary")

@@ -21,15 +21,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_maps import mapped
+from .arrow_maps import mapped, resident, small_batches
 from .common import pick
 
 #: Known pre-tokens kept per worker; the table is emptied when full.
-KNOWN = 1_000_000
+KNOWN = 450_000
 BLOCK = 1 << 16
 
-_cached: dict[tuple, ByteBPE] = {}
-
 
 class ByteBPE:
     def __init__(self, path: str, pattern: str):
@@ -42,9 +40,7 @@ class ByteBPE:
     @classmethod
     def load(cls, path: str, pattern: str) -> ByteBPE:
         """One per worker process."""
-        if (path, pattern) not in _cached:
-            _cached[path, pattern] = cls(path, pattern)
-        return _cached[path, pattern]
+        return resident((path, pattern), lambda: cls(path, pattern))
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of pre-tokens, which share one queue: no pair spans two of them, so none of them sees the others."""
@@ -200,6 +196,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col="doc_id", text_co
         bpe = ByteBPE.load(path, pattern)
         return lambda texts: {"ids": bpe.encode_all(texts)}
 
+    small_batches(docs.sparkSession)
     rows = pick(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType
     return rows.mapInArrow(mapped(make, "text", _schema(kind, ids=pa.binary()), ["doc_id"]), f"doc_id {kind.simpleString()}, ids binary")
@@ -212,11 +209,30 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         bpe = ByteBPE.load(path, pattern)
         return lambda ids: {"decoded": [bpe.decode(x or b"") for x in ids]}
 
+    small_batches(encoded.sparkSession)
     rows = encoded.select("doc_id", "ids")
     kind = rows.schema["doc_id"].dataType
     return rows.mapInArrow(mapped(make, "ids", _schema(kind, ids=pa.binary(), decoded=pa.binary()), ["doc_id", "ids"]), f"doc_id {kind.simpleString()}, ids binary, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, *, id_col="doc_id", text_col="text") -> DataFrame:
+    """``decode(encode(docs))`` in one pass, for half the worker processes: doc_id, ids, decoded."""
+
+    def make():
+        bpe = ByteBPE.load(path, pattern)
+
+        def f(texts):
+            ids = bpe.encode_all(texts)
+            return {"ids": ids, "decoded": list(map(bpe.decode, ids))}
+
+        return f
+
+    small_batches(docs.sparkSession)
+    rows = pick(docs, doc_id=id_col, text=text_col)
+    kind = rows.schema["doc_id"].dataType
+    return rows.mapInArrow(mapped(make, "text", _schema(kind, ids=pa.binary(), decoded=pa.binary()), ["doc_id"]), f"doc_id {kind.simpleString()}, ids binary, decoded binary")
+
+
 def _schema(kind, **columns: pa.DataType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_type
 

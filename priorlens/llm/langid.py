@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_maps import mapped, slices
+from .arrow_maps import mapped, resident, slices, small_batches
 from .byte_bpe import _schema
 from .common import pick
 
@@ -34,8 +34,6 @@ SEGMENT = 256
 #: How fast a lead of one phrase turns into certainty.
 SHARPNESS = 0.5
 
-_cached: dict[int, Parser] = {}
-
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     """Transitions of every state; state 0 is the root."""
@@ -101,6 +99,11 @@ class Parser:
                     table[p, c] = q
             self.tables[lang] = table.ravel()
 
+    @classmethod
+    def load(cls, samples: dict[str, list[str]]) -> Parser:
+        """One per worker process."""
+        return resident(("languages", hash(tuple((k, *v) for k, v in sorted(samples.items())))), lambda: cls(samples))
+
     def symbols(self, text: str) -> np.ndarray:
         s = self.fold[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
         keep = s != 0
@@ -186,13 +189,10 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], *, id_col="doc_id",
     """doc_id, lang_pred, score, phrase_rate; the automata are built once per worker process from the samples."""
 
     def make():
-        key = hash(tuple((k, *v) for k, v in sorted(samples.items())))
-        if key not in _cached:
-            _cached.clear()
-            _cached[key] = Parser(samples)
-        parser = _cached[key]
+        parser = Parser.load(samples)
         return lambda texts: dict(zip(("lang_pred", "score", "phrase_rate"), parser.predict(texts), strict=True))
 
+    small_batches(docs.sparkSession)
     rows = pick(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType
     schema = _schema(kind, lang_pred=pa.string(), score=pa.float64(), phrase_rate=pa.float64())
@@ -203,13 +203,11 @@ def keep_identified(docs: DataFrame, samples: dict[str, list[str]], *, text_col=
     """The rows of ``docs``, all columns as they are, whose text has a language (is not ``und``)."""
 
     def run(batches):
-        key = hash(tuple((k, *v) for k, v in sorted(samples.items())))
-        if key not in _cached:
-            _cached.clear()
-            _cached[key] = Parser(samples)
+        parser = Parser.load(samples)
         for batch in batches:
             for part in slices(batch, text_col):
-                pred, _, _ = _cached[key].predict(part.column(text_col).to_pylist())
+                pred, _, _ = parser.predict(part.column(text_col).to_pylist())
                 yield part.filter(pa.array([x != "und" for x in pred], pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

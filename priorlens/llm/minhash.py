@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_maps import mapped
+from .arrow_maps import mapped, resident, small_batches
 from .common import drop_stored, pick, stored
 
 WORDS, THRESHOLD = 5, 85
@@ -77,6 +77,8 @@ def features(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
     def make():
         from xxhash import xxh3_128_digest
 
+        resident("shingles", object)  # what other stages left in this worker goes
+
         def f(texts):
             n, key, sig = [], [], []
             for text in texts:
@@ -96,6 +98,7 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """id, set (binary: sorted 64-bit hashes)."""
 
     def make():
+        resident("shingles", object)
         return lambda texts: {"set": [shingles(x, words).tobytes() for x in texts]}
 
     schema = pa.schema([("doc_id", pa.int64()), ("set", pa.binary())])
@@ -212,6 +215,7 @@ def _missed(reps: DataFrame, comps: DataFrame, tested: DataFrame, full_of, thres
 
 def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", threshold: int = THRESHOLD, words: int = WORDS, with_hash: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; with_hash: also text_hash (xxhash64 of the text, to find rows by)."""
+    small_batches(docs.sparkSession)
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_hash", F.xxhash64("text"))
     feats = stored(features(rows, words=words), "features")
     reps = stored(feats.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig")), "classes")

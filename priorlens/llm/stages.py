@@ -82,4 +82,4 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs, path, pattern), path, pattern))
+    return byte_bpe.digests(byte_bpe.round_trip(docs, path, pattern))

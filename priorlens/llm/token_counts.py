@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_maps import mapped, resident
+from .arrow_maps import mapped, resident, small_batches
 from .byte_bpe import _schema
 from .common import pick
 
@@ -230,6 +230,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, *, id_col="doc_i
         counter = Counter.load(path)
         return lambda texts: {"n_tokens": [counter.count(x) for x in texts], "n_bytes": [len(x.encode()) if x else 0 for x in texts]}
 
+    small_batches(docs.sparkSession)
     rows = pick(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType
     out = rows.mapInArrow(mapped(make, "text", _schema(kind, n_bytes=pa.int64(), n_tokens=pa.int64()), ["doc_id"]), f"doc_id {kind.simpleString()}, n_bytes long, n_tokens long")

@@ -296,6 +296,7 @@ def test_bpe_query(docs, empty, tik):
         ids = np.array(enc.encode_ordinary(t or ""), "<u4")
         want.append((i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want, key=repr)
+    assert plain(byte_bpe.digests(byte_bpe.round_trip(docs, path, P.PATTERN))) == got
     assert byte_bpe.encode(empty, path, P.PATTERN).collect() == []
 
 
