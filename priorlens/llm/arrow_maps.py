@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 ROWS, BYTES = 256, 4 << 20
 
 #: Rows that Spark puts into one Arrow batch for these operators; its own default would hold 10,000 whole texts at once.
-BATCH_ROWS = 512
+BATCH_ROWS = 1024
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -39,25 +39,25 @@ def resident(key: object, make: Callable[[], object]) -> object:
     return _resident[0][1]
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ROWS rows and, but for single larger rows, about BYTES bytes of ``column``."""
+def slices(batch: pa.RecordBatch, column: str, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and, but for single larger rows, about BYTES bytes of ``column``."""
     at, n = 0, batch.num_rows
     if not n:
         return
     offsets = batch.column(column)
-    step = max(1, min(ROWS, int(BYTES / max(1, offsets.nbytes / n))))
+    step = max(1, min(rows, int(BYTES / max(1, offsets.nbytes / n))))
     while at < n:
         yield batch.slice(at, step)
         at += step
 
 
-def mapped(make: Callable[[], Callable[[list], dict]], column: str, schema: pa.Schema, keep: list[str]):
+def mapped(make: Callable[[], Callable[[list], dict]], column: str, schema: pa.Schema, keep: list[str], rows: int = ROWS):
     """A function for mapInArrow. ``make()`` runs once per task and returns values -> new columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, rows):
                 new = f(part.column(column).to_pylist())
                 new |= {k: part.column(k) for k in keep}
                 yield pa.RecordBatch.from_arrays([new[x.name] if isinstance(new[x.name], pa.Array) else pa.array(new[x.name], x.type) for x in schema], schema=schema)

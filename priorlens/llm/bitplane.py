@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_maps import mapped, resident, small_batches
+from .arrow_maps import BATCH_ROWS, mapped, resident, small_batches
 from .byte_bpe import _schema
 from .common import pick, shared_path, stored
 
 BLOCK = 1 << 16
 MARK = b"BITPLANE"
-KNOWN = 600_000
+KNOWN = 1_200_000
 
 
 class Encoder:
@@ -165,7 +165,7 @@ def encode(docs: DataFrame, path: str, end_id: int, *, id_col="doc_id", text_col
     small_batches(docs.sparkSession)
     rows = pick(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType
-    return rows.mapInArrow(mapped(make, "text", _schema(kind, ids=pa.binary()), ["doc_id"]), f"doc_id {kind.simpleString()}, ids binary")
+    return rows.mapInArrow(mapped(make, "text", _schema(kind, ids=pa.binary()), ["doc_id"], BATCH_ROWS), f"doc_id {kind.simpleString()}, ids binary")
 
 
 def planes(ids: np.ndarray, bits: bool) -> list[bytes]:
