@@ -13,6 +13,8 @@ blocks of pre-tokens, and the table of known pre-tokens is bounded, so memory do
 from __future__ import annotations
 
 import base64
+import sys
+from array import array
 from heapq import heappop, heappush
 from itertools import islice
 
@@ -24,13 +26,16 @@ from pyspark.sql import functions as F
 from .arrow_maps import mapped, resident, small_batches
 from .common import pick
 
-#: Known pre-tokens kept per worker; the table is emptied when full.
+#: Known pre-tokens kept per worker, about 200 bytes each; the table is emptied when full. More of them save merges, fewer
+#: leave memory to what else lives in the executor.
 KNOWN = 450_000
 BLOCK = 1 << 16
+_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 class ByteBPE:
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, limit: int = KNOWN):
+        self.limit = limit
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.tokens = {i: t for t, i in self.ranks.items()}
@@ -38,9 +43,9 @@ class ByteBPE:
         self.known: dict[str, bytes] = {}
 
     @classmethod
-    def load(cls, path: str, pattern: str) -> ByteBPE:
+    def load(cls, path: str, pattern: str, limit: int = KNOWN) -> ByteBPE:
         """One per worker process."""
-        return resident((path, pattern), lambda: cls(path, pattern))
+        return resident((path, pattern, limit), lambda: cls(path, pattern, limit))
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of pre-tokens, which share one queue: no pair spans two of them, so none of them sees the others."""
@@ -146,7 +151,7 @@ class ByteBPE:
 
     def _learn(self, some: list[tuple[str, bytes]]) -> None:
         for (p, _), ids in zip(some, self.merge([b for _, b in some]), strict=True):
-            self.known[p] = b"".join([i.to_bytes(4, "little") for i in ids])
+            self.known[p] = array("I", ids).tobytes() if _LITTLE else b"".join([i.to_bytes(4, "little") for i in ids])
 
     def pack(self, pieces: list[str]) -> bytes:
         """Ids of pre-tokens as little-endian unsigned 32-bit integers."""
@@ -156,7 +161,7 @@ class ByteBPE:
         except KeyError:
             pass
         new = {p for p in pieces if p not in known}
-        if len(known) + len(new) > KNOWN:
+        if len(known) + len(new) > self.limit:
             known.clear()
             new = set(pieces)
         self.learn(list(new))
@@ -167,7 +172,7 @@ class ByteBPE:
         found = [self.pattern.findall(x) if x and len(x) <= 8 * BLOCK else None for x in texts]
         every = set().union(*filter(None, found))
         new = [p for p in every if p not in self.known]
-        if len(self.known) + len(new) > KNOWN:
+        if len(self.known) + len(new) > self.limit:
             self.known.clear()
             new = list(every)
         self.learn(new)
@@ -215,11 +220,11 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return rows.mapInArrow(mapped(make, "ids", _schema(kind, ids=pa.binary(), decoded=pa.binary()), ["doc_id", "ids"]), f"doc_id {kind.simpleString()}, ids binary, decoded binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, *, id_col="doc_id", text_col="text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, *, id_col="doc_id", text_col="text", known: int = KNOWN) -> DataFrame:
     """``decode(encode(docs))`` in one pass, for half the worker processes: doc_id, ids, decoded."""
 
     def make():
-        bpe = ByteBPE.load(path, pattern)
+        bpe = ByteBPE.load(path, pattern, known)
 
         def f(texts):
             ids = bpe.encode_all(texts)

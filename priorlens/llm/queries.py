@@ -30,7 +30,7 @@ def op4_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return byte_bpe.digests(byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, pattern))
+    return byte_bpe.digests(byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, pattern, known=1_500_000))
 
 
 def op6_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -281,8 +281,8 @@ def test_bpe_matches_library(tik):
 
 def test_bpe_long_text_and_full_table(tik, monkeypatch):
     monkeypatch.setattr(byte_bpe, "BLOCK", 50)
-    monkeypatch.setattr(byte_bpe, "KNOWN", 7)
     b, enc = tik
+    monkeypatch.setattr(b, "limit", 7)
     x = text_of(3, 500)
     assert np.frombuffer(b.encode(x), "<u4").tolist() == enc.encode_ordinary(x)
 
