@@ -2,11 +2,12 @@
 
 A document's set is its distinct 5-word shingles (words lower-cased in A-Z; fewer than five words: all of them as one
 shingle). ``BANDS`` x ``ROWS`` minima of functions a * x + b mod 2^64 are its signature, kept as 16 bits each; a band is
-``ROWS`` of them. At the threshold of 0.85 a pair shares no band with probability (1 - 0.85^4)^20, 4 in 10 million.
+``ROWS`` of them. A pair at the threshold t shares no band with probability (1 - t^4)^20: 4 in 10 million at 0.85 (the
+default, op6), 27 in a million at 0.80 (the pipeline's stage), more below.
 
 1. Documents with equal sets are one class with its smallest id as representative, so copies never meet each other.
 2. Representatives that share a band form a bucket. Each is paired with the bucket's smallest id only, so pairs grow as the
-   buckets do. Pairs whose signatures agree in fewer than ``AGREE`` places are dropped, the rest are confirmed on full sets.
+   buckets do. Pairs whose signatures agree in fewer than ``agree(t)`` places are dropped, the rest are confirmed on full sets.
 3. Confirmed links become components by alternating large-star and small-star until nothing changes.
 4. What the stars may have missed: buckets that still hold several components are searched for links between different
    components. Up to ``SMALL`` members, by pairs; beyond that, block against block in one task, where a pair counts in
@@ -21,6 +22,8 @@ repeated id takes its own text's component. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -32,7 +35,9 @@ from .arrow_maps import mapped, resident, small_batches
 from .common import drop_stored, pick, stored
 
 WORDS, THRESHOLD = 5, 85
-BANDS, ROWS, AGREE = 20, 4, 48
+BANDS, ROWS = 20, 4
+#: A pair at the threshold may agree in fewer places than asked for with this probability at most.
+SHORT = 2e-8
 SMALL, BLOCK = 64, 256
 #: Up to so many ids (8 bytes each) are broadcast; beyond, the join shuffles.
 MAX_BROADCAST_IDS = 2_000_000
@@ -116,6 +121,12 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
     return 100 * both >= threshold * (len(a) + len(b) - both)
 
 
+def agree(threshold: int) -> int:
+    """The most places that a pair at the threshold falls short of with a probability of ``SHORT`` at most."""
+    n, t = BANDS * ROWS, threshold / 100
+    return sum(p <= SHORT for p in accumulate(comb(n, k) * t**k * (1 - t) ** (n - k) for k in range(n)))
+
+
 def agreement(a, b):
     """Places in which two signatures agree, as a column: bytes are compared in pairs."""
     return F.aggregate(F.sequence(F.lit(0), F.lit(BANDS * ROWS - 1)), F.lit(0), lambda n, k: n + (F.substring(a, k * 2 + 1, F.lit(2)) == F.substring(b, k * 2 + 1, F.lit(2))).cast("int"))
@@ -125,7 +136,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, full: DataFrame, threshold: int
     """pairs (a, b) whose signatures agree enough and whose full sets are linked."""
     sig = reps.select("id", "sig", "n")
     p = pairs.join(sig.toDF("a", "sa", "na"), "a").join(sig.toDF("b", "sb", "nb"), "b")
-    close = (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (agreement(F.col("sa"), F.col("sb")) >= AGREE)
+    close = (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (agreement(F.col("sa"), F.col("sb")) >= agree(threshold))
     p = p.where(close).select("a", "b")
     p = p.join(full.toDF("a", "xa"), "a").join(full.toDF("b", "xb"), "b")
 
@@ -174,7 +185,7 @@ def _across(pdf: pd.DataFrame, threshold: int) -> pd.DataFrame:
     comp = pdf["component"].tolist()
     full = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
     n = np.array([len(x) for x in full])
-    two = len(np.unique(block)) > 1
+    two, least = len(np.unique(block)) > 1, agree(threshold)
 
     def root(c):
         while parent[c] != c:
@@ -189,7 +200,7 @@ def _across(pdf: pd.DataFrame, threshold: int) -> pd.DataFrame:
         if not len(later):
             continue
         later = later[(bands[later, :band] != bands[i, :band]).all(axis=1)]
-        later = later[(100 * np.minimum(n[later], n[i]) >= threshold * np.maximum(n[later], n[i])) & ((sigs[later] == sigs[i]).sum(axis=1) >= AGREE)]
+        later = later[(100 * np.minimum(n[later], n[i]) >= threshold * np.maximum(n[later], n[i])) & ((sigs[later] == sigs[i]).sum(axis=1) >= least)]
         for j in later.tolist():
             x, y = root(comp[i]), root(comp[j])
             if x != y and linked(full[i], full[j], threshold):

@@ -14,6 +14,8 @@ from .common import pick, stored
 
 #: Up to so many rows of (id, hash) are broadcast: 32 MB.
 MAX_BROADCAST_ROWS = 1_000_000
+#: Per cent of shared 5-word shingles from which two documents are near duplicates in the pipeline (op6 has its own 85).
+NEAR = 80
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -50,8 +52,9 @@ def fit(docs: DataFrame) -> DataFrame:
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id; of its repeated rows, one."""
-    found = minhash.near_duplicates(docs.select("doc_id", "text"), with_hash=True)
+    """One document of each group of near duplicates (similarity of 0.80 or more): the one with the smallest id; of its
+    repeated rows, one."""
+    found = minhash.near_duplicates(docs.select("doc_id", "text"), threshold=NEAR, with_hash=True)
     kept = without(docs, found.where(~F.col("kept")).select(F.col("doc_id").alias("__rid"), F.col("text_hash").alias("__rhash")))
     return _once(kept, found.where("kept").select(F.col("doc_id").alias("__rid"), F.col("text_hash").alias("__rhash")))
 

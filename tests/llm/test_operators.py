@@ -364,6 +364,22 @@ def test_near_duplicate_families(spark, monkeypatch, n_words):
     assert got == {i: of(i, t) for i, (_, t) in enumerate(pairs)}
 
 
+def test_agreement_follows_the_threshold():
+    assert minhash.agree(85) == 48 and minhash.agree(80) == 42
+
+
+def test_stage_takes_near_duplicates_from_080(spark):
+    """40 words, one replaced 3 from the end: 33 of 39 shingles (0.846); two replaced: 0.80 is not reached."""
+    from priorlens.llm import stages
+
+    base = [f"w{i}" for i in range(40)]
+    edited = lambda *at: " ".join("new" if i in at else w for i, w in enumerate(base))
+    rows = [(1, edited(), "x"), (2, edited(37), "x"), (3, edited(10, 20), "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in stages.distinct_texts(d).collect()) == [1, 3]
+    assert {r.doc_id for r in minhash.near_duplicates(d).where("kept").collect()} == {1, 2, 3}
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 105), (105, 103), (200, 201)]
     r = random.Random(1)
