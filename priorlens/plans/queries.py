@@ -184,18 +184,19 @@ def tfidf_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("item_id", "rank", "doc_id", "score")
 
 
-def _trigram_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _t(spark, sf_dir, "documents").select("doc_id", "lang", "source", text.grams(F.lower("text")).alias("g"))
-    return align.similar_pairs(d, ["lang", "source"], "g", 0.8, id_col="doc_id")
+def _trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", "lang", "source", text.grams(F.lower("text")).alias("g"))
 
 
 def trigram_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trigram_pairs(spark, sf_dir).select("lang", "source", "left_id", "right_id", F.round("jaccard", 6).alias("jaccard"))
+    """Pairs of one language and source, both known, as its SQL twin has them."""
+    d = _trigrams(spark, sf_dir).where("lang is not null and source is not null")
+    return align.similar_pairs(d, ["lang", "source"], "g", 0.8, id_col="doc_id").select("lang", "source", "left_id", "right_id", F.round("jaccard", 6).alias("jaccard"))
 
 
 def greedy_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best pairs of each language, every document used once on a side, eight at most."""
-    return align.greedy_one_to_one(_trigram_pairs(spark, sf_dir).select("lang", "left_id", "right_id", "jaccard"), "lang", 8)
+    """The best pairs of each language over all sources, every document used once on a side, eight at most."""
+    return align.greedy_one_to_one(align.best_candidates(_trigrams(spark, sf_dir), "lang", "g", 0.8, 8, id_col="doc_id"), "lang", 8)
 
 
 def exact_sentence_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,6 +190,26 @@ def test_similar_pairs(spark, t):
     assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[2] != b[2] and j(a[3], b[3]) >= t)
 
 
+def test_greedy_alignment_crosses_sources(spark, tmp_path):
+    from priorlens.plans import queries
+
+    r = random.Random(3)
+    base = {lang: "".join(r.choice("abcdefgh") for _ in range(60)) for lang in ("en", "de", None)}
+    rows = [(i, (lang := [*base][i % 3]), f"s{i}" if i % 5 else None, base[lang][: 60 - r.choice([0, 0, 0, 1, 2, 4, 9])]) for i in range(72)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    g = {i: {t[k : k + 3] for k in range(len(t) - 2)} for i, _, _, t in rows}
+    want = []
+    for lang in base:
+        ids = [i for i, x, _, _ in rows if x == lang]
+        pairs = sorted((-len(g[a] & g[b]) / len(g[a] | g[b]), a, b) for a in ids for b in ids if a < b and len(g[a] & g[b]) >= 0.8 * len(g[a] | g[b]))
+        left, right = set(), set()
+        for j, a, b in pairs:
+            if len(left) < 8 and a not in left and b not in right:
+                left.add(a), right.add(b), want.append((str(lang), len(left), a, b))
+    got = [(str(x.lang), x.position, x.left_id, x.right_id) for x in queries.greedy_alignment(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(want) == 24
+
+
 def test_alignment(spark):
     s = spark.createDataFrame([("A", "a1", "body", False, "the price of rice rose"), ("A", "a2", "body", False, "sales fell in june"), ("B", "b1", "body", False, "the price of rice rose sharply"), ("B", "b2", "body", True, "sales fell in june"), ("B", "b3", "body", False, "the price of rice fell")], "doc_id string, sentence_id string, position string, speech boolean, t string").withColumn("grams", text.grams(F.col("t")))
     p = align.article_pairs(spark.createDataFrame([("A", "f", "x"), ("B", "f", "y"), ("C", "f", "y")], "doc_id string, family string, source string"))
