@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .arrow_maps import BATCH_ROWS, mapped, resident, small_batches
 from .byte_bpe import _schema
-from .common import pick, shared_path, stored
+from .common import make_folder, open_fs, pick, shared_path, stored
 
 BLOCK = 1 << 16
 MARK = b"BITPLANE"
@@ -191,12 +191,6 @@ def unplanes(parts: list[bytes], n: int, bits: bool) -> np.ndarray:
     return out
 
 
-def open_fs(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 class Writer:
     def __init__(self, path: str, bits: bool, block: int, level: int):
         import zstandard
@@ -286,7 +280,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int, folder: str | None = None
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "bitplanes")
     files = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    open_fs(folder)[0].create_dir(open_fs(folder)[1], recursive=True)
+    make_folder(folder)
     # range borders come from the ids alone, so that texts are encoded once
     at = [i / files for i in range(1, files)]
     borders = docs.select(F.percentile_approx(F.col(f"`{id_col}`"), at, 10_000)).first()[0] if at else []

@@ -45,6 +45,18 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def open_fs(path: str):
+    """The pyarrow file system of a path, and the path in it: for files that tasks write and read themselves."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def make_folder(path: str) -> None:
+    files, at = open_fs(path)
+    files.create_dir(at, recursive=True)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: cuts the lineage and outlives lost executors."""
     spark = df.sparkSession

@@ -10,8 +10,12 @@ default, op6), 27 in a million at 0.80 (the pipeline's stage), more below.
    buckets do. Pairs whose signatures agree in fewer than ``agree(t)`` places are dropped, the rest are confirmed on full sets.
 3. Confirmed links become components by alternating large-star and small-star until nothing changes.
 4. What the stars may have missed: buckets that still hold several components are searched for links between different
-   components. Up to ``SMALL`` members, by pairs; beyond that, block against block in one task, where a pair counts in
-   its first common band only and only links that join something come out. Then components are taken once more.
+   components. In buckets of more than ``SMALL`` members each member is first tested against its neighbour in a random
+   order, again and again while that joins many components; a turn makes no more pairs than there are members.
+5. The rest is searched exactly. Up to ``SMALL`` members, by pairs. Beyond that, a bucket's members are written once, in
+   blocks of about ``BLOCK``, to files in the shared folder; a task for each block reads the other blocks' files, takes all
+   intersection sizes of two blocks as a product of 0/1 matrices, and gives only links that join something. No member is
+   replicated and no pair is emitted. Then components are taken once more.
 
 So every pair that shares a band is either inside one component or was tested. Null ids: such rows count as members of
 their text's class, with a null id they are never its representative; a class of them alone has a null component and is
@@ -21,24 +25,28 @@ repeated id takes its own text's component. An empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import accumulate
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_maps import mapped, resident, small_batches
-from .common import drop_stored, pick, stored
+from .common import drop_stored, make_folder, open_fs, pick, shared_path, stored
 
 WORDS, THRESHOLD = 5, 85
 BANDS, ROWS = 20, 4
 #: A pair at the threshold may agree in fewer places than asked for with this probability at most.
 SHORT = 2e-8
 SMALL, BLOCK = 64, 256
+#: A block holds about so many bytes of sets; its 0/1 matrices are made for so many shingles at a time.
+BLOCK_BYTES, COLUMNS = 16 << 20, 8192
+#: Random neighbours are tried again while a turn's links join more than this share of the components that are left.
+GAIN = 0.1
 #: Up to so many ids (8 bytes each) are broadcast; beyond, the join shuffles.
 MAX_BROADCAST_IDS = 2_000_000
 
@@ -171,57 +179,174 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _bands(reps: DataFrame) -> DataFrame:
-    """id, band, bucket."""
-    return reps.select("id", F.posexplode(F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)])).alias("band", "bucket"))
-
-
-def _across(pdf: pd.DataFrame, threshold: int) -> pd.DataFrame:
-    """Links between different components in one block or between two; one for each two components at most."""
-    sigs = np.frombuffer(b"".join(pdf["sig"]), "<u2").reshape(len(pdf), BANDS * ROWS)
-    bands = np.frombuffer(b"".join(pdf["sig"]), "<u8").reshape(len(pdf), BANDS)
-    band, ids, block = int(pdf["band"].iloc[0]), pdf["id"].to_numpy(), pdf["block"].to_numpy()
-    parent = {c: c for c in pdf["component"]}
-    comp = pdf["component"].tolist()
-    full = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
-    n = np.array([len(x) for x in full])
-    two, least = len(np.unique(block)) > 1, agree(threshold)
-
-    def root(c):
-        while parent[c] != c:
-            parent[c] = c = parent[parent[c]]
-        return c
-
-    out = []
-    for i in range(len(pdf)):
-        later = np.arange(i + 1, len(pdf))
-        if two:
-            later = later[block[later] != block[i]]
-        if not len(later):
-            continue
-        later = later[(bands[later, :band] != bands[i, :band]).all(axis=1)]
-        later = later[(100 * np.minimum(n[later], n[i]) >= threshold * np.maximum(n[later], n[i])) & ((sigs[later] == sigs[i]).sum(axis=1) >= least)]
-        for j in later.tolist():
-            x, y = root(comp[i]), root(comp[j])
-            if x != y and linked(full[i], full[j], threshold):
-                parent[x] = y
-                out.append((ids[i], ids[j]))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-
-def _missed(reps: DataFrame, comps: DataFrame, tested: DataFrame, full_of, threshold: int) -> tuple[DataFrame, ...]:
-    """Links between different components of one bucket."""
-    bands = _bands(reps).join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket", "m")
-    members = stored(bands.join(mixed, "bucket"), "members")
+def _bands(reps: DataFrame, *more: str) -> DataFrame:
+    """id, more columns, bucket: one row a band."""
+    return reps.select("id", *more, F.explode(F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)])).alias("bucket"))
+
+
+def _members(reps: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components: bucket, id, component, n, m (members), t (shingles of all)."""
+    bands = _bands(reps.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id")), "component", "n")
+    mixed = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket", "m", "t")
+    return bands.join(mixed, "bucket").select("bucket", "id", "component", "n", "m", "t")
+
+
+def _neighbours(many: DataFrame, turn: int) -> DataFrame:
+    """Each member of a bucket with the one after it in a random order, if that is of another component. The order is cut
+    into ranges, so a bucket of any size is spread; what the cuts lose is left to the search."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, ids, comp = (batch.column(c).to_numpy() for c in ("bucket", "id", "component"))
+            if last is not None:
+                bucket, ids, comp = np.append(last[0], bucket), np.append(last[1], ids), np.append(last[2], comp)
+            new = (bucket[1:] == bucket[:-1]) & (comp[1:] != comp[:-1])
+            x, y = ids[:-1][new], ids[1:][new]
+            last = bucket[-1:], ids[-1:], comp[-1:]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    n = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = many.select("bucket", "id", "component", F.xxhash64(F.lit(turn), "id").alias("h")).repartitionByRange(n, "bucket", "h").sortWithinPartitions("bucket", "h")
+    return dealt.select("bucket", "id", "component").mapInArrow(pairs, "a long, b long").distinct()
+
+
+def _block_path(folder: str, bucket: int, block: int) -> str:
+    return f"{folder}/{bucket & (2**64 - 1):016x}-{block}.arrow"
+
+
+def _write_blocks(dealt: DataFrame, folder: str) -> DataFrame:
+    """Writes every (bucket, block) to a file of its own, once; returns bucket, band, block, blocks. A repeated attempt writes
+    the same rows under a new name and moves them into place, so a reader never meets half a file."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, done = None, [], []
+
+        def finish():
+            fs, at = open_fs(_block_path(folder, *now[:2]))
+            own = f"{at}.{uuid.uuid4().hex}"
+            with fs.open_output_stream(own) as out, pa.ipc.new_stream(out, rows[0].schema) as sink:
+                for r in rows:
+                    sink.write_batch(r)
+            fs.move(own, at)
+            done.append(now)
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "block", "blocks")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                if a == z:
+                    continue
+                key = tuple(keys[:, a].tolist())
+                if key != now:
+                    if now is not None:
+                        finish()
+                    now, rows = key, []
+                rows.append(batch.slice(a, z - a).select(["id", "component", "set"]))
+        if now is not None:
+            finish()
+        yield pa.RecordBatch.from_pydict({c: pa.array([x[k] for x in done], pa.int64()) for k, c in enumerate(("bucket", "block", "blocks"))})
+
+    make_folder(folder)
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(write, "bucket long, block long, blocks long")
+
+
+class _Block:
+    """A block's rows; ``ids`` is empty for a number that no member was dealt to. (A block with members is opened by a task
+    of its own with ``own``, which fails if the file is lost.)"""
+
+    def __init__(self, folder: str, bucket: int, block: int, own: bool):
+        fs, at = open_fs(_block_path(folder, bucket, block))
+        if not own and fs.get_file_info(at).type.name == "NotFound":
+            self.ids, self.component, self.n, self.sets = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), []
+            return
+        with fs.open_input_stream(at) as f, pa.ipc.open_stream(f) as source:
+            rows = source.read_all()
+        self.ids, self.component = rows["id"].to_numpy(), rows["component"].to_numpy()
+        self.sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["set"]]
+        self.n = np.array([len(x) for x in self.sets])
+
+
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of a with every set of b: products of 0/1 matrices, some columns at a time."""
+    x, y = np.concatenate(a), np.concatenate(b)
+    i, j = np.repeat(np.arange(len(a)), [len(v) for v in a]), np.repeat(np.arange(len(b)), [len(v) for v in b])
+    columns = np.intersect1d(x, y)
+    out = np.zeros((len(a), len(b)), np.float64)
+
+    def placed(values, row):
+        at = np.searchsorted(columns, values)
+        at[at == len(columns)] = 0
+        hit = columns[at] == values
+        order = np.argsort(at[hit], kind="stable")
+        return at[hit][order], row[hit][order]
+
+    if len(columns):
+        (cx, i), (cy, j) = placed(x, i), placed(y, j)
+        for c in range(0, len(columns), COLUMNS):
+            width = min(COLUMNS, len(columns) - c)
+            p, q = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
+            k, m = slice(*np.searchsorted(cx, [c, c + width])), slice(*np.searchsorted(cy, [c, c + width]))
+            p[i[k], cx[k] - c] = 1
+            q[j[m], cy[m] - c] = 1
+            out += p @ q.T
+    return out.astype(np.int64)
+
+
+def _search_blocks(manifest: DataFrame, folder: str, threshold: int) -> DataFrame:
+    """Links between different components of a bucket: every block meets half of the ring of blocks, one file at a time, and
+    reports a link only if it joins what the task hasn't joined yet. Exact, on full sets."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, block, blocks in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "blocks")), strict=True):
+                parent: dict[int, int] = {}
+
+                def root(c):
+                    while (p := parent.get(c, c)) != c:
+                        parent[c] = c = parent.get(p, p)
+                    return c
+
+                own, out = _Block(folder, bucket, block, True), []
+                for d in range(blocks // 2 + 1):
+                    if 2 * d == blocks and 2 * block >= blocks:
+                        continue
+                    far = _Block(folder, bucket, (block + d) % blocks, False) if d else own
+                    x, y = (np.array([root(c) for c in v.component.tolist()]) for v in (own, far))
+                    may = (x[:, None] != y) & (100 * np.minimum(own.n[:, None], far.n) >= threshold * np.maximum(own.n[:, None], far.n))
+                    i, j = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
+                    if not len(i):
+                        continue
+                    both = shared_counts([own.sets[k] for k in i], [far.sets[k] for k in j])
+                    hit = may[np.ix_(i, j)] & (100 * both >= threshold * (own.n[i][:, None] + far.n[j] - both))
+                    for p, q in np.argwhere(hit).tolist():
+                        p, q = i[p], j[q]
+                        u, v = root(int(own.component[p])), root(int(far.component[q]))
+                        if u != v:
+                            parent[u] = v
+                            out.append(sorted((int(own.ids[p]), int(far.ids[q]))))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.repartition(n, "bucket", "block").mapInArrow(search, "a long, b long").distinct()
+
+
+def _missed(members: DataFrame, tested: DataFrame, named: DataFrame, full: DataFrame, threshold: int) -> DataFrame:
+    """Links between different components of a bucket, found exactly: in small buckets by pairs, in others by blocks."""
     few, many = members.where(F.col("m") <= SMALL), members.where(F.col("m") > SMALL)
     l, r = few.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca")), few.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"))
     pairs = l.join(r, "bucket").where("a < b and ca <> cb").select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    # large buckets: rows are dealt over blocks, and every two blocks meet in a task of their own
-    blocks = F.ceil(F.col("m") / BLOCK)
-    dealt = many.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    return pairs, dealt.select("bucket", "band", "i", "j", "block", "id", "component")
+    links = confirmed(pairs, named, full, threshold)
+    if many.isEmpty():
+        return links
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("t") * 8 / BLOCK_BYTES))
+    dealt = many.withColumn("blocks", blocks.cast("long")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    folder = shared_path(named.sparkSession, "blocks")
+    manifest = stored(_write_blocks(dealt.select("bucket", "block", "blocks", "id", "component").join(full, "id"), folder), "block-manifest")
+    return links.unionByName(_search_blocks(manifest, folder, threshold))
 
 
 def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", threshold: int = THRESHOLD, words: int = WORDS, with_hash: bool = False) -> DataFrame:
@@ -234,22 +359,35 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", thresh
     bands = _bands(named)
     centers = bands.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("_z")).where("a <> _z").drop("_z")
     pairs = stored(bands.join(centers, "bucket").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "star-pairs")
-
-    def full_sets(ids: DataFrame) -> DataFrame:
-        ids = stored(ids.distinct(), "ids")
-        own = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
-        return stored(sets(rows.join(own.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text"), words), "sets")
-
-    full = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    # whoever shares a bucket is in a star pair, so these are all the sets that any step below needs
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    own = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+    full = stored(sets(rows.join(own, "doc_id", "left_semi").select("doc_id", "text"), words), "sets")
+    shared = named.join(own.withColumnRenamed("doc_id", "id"), "id", "left_semi")
     links = stored(confirmed(pairs, named, full, threshold), "links")
     comps = stored(components(links), "components")
-    small, large = _missed(named, comps, pairs, full_sets, threshold)
-    more = confirmed(small, named, full, threshold)
-    large = large.join(named.select("id", "sig"), "id").join(full, "id")
-    across = large.groupBy("bucket", "band", "i", "j").applyInPandas(lambda pdf: _across(pdf, threshold), "a long, b long")
-    more = stored(more.unionByName(across), "more-links")
+
+    def joined(more: DataFrame) -> DataFrame:
+        return stored(components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
+
+    turn = 0
+    while True:
+        members = stored(_members(shared, comps), "members")
+        many = members.where(F.col("m") > SMALL)
+        left = many.agg(F.count_distinct("component")).first()[0]
+        if not left:
+            break
+        more = stored(confirmed(_neighbours(many, turn), named, full, threshold), "neighbour-links")
+        found = more.count()
+        if found:
+            comps = joined(more)
+        if found <= GAIN * left:
+            members = stored(_members(shared, comps), "members") if found else members
+            break
+        turn += 1
+    more = stored(_missed(members, pairs, named, full, threshold), "more-links")
     if not more.isEmpty():
-        comps = stored(components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
+        comps = joined(more)
     of = reps.select("key", "id").join(comps, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
     out = feats.join(of, "key", "left").select("doc_id", *["text_hash"] * with_hash, "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

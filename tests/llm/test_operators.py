@@ -364,6 +364,49 @@ def test_near_duplicate_families(spark, monkeypatch, n_words):
     assert got == {i: of(i, t) for i, (_, t) in enumerate(pairs)}
 
 
+def test_one_bucket_of_thousands(spark):
+    """A family of 5,000 near copies, many just under the threshold, in the sizes that production uses."""
+    r = np.random.default_rng(5)
+    base = [f"base{i}" for i in range(60)]
+    texts = []
+    for _ in range(5_000):
+        w = base.copy()
+        for at in r.integers(0, 60, r.integers(1, 5)):
+            w[at] = f"edit{r.integers(0, 40)}"
+        texts.append(" ".join(w))
+    order = r.permutation(len(texts))
+    df = spark.createDataFrame([(int(i), texts[i]) for i in order], "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(df).collect()}
+    found = [sets_of(t) for t in texts]
+    many = {g: k for k, g in enumerate(g for g, n in Counter(g for x in found for g in x).items() if n > 1)}
+    m = np.zeros((len(texts), len(many)), np.float32)
+    for i, x in enumerate(found):
+        m[i, [many[g] for g in x if g in many]] = 1
+    n = np.array([len(x) for x in found])
+    want = np.arange(len(texts))
+    edges = []
+    for i in range(0, len(texts), 500):
+        both = m[i : i + 500] @ m.T
+        edges.append(np.argwhere(100 * both >= 85 * (n[i : i + 500, None] + n - both)) + [i, 0])
+    a, b = np.concatenate(edges).T
+    while True:
+        new = want.copy()
+        np.minimum.at(new, a, want[b])
+        if (new == want).all():
+            break
+        want = new
+    assert len(set(want.tolist())) > 100
+    assert got == dict(enumerate(want.tolist()))
+
+
+def test_shared_counts(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 7)
+    r = np.random.default_rng(3)
+    a, b = ([np.unique(r.integers(0, 60, k).astype(np.uint64)) for k in r.integers(0, 40, 9)] for _ in range(2))
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert minhash.shared_counts(a, b).tolist() == want
+
+
 def test_agreement_follows_the_threshold():
     assert minhash.agree(85) == 48 and minhash.agree(80) == 42
 
