@@ -6,9 +6,11 @@ phrase begins after it. The phrases per symbol estimate the cross entropy; the l
 the smaller label. Symbols are letters (lower case); any run of other characters is one blank. A text is parsed in
 segments of ``SEGMENT`` symbols, each of which begins a phrase, so that many segments step through an automaton at once.
 
-Learning reads labelled rows outside the held-out quarter (crc32 of the id as text, mod 4, is 2). The sample is bounded and
-documented: whole texts in the order of a seeded hash until ``SAMPLE_SYMBOLS`` symbols per language, from about
-``SAMPLE_DOCS`` documents of each. Prediction uses the text alone.
+Learning reads labelled rows outside the held-out quarter (crc32 of the id as text, mod 4, is 2). The sample is bounded:
+of the ``MAX_LANGUAGES`` labels with the most rows (ties: the smaller label), the first ``SAMPLE_DOCS`` rows in the order of
+a seeded hash of id and text, the first ``TEXT_CHARS`` characters of each, up to ``SAMPLE_SYMBOLS`` symbols a language or
+``ALL_SYMBOLS`` over all languages. A label that has a row always gets a sample, however its rows and ids repeat.
+Prediction reads whole texts and nothing else.
 
 A null text, and one without letters, is ``und`` with score 0; so is every text if nothing can be learned. Rows with a null
 id aren't learned from and aren't held out. Repeated rows each get a row; only id, text and language are read.
@@ -18,18 +20,23 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_maps import mapped, resident, slices, small_batches
 from .byte_bpe import _schema
 from .common import pick
 
-SAMPLE_SYMBOLS, SAMPLE_DOCS = 40_000, 64
-MAX_LANGUAGES = 500
+SAMPLE_SYMBOLS, SAMPLE_DOCS, TEXT_CHARS = 40_000, 128, 160_000
+#: All automata together come from so many symbols at most; with more than 40 languages each gets less.
+MAX_LANGUAGES, ALL_SYMBOLS = 500, 1_600_000
+#: An automaton with more (state, symbol) places than this looks its transitions up in a sorted list instead of a full table.
+MAX_PLACES = 8_000_000
 SEGMENT = 256
 #: How fast a lead of one phrase turns into certainty.
 SHARPNESS = 0.5
@@ -65,39 +72,61 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return step
 
 
+class Automaton:
+    """Moves of many readers at once. A missing transition ends the phrase: the reader goes on from the root, marked by a
+    negative number; a symbol that the sample lacks is a phrase alone, after which any symbol begins a new one."""
+
+    def __init__(self, sample: list[int], size: int):
+        step = suffix_automaton(sample)
+        self.size, alone = size, len(step)
+        root = np.full(size, alone, np.int32)
+        for c, q in step[0].items():
+            root[c] = q
+        self.miss = -1 - root
+        if (alone + 1) * size <= MAX_PLACES:
+            table = np.tile(self.miss, (alone + 1, 1))
+            table[0] = root
+            for p, out in enumerate(step):
+                for c, q in out.items():
+                    table[p, c] = q
+            self.table = table.ravel()
+        else:
+            moves = sorted((p * size + c, q) for p, out in enumerate(step) for c, q in out.items())
+            self.table = None
+            self.keys, self.to = np.array([k for k, _ in moves], np.int64), np.array([q for _, q in moves], np.int32)
+
+    def move(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        key = state * self.size + symbol
+        if self.table is not None:
+            return self.table[key]
+        at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        if not len(self.keys):
+            return np.where(state == 0, -1 - self.miss[symbol], self.miss[symbol])
+        return np.where(self.keys[at] == key, self.to[at], np.where(state == 0, -1 - self.miss[symbol], self.miss[symbol]))
+
+
 class Parser:
     """Automata of all languages over one alphabet: 0 is blank, the last symbol any letter that no sample has."""
 
     def __init__(self, samples: dict[str, list[str]]):
-        letters = sorted({c for texts in samples.values() for x in texts for c in x.lower() if c.isalpha()})[:65_000]
+        letters = sorted({c for texts in samples.values() for x in texts for c in x.lower() if c.isalpha()})
         self.size = len(letters) + 2
-        self.fold = np.zeros(0x110000, np.uint16)
+        self.fold = np.zeros(0x110000, np.min_scalar_type(self.size))
         other = self.size - 1
         self.fold[[i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and unicodedata.category(chr(i))[0] == "L"]] = other
         for k, c in enumerate(letters, 1):
             self.fold[ord(c)] = k
             if len(u := c.upper()) == 1:
                 self.fold[ord(u)] = k
-        self.tables: dict[str, np.ndarray] = {}
+        self.automata: dict[str, Automaton] = {}
+        most = min(SAMPLE_SYMBOLS, ALL_SYMBOLS // max(1, len(samples)))
         for lang in sorted(samples):
             sample: list[int] = []
             for x in samples[lang]:
                 sample += self.symbols(x).tolist()
-                if len(sample) >= SAMPLE_SYMBOLS:
+                if len(sample) >= most:
                     break
-            step = suffix_automaton(sample[:SAMPLE_SYMBOLS])
-            # a missing transition ends the phrase: go on from the root, marked by a negative number; a symbol that the
-            # sample lacks is a phrase alone, after which comes a state that any symbol leaves by a new phrase
-            alone = len(step)
-            root = np.full(self.size, alone, np.int32)
-            for c, q in step[0].items():
-                root[c] = q
-            table = np.tile(-1 - root, (len(step) + 1, 1))
-            table[0] = root
-            for p, out in enumerate(step):
-                for c, q in out.items():
-                    table[p, c] = q
-            self.tables[lang] = table.ravel()
+            self.automata[lang] = Automaton(sample[:most], self.size)
 
     @classmethod
     def load(cls, samples: dict[str, list[str]]) -> Parser:
@@ -124,7 +153,7 @@ class Parser:
                 ends.append(base + np.minimum(at + SEGMENT, len(p)))
                 owner.append(np.full(len(at), i))
             base += len(p)
-        counts = np.zeros((len(texts), len(self.tables)), np.int64)
+        counts = np.zeros((len(texts), len(self.automata)), np.int64)
         if not starts:
             return counts, n
         every = np.concatenate(parts)
@@ -132,11 +161,11 @@ class Parser:
         order = np.argsort(start - end, kind="stable")  # longest first, so that the live ones are a prefix
         start, length, own = start[order], (end - start)[order], own[order]
         live = len(length) - np.searchsorted(length[::-1], np.arange(SEGMENT), side="right")
-        for k, table in enumerate(self.tables.values()):
+        for k, automaton in enumerate(self.automata.values()):
             state, seen = np.zeros(len(start), np.int64), np.ones(len(start), np.int64)
             for t in range(int(length[0])):
                 m = live[t]
-                to = table[state[:m] * self.size + every[start[:m] + t]]
+                to = automaton.move(state[:m], every[start[:m] + t])
                 ended = to < 0
                 state[:m] = np.where(ended, -1 - to, to)
                 seen[:m] += ended
@@ -145,7 +174,7 @@ class Parser:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         """Language, score and phrases per symbol."""
-        langs = list(self.tables)
+        langs = list(self.automata)
         counts, n = self.phrases([x or "" for x in texts])
         pred, score, rate = [], [], []
         for row, m in zip(counts.tolist(), n.tolist(), strict=True):
@@ -166,22 +195,37 @@ def held_out(doc_id):
 def learn(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", seed: int = 5) -> dict[str, list[str]]:
     """The bounded sample of labelled texts by language."""
     rows = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} language labels")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return {}
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 40)) / float(1 << 40)
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * SAMPLE_DOCS / r["n"]))])
-    drawn = rows.withColumn("draw", draw).where(F.col("draw") < F.element_at(share, F.col("lang")))
-    # a text gives at most the whole sample, so the driver gets a bounded number of characters per language
-    drawn = drawn.select("lang", "draw", F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, 4 * SAMPLE_SYMBOLS).alias("text"))
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), F.lit(1 << 40)) / float(1 << 40)
+    best = Window.partitionBy("lang").orderBy("draw", "id", "text")
+
+    def drawn(share: dict[str, float]) -> list:
+        """The first rows of each language by the draw, until they hold SAMPLE_SYMBOLS characters: what reaches the driver is
+        at most SAMPLE_SYMBOLS + TEXT_CHARS characters a language."""
+        of = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
+        some = rows.withColumn("draw", draw).where(F.col("draw") < F.element_at(of, F.col("lang")))
+        some = some.select("lang", "draw", F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, TEXT_CHARS).alias("text"))
+        some = some.withColumn("k", F.row_number().over(best)).where(F.col("k") <= SAMPLE_DOCS)
+        before = F.sum(F.length("text")).over(best.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("text")
+        return some.withColumn("before", before).where(F.col("before") < SAMPLE_SYMBOLS).collect()
+
+    # a share of a large language is enough; one whose rows repeat may come back short, and is drawn from all its rows then
+    share = {lang: min(1.0, 4 * SAMPLE_DOCS / n) if n > 4 * SAMPLE_DOCS else 2.0 for lang, n in counts.items()}
+    found = drawn(share)
+    got, chars = Counter(r["lang"] for r in found), Counter()
+    for r in found:
+        chars[r["lang"]] += len(r["text"])
+    short = {lang: 2.0 for lang in counts if got[lang] < SAMPLE_DOCS and chars[lang] < SAMPLE_SYMBOLS and share[lang] < 2.0}
+    if short:
+        found = [r for r in found if r["lang"] not in short] + drawn(short)
     out: dict[str, list[str]] = {}
-    size: dict[str, int] = {}
-    for r in sorted(drawn.toLocalIterator(), key=lambda r: (r["draw"], r["id"], r["text"])):
-        if size.get(r["lang"], 0) < SAMPLE_SYMBOLS:
+    size: Counter = Counter()
+    for r in sorted(found, key=lambda r: (r["lang"], r["k"])):
+        if size[r["lang"]] < SAMPLE_SYMBOLS:
             out.setdefault(r["lang"], []).append(r["text"])
-            size[r["lang"]] = size.get(r["lang"], 0) + len(r["text"])
+            size[r["lang"]] += len(r["text"])
     return out
 
 
@@ -199,15 +243,19 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], *, id_col="doc_id",
     return rows.mapInArrow(mapped(make, "text", schema, ["doc_id"]), f"doc_id {kind.simpleString()}, lang_pred string, score double, phrase_rate double")
 
 
-def keep_identified(docs: DataFrame, samples: dict[str, list[str]], *, text_col="text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text has a language (is not ``und``)."""
+def keep_identified(docs: DataFrame, samples: dict[str, list[str]], *, text_col="text", label_col: str | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text has a language (is not ``und``); with ``label_col`` that
+    string column holds the predicted language instead of what it held."""
+    at = docs.columns.index(label_col) if label_col else None
 
     def run(batches):
         parser = Parser.load(samples)
         for batch in batches:
             for part in slices(batch, text_col):
-                pred, _, _ = parser.predict(part.column(text_col).to_pylist())
-                yield part.filter(pa.array([x != "und" for x in pred], pa.bool_()))
+                pred = pa.array(parser.predict(part.column(text_col).to_pylist())[0], pa.string())
+                if at is not None:
+                    part = part.set_column(at, part.schema.field(at), pred)
+                yield part.filter(pc.not_equal(pred, "und"))
 
     small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
