@@ -1,7 +1,8 @@
 """Sharding by proportional stratified interleaving (law ``rows``).
 
-Rows are shuffled with a seed inside each source, each row gets its fractional rank ``(rank + 0.5) / rows of the source``,
-and all rows are put in the order of that fraction. Every stretch of that order holds each source in its share of the
+Rows are shuffled with a seed inside each source (by an md5 digest), each row gets its fractional rank ``(rank + u) / rows
+of the source`` with a seeded u from 0 to 1 for each source, so that small sources don't all meet at one half, and all rows
+are put in the order of that fraction. Every stretch of that order holds each source in its share of the
 whole, so cutting it into equal stretches makes every shard match the mixture; the shard sizes are at most one row apart.
 
 Ranks are not taken by one window over a source: a source is spread over hash buckets, the bucket counts are summed, and
@@ -19,12 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import global_rank, pick
+from .mixing import bucket_count, digest_order, digest_share
 
-#: Buckets per source and of the final order; a bucket holds rows / BUCKETS of a hot source.
-BUCKETS = 1024
 
-
-def interleave(docs: DataFrame, n_shards: int = 8, seed: int = 17, *, id_col="doc_id", text_col="text", source_col="source", buckets: int = BUCKETS) -> DataFrame:
+def interleave(docs: DataFrame, n_shards: int = 8, seed: int = 17, *, id_col="doc_id", text_col="text", source_col="source", buckets: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, source, fraction, position (global, from 0), shard, slot (in the shard, from 0)."""
     rows = pick(docs, doc_id=id_col, text=text_col, source=source_col).select(
         "doc_id",
@@ -32,17 +31,16 @@ def interleave(docs: DataFrame, n_shards: int = 8, seed: int = 17, *, id_col="do
         F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
         "source",
     )
-    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id")))
-    # the top bits of the hash, as an unsigned number, so that buckets are monotone in the order by hash
-    top = F.floor((F.shiftrightunsigned(F.col("_h").bitwiseXOR(F.lit(-(2**63)).cast("long")), 33)) / F.lit(2**31 / buckets))
+    rows = rows.withColumn("_h", digest_order(seed, F.col("doc_id"), F.col("text_crc32")))
+    n = max(1, rows.count())
+    buckets = buckets or bucket_count(n)
     order = ["_h", "doc_id", "text_crc32", "size"]
-    ranked = global_rank(rows, "source", order, top, buckets)
+    ranked = global_rank(rows, "source", order, F.floor(digest_share(F.col("_h")) * buckets), buckets)
     sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
     ranked = ranked.alias("a").join(sizes.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", F.col("b._n"))
-    ranked = ranked.withColumn("fraction", (F.col("before") + 0.5) / F.col("_n")).drop("before", "_n")
+    ranked = ranked.withColumn("fraction", (F.col("before") + digest_share(digest_order(seed, F.col("source")))) / F.col("_n")).drop("before", "_n")
     order = ["fraction", F.col("source").asc_nulls_last(), *order]
     placed = global_rank(ranked, None, order, F.floor(F.col("fraction") * buckets), buckets).withColumnRenamed("before", "position")
-    n = max(1, rows.count())
     placed = placed.withColumn("shard", F.least(F.expr(f"(position * {n_shards}L) div {n}L"), F.lit(n_shards - 1)).cast("int"))
     # shard s begins at the smallest position with position * shards div n = s
     return placed.withColumn("slot", F.expr(f"position - ((shard * {n}L + {n_shards - 1}L) div {n_shards}L)")).drop("_h")
