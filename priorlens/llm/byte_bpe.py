@@ -7,7 +7,8 @@ bytes takes n log n steps and not n squared. Many pre-tokens share one queue, wh
 bitmap over all places in a bucket.
 
 Null text counts as empty and gives no ids. Repeated rows each get a row; only id and text are read. A text is encoded in
-blocks of pre-tokens, and the table of known pre-tokens is bounded, so memory doesn't grow with text or vocabulary.
+blocks of pre-tokens and the table of known pre-tokens is bounded in bytes, so memory grows with one text, its ids and its
+longest pre-token (about 300 bytes for each byte of it while it is merged), and not with the corpus.
 """
 
 from __future__ import annotations
@@ -26,24 +27,25 @@ from pyspark.sql import functions as F
 from .arrow_maps import mapped, resident, small_batches
 from .common import pick
 
-#: Known pre-tokens kept per worker, about 200 bytes each; the table is emptied when full. More of them save merges, fewer
-#: leave memory to what else lives in the executor.
-KNOWN = 450_000
+#: Bytes of known pre-tokens and their ids kept per worker (an entry counts ``ENTRY`` bytes and what it holds); the table is
+#: emptied when full, and a pre-token of more than ``LONG`` characters is never kept.
+KNOWN_BYTES, ENTRY, LONG = 90_000_000, 170, 256
 BLOCK = 1 << 16
 _LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 class ByteBPE:
-    def __init__(self, path: str, pattern: str, limit: int = KNOWN):
+    def __init__(self, path: str, pattern: str, limit: int = KNOWN_BYTES):
         self.limit = limit
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     @classmethod
-    def load(cls, path: str, pattern: str, limit: int = KNOWN) -> ByteBPE:
+    def load(cls, path: str, pattern: str, limit: int = KNOWN_BYTES) -> ByteBPE:
         """One per worker process."""
         return resident((path, pattern, limit), lambda: cls(path, pattern, limit))
 
@@ -132,26 +134,52 @@ class ByteBPE:
             out.append(ids)
         return out
 
-    def learn(self, pieces: list[str]) -> None:
-        """Take pre-tokens into the table of known ones."""
-        rank, known = self.ranks.get, self.known
+    def learn(self, pieces: list[str], into: dict[str, bytes]) -> None:
+        """The packed ids of pre-tokens."""
+        rank = self.ranks.get
         some, size = [], 0
         for p in pieces:
             b = p.encode()
             if (whole := rank(b)) is not None:
-                known[p] = whole.to_bytes(4, "little")
+                into[p] = whole.to_bytes(4, "little")
                 continue
             some.append((p, b))
             size += len(b)
             if size > BLOCK:
-                self._learn(some)
+                self._learn(some, into)
                 some, size = [], 0
         if some:
-            self._learn(some)
+            self._learn(some, into)
 
-    def _learn(self, some: list[tuple[str, bytes]]) -> None:
+    def _learn(self, some: list[tuple[str, bytes]], into: dict[str, bytes]) -> None:
         for (p, _), ids in zip(some, self.merge([b for _, b in some]), strict=True):
-            self.known[p] = array("I", ids).tobytes() if _LITTLE else b"".join([i.to_bytes(4, "little") for i in ids])
+            into[p] = array("I", ids).tobytes() if _LITTLE else b"".join([i.to_bytes(4, "little") for i in ids])
+
+    def _ready(self, every: set[str]) -> dict[str, bytes]:
+        """A table that has all of these: the known ones, or those and what is too long or too much to be kept."""
+        known = self.known
+        new = [p for p in every if p not in known]
+        if not new:
+            return known
+        short = [p for p in new if len(p) <= LONG]
+        size = sum(map(len, short)) * 2 + ENTRY * len(short)
+        if self.held + size > self.limit:
+            known.clear()
+            self.held = 0
+            new = list(every)
+            short = [p for p in new if len(p) <= LONG]
+            size = sum(map(len, short)) * 2 + ENTRY * len(short)
+        if size > self.limit:
+            found: dict[str, bytes] = {}
+            self.learn(new, found)
+            return found
+        self.learn(short, known)
+        self.held += size
+        if len(short) == len(new):
+            return known
+        found = {p: known[p] for p in every if len(p) <= LONG}
+        self.learn([p for p in new if len(p) > LONG], found)
+        return found
 
     def pack(self, pieces: list[str]) -> bytes:
         """Ids of pre-tokens as little-endian unsigned 32-bit integers."""
@@ -159,24 +187,13 @@ class ByteBPE:
         try:
             return b"".join([known[p] for p in pieces])
         except KeyError:
-            pass
-        new = {p for p in pieces if p not in known}
-        if len(known) + len(new) > self.limit:
-            known.clear()
-            new = set(pieces)
-        self.learn(list(new))
+            known = self._ready(set(pieces))
         return b"".join([known[p] for p in pieces])
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """As ``encode`` for each text; what is new in all of them goes through one queue."""
         found = [self.pattern.findall(x) if x and len(x) <= 8 * BLOCK else None for x in texts]
-        every = set().union(*filter(None, found))
-        new = [p for p in every if p not in self.known]
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            new = list(every)
-        self.learn(new)
-        known = self.known
+        known = self._ready(set().union(*filter(None, found)))
         packed = [None if x is None else b"".join([known[p] for p in x]) for x in found]
         return [self.encode(x) if p is None else p for x, p in zip(texts, packed, strict=True)]
 
@@ -220,11 +237,13 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return rows.mapInArrow(mapped(make, "ids", _schema(kind, ids=pa.binary(), decoded=pa.binary()), ["doc_id", "ids"]), f"doc_id {kind.simpleString()}, ids binary, decoded binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, *, id_col="doc_id", text_col="text", known: int = KNOWN) -> DataFrame:
-    """``decode(encode(docs))`` in one pass, for half the worker processes: doc_id, ids, decoded."""
+def round_trip(docs: DataFrame, path: str, pattern: str, *, id_col="doc_id", text_col="text", known_bytes: int = KNOWN_BYTES, carry: list[str] | None = None) -> DataFrame:
+    """``decode(encode(docs))`` in one pass, for half the worker processes: doc_id, ids, decoded, and the long columns that
+    ``carry`` names."""
+    carry = carry or []
 
     def make():
-        bpe = ByteBPE.load(path, pattern, known)
+        bpe = ByteBPE.load(path, pattern, known_bytes)
 
         def f(texts):
             ids = bpe.encode_all(texts)
@@ -233,9 +252,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str, *, id_col="doc_id", tex
         return f
 
     small_batches(docs.sparkSession)
-    rows = pick(docs, doc_id=id_col, text=text_col)
+    rows = pick(docs, doc_id=id_col, text=text_col, **{c: c for c in carry})
     kind = rows.schema["doc_id"].dataType
-    return rows.mapInArrow(mapped(make, "text", _schema(kind, ids=pa.binary(), decoded=pa.binary()), ["doc_id"]), f"doc_id {kind.simpleString()}, ids binary, decoded binary")
+    schema = _schema(kind, ids=pa.binary(), decoded=pa.binary(), **{c: pa.int64() for c in carry})
+    return rows.mapInArrow(mapped(make, "text", schema, ["doc_id", *carry]), f"doc_id {kind.simpleString()}, ids binary, decoded binary" + "".join(f", {c} long" for c in carry))
 
 
 def _schema(kind, **columns: pa.DataType) -> pa.Schema:
@@ -245,5 +265,6 @@ def _schema(kind, **columns: pa.DataType) -> pa.Schema:
 
 
 def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and what was carried along."""
+    more = [c for c in decoded.columns if c not in ("doc_id", "ids", "decoded")]
+    return decoded.select("doc_id", *more, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -30,7 +30,7 @@ def op4_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return byte_bpe.digests(byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, pattern, known=1_500_000))
+    return byte_bpe.digests(byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, pattern, known_bytes=300_000_000))
 
 
 def op6_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,9 @@ def op6_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", F.get("positions", F.lit(0)).alias("first_position"))
+    mix = mixing.curriculum(table(spark, sf_dir, "documents"))
+    ordered = mixing.training_ranks(mix, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return ordered.select("doc_id", "size", "source_size", "target", "taken", "copies", "first_position", "first_rank")
 
 
 def op8_stratified_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +129,49 @@ l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where
 e as (select a, b from l union all select b, a from l),
 r as (select doc_id as id, doc_id as m from documents union select e.b, r.m from r join e on e.a = r.id and r.m < e.b)
 select doc_id, cast(n as bigint) as n_shingles, min(m) as component_id, doc_id = min(m) as kept from n join r on id = doc_id group by doc_id, n""",
+    "op7_curriculum_mix": """
+with d as (
+  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as size,
+    md5(concat_ws(':', '23', cast(doc_id as varchar), md5(text))) as h from documents
+), s as (
+  select source, cast(sum(size) as bigint) as n, row_number() over (order by source nulls last) - 1 as k from d group by source
+), w as (select *, cast(k % 3 + 1 as double) as w, cast(k % 2 = 0 as boolean) as rising from s),
+-- the sources that stop at three times their size are the first by size over weight
+o as (
+  select *, sum(n) over () - coalesce(sum(3 * n) over (order by n / w, k rows between unbounded preceding and 1 preceding), 0) as rest,
+    sum(w) over () - coalesce(sum(w) over (order by n / w, k rows between unbounded preceding and 1 preceding), 0) as weights,
+    row_number() over (order by n / w, k) as place from w
+), c as (select *, cast(rest as double) * w / weights > 3 * n as stops from o),
+f as (select sum(n) - coalesce(sum(3 * n) filter (stops), 0) as rest, sum(w) - coalesce(sum(w) filter (stops), 0) as weights from c),
+t as (select c.source, c.n, c.w, c.rising, case when stops then cast(3 * c.n as double) else cast(f.rest as double) * c.w / f.weights end as target from c cross join f),
+u as (select *, (case when rising then 0.5 * w else 1.5 * w end) * 0.5 as at1 from t),
+v as (select *, at1 + (case when rising then 1.5 * w else 0.5 * w end) * 0.5 as at2 from u),
+x as (select source, n, target, at1 * (target / at2) as c1, at2 * (target / at2) as c2 from v),
+b as (select d.*, cast(sum(size) over (partition by source order by h, doc_id, size rows between unbounded preceding and current row) as bigint) - size as before from d),
+m as (select b.*, x.n, x.target, x.c1, x.c2, j, j * x.n + b.before + b.size / 2.0 as mid from b join x on b.source is not distinct from x.source, (values (0), (1), (2)) as copies(j)),
+p as (select *, size > 0 and mid < target as took,
+    case when c1 <= mid then 0.5 + 0.5 * (mid - c1) / (c2 - c1) else 0.0 + 0.5 * mid / c1 end as position from m),
+r as (select doc_id, h, source, j, position, row_number() over (order by position, doc_id, size, source nulls last, j) as rank from p where took)
+select p.doc_id, p.size, cast(p.n as bigint) as source_size, p.target, cast(count(*) filter (p.took) * p.size as bigint) as taken, cast(count(*) filter (p.took) as integer) as copies,
+  min(r.position) as first_position, min(r.rank) as first_rank
+from p left join r on p.took and p.j = 0 and r.j = 0 and r.h = p.h and r.source is not distinct from p.source
+group by p.doc_id, p.h, p.size, p.source, p.n, p.target""",
+    "op8_stratified_interleave": """
+with tab as (
+  select list_transform(range(256), lambda i: list_reduce(list_prepend(cast(i as bigint), list_transform(range(8), lambda k: cast(k as bigint))),
+    lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tab
+), b as (
+  select doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 as size, text is null as none,
+    list_transform(range(octet_length(encode(coalesce(text, '')))), lambda i: cast(('0x' || substr(hex(encode(text)), 2 * i + 1, 2)) as bigint)) as bytes from documents
+), d as (
+  select doc_id, source, size, case when not none then xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), bytes), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]))) end as crc from b cross join tab
+), h as (select *, md5(concat_ws(':', '17', cast(doc_id as varchar), cast(crc as varchar))) as h,
+    cast(('0x' || substr(md5(concat_ws(':', '17', source)), 1, 8)) as bigint) / 4294967296.0::double as u from d),
+f as (select *, ((row_number() over (partition by source order by h, doc_id, crc, size) - 1) + u) / count(*) over (partition by source) as fraction, count(*) over () as n from h),
+p as (select *, row_number() over (order by fraction, source nulls last, h, doc_id, crc, size) - 1 as position from f),
+s as (select *, (position * 8) // n as shard from p)
+select doc_id, cast(size as bigint) as size, cast(crc as bigint) as text_crc32, 'rows' as law, cast(shard as integer) as shard,
+  cast(row_number() over (partition by shard order by position) - 1 as bigint) as slot, cast(null as integer) as grown_shard from s""",
     "op9_preference_format": """
 with t as (
   select conv_id, list_sort(list({'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')})) as turns

@@ -6,6 +6,7 @@ own verdict. Verdict tables are broadcast up to a checked number of rows and shu
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +39,9 @@ def without(docs: DataFrame, rejects: DataFrame) -> DataFrame:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """Drops texts without a letter, and null texts."""
-    return langid.keep_identified(docs, langid.learn(docs))
+    """Drops texts without a letter, and null texts. The others' ``lang`` becomes the predicted language, by which the next
+    stages judge them, whatever the label said (it may be null or wrong)."""
+    return langid.keep_identified(docs, langid.learn(docs), label_col="lang")
 
 
 def fit(docs: DataFrame) -> DataFrame:
@@ -66,23 +68,43 @@ def _once(docs: DataFrame, keys: DataFrame) -> DataFrame:
         return docs
     twice = _small(twice)
     left = _key(docs)
-    again = left.join(twice, _match(left, twice), "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    # which of the rows stays is told by their other columns
+    again = left.join(twice, _match(left, twice), "left_semi").withColumn("__row", F.struct(*docs.columns))
+    again = again.groupBy("__id", "__hash").agg(F.min_by("__row", F.sha2(F.to_json("__row"), 256)).alias("__row")).select("__row.*")
     return left.join(twice, _match(left, twice), "left_anti").select(*docs.columns).unionByName(again)
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """Every document as often as the mix takes it, in the order of training positions."""
+    """Every document as often as the mix takes it, in the order of training positions: partitions, and so the files that
+    are written from them, hold ranges of positions, each in order."""
     spark = docs.sparkSession
     plan = stored(mixing.curriculum(docs, with_hash=True).select(F.col("doc_id").alias("__rid"), F.col("text_hash").alias("__rhash"), "positions"), "mix")
     docs = _once(docs, plan)
-    # rows that agree in id and text are taken together
-    plan = plan.groupBy("__rid", "__rhash").agg(F.flatten(F.collect_list("positions")).alias("positions")).where(F.size("positions") > 0)
-    left, plan = _key(docs), _small(stored(plan, "mix-keys"))
-    rows = left.join(plan, _match(left, plan)).select(*docs.columns, F.explode("positions").alias("__position"))
+    # rows that agree in id and text are taken together; a row per copy, so that no value grows with their number
+    left, plan = _key(docs), _small(stored(plan.select("__rid", "__rhash", F.explode("positions").alias("__position")), "mix-copies"))
+    rows = left.join(plan, _match(left, plan)).select(*docs.columns, "__position", "__id", "__hash")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(n, "__position").sortWithinPartitions("__position").drop("__position")
+    order = ["__position", "__id", "__hash"]
+    return rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*docs.columns)
 
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    return byte_bpe.digests(byte_bpe.round_trip(docs, path, pattern))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, and training_rank: its place (from 0) in the order of the
+    files it was read from, which is the order of training; null for documents that aren't read from files."""
+    return byte_bpe.digests(byte_bpe.round_trip(in_order(docs), path, pattern, carry=["training_rank"]))
+
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """doc_id, text, training_rank: rows of the files before, and the row's index in its own. A row per file is broadcast."""
+    columns = [F.col("doc_id"), F.col("text")]
+    try:
+        at = docs.select(*columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:  # not a scan of files
+        return docs.select(*columns, F.lit(None).cast("long").alias("training_rank"))
+    files = at.groupBy("__file").agg(F.count(F.lit(1)).alias("__n")).collect()
+    starts, upto = [], 0
+    for r in sorted(files, key=lambda r: r["__file"]):
+        starts.append((r["__file"], upto))
+        upto += r["__n"]
+    starts = F.broadcast(docs.sparkSession.createDataFrame(starts, "__file string, __start long"))
+    return at.join(starts, "__file").select(*columns, (F.col("__start") + F.col("__row")).alias("training_rank"))

@@ -199,6 +199,28 @@ def test_language_id(spark, docs, empty):
     assert kept.columns == docs.columns and kept.count() == sum(p != "und" for _, p, _ in got)
 
 
+def test_no_label_is_lost(spark):
+    """A label whose rows share an id, repeat, or are few beside another label's has a sample all the same."""
+    for doc in (7, 11, 13, 17, 23):
+        rows = [(doc, f"{text_of(k, 20)}", "one") for k in range(1_000)] + [(1, "el perro y la casa", "two")] * 1_000 + [(3, "la maison et le chat", "few")]
+        got = langid.learn(spark.createDataFrame([r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2], "doc_id long, text string, lang string"))
+        assert set(got) == {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2} and all(any(v) for v in got.values())
+
+
+def test_many_labels_and_letters(spark, monkeypatch):
+    """More labels than are learned: the most frequent ones; an alphabet too large for full tables parses alike."""
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2]
+    d = spark.createDataFrame([(ids[6 * k + j], f"text number {k}", f"l{k}") for k in range(6) for j in range(k + 1)], "doc_id long, text string, lang string")
+    assert set(langid.learn(d)) == {"l3", "l4", "l5"}
+    wide = {"han": ["".join(chr(0x4E00 + i * 7 % 5000) for i in range(3000))], "en": [text_of(1, 300)]}
+    texts = ["".join(chr(0x4E00 + i) for i in range(0, 4000, 7)), text_of(5, 60), "日本語 and the river", "Ω"]
+    full = langid.Parser(wide).phrases(texts)
+    monkeypatch.setattr(langid, "MAX_PLACES", 0)
+    listed = langid.Parser(wide).phrases(texts)
+    assert (full[0] == listed[0]).all() and (full[1] == listed[1]).all()
+
+
 def test_language_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.identify(d, langid.learn(d)).join(d.select("doc_id", "lang"), "doc_id").where(langid.held_out("doc_id"))
@@ -474,6 +496,24 @@ def test_schedule_positions(spark):
     assert [r.position for r in order] == sorted(r.position for r in order) and len(order) == 1200
 
 
+def test_default_schedules_change_in_time(docs, spark):
+    assert [mixing.integral(mixing.ramps(k)) for k in range(6)] == [1.0, 2.0, 3.0, 1.0, 2.0, 3.0]
+    assert all(len({w for _, w in mixing.ramps(k)}) > 1 for k in range(6))
+    df = spark.createDataFrame([(i, "w " * 10, s) for s in "ab" for i in range(400)], "doc_id long, text string, source string")
+    mix = mixing.curriculum(df)
+    early = Counter(r.source for r in mix.collect() for p in r.positions if p < 0.5)
+    late = Counter(r.source for r in mix.collect() for p in r.positions if p >= 0.5)
+    assert early["a"] * 2 < late["a"] and early["b"] > 2 * late["b"]
+    for d in (mix, mixing.curriculum(docs)):
+        out = mixing.training_ranks(d, 4).collect()
+        assert len(out) == d.count()
+        copies = sorted((p, j == 0, r.doc_id if r.doc_id is not None else -1) for r in d.collect() for j, p in enumerate(r.positions))
+        ranks = [r.first_rank for r in out if r.first_rank is not None]
+        assert ranks == sorted(ranks) and all(copies[r.first_rank - 1][0] == r.first_position == r.positions[0] for r in out if r.copies)
+        assert all(r.first_rank is None for r in out if not r.copies) and len(set(ranks)) == len(ranks)
+    assert mixing.training_ranks(mixing.curriculum(docs.limit(0)), 4).collect() == []
+
+
 # 8 sharding
 
 
@@ -565,6 +605,110 @@ def test_broken_file_is_refused(tmp_path):
         list(bitplane.read_file(f"file://{tmp_path}/x"))
 
 
+def test_small_sources_are_spread(spark):
+    """Sources of one row each don't all have the same fraction."""
+    got = sharding.interleave(spark.createDataFrame([(i, "x", f"s{i}") for i in range(400)], "doc_id long, text string, source string"), 8).collect()
+    assert len({r.fraction for r in got}) > 390 and Counter(r.shard for r in got) == Counter({k: 50 for k in range(8)})
+
+
+def test_long_pre_tokens_are_not_kept(tik):
+    b, enc = tik
+    own = byte_bpe.ByteBPE(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, 100_000)
+    texts = [text_of(1, 50), "x" * 5000 + " y", "ab" * 3000, "日本" * 2000, text_of(2, 30_000), "", None, "ab" * 3000]
+    for _ in range(2):
+        got = own.encode_all(texts)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [enc.encode_ordinary(t or "") for t in texts]
+        assert own.held <= 100_000 and all(len(p) <= byte_bpe.LONG for p in own.known)
+
+
+def test_identified_takes_the_predicted_label(docs, empty):
+    from priorlens.llm import stages
+
+    wrong = docs.withColumn("lang", F.when(F.col("doc_id") % 5 == 0, F.lit(None)).otherwise(F.col("lang")))
+    out = stages.identified(wrong)
+    samples = langid.learn(wrong)
+    pred = {(r.doc_id, r.lang_pred) for r in langid.identify(wrong, samples).collect() if r.lang_pred != "und"}
+    assert out.columns == docs.columns and {(r.doc_id, r.lang) for r in out.collect()} == pred
+    assert stages.identified(empty).collect() == []
+
+
+def test_encoded_stage(docs, empty, tmp_path, tik):
+    """The rank follows the files; without files there is none."""
+    from priorlens.llm import stages
+
+    _, enc = tik
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    d = docs.withColumn("training_rank", F.lit(5))
+    d.repartition(3).write.parquet(f"file:{tmp_path}/docs")
+    back = docs.sparkSession.read.parquet(f"file:{tmp_path}/docs")
+    out = stages.encoded(back, path, P.PATTERN).collect()
+    assert sorted(r.training_rank for r in out) == list(range(len(table())))
+    files = sorted((tmp_path / "docs").glob("*.parquet"))
+    import pyarrow.parquet as pq
+
+    order = [t for f in files for t in pq.read_table(f)["text"].to_pylist()]
+    for r in out:
+        ids = np.array(enc.encode_ordinary(order[r.training_rank] or ""), "<u4")
+        assert r.ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest() and r.n_tokens == len(ids)
+    assert {r.training_rank for r in stages.encoded(d, path, P.PATTERN).collect()} == {None}
+    assert stages.encoded(empty, path, P.PATTERN).collect() == []
+
+
+def test_pipeline_against_brute_force(spark, tik, tmp_path):
+    """run() over written tables, step by step in plain Python."""
+    import corpus_pipeline
+
+    _, enc = tik
+    rows = [(*r[:4], 1) for r in rows_of_pipeline()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"file:{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, f"file:{tmp_path}").collect()
+    docs = spark.read.parquet(f"file:{tmp_path}/documents.parquet")
+    samples = langid.learn(docs)
+    pred = langid.Parser(samples).predict([r[1] for r in rows])[0]
+    left = [(r[0], r[1], p, r[3]) for r, p in zip(rows, pred, strict=True) if p != "und"]
+    assert {r[1] for r in rows} - {r[1] for r in left}
+    judged = quality.divergence_rules(spark.createDataFrame(left, "doc_id long, text string, lang string, source string"))
+    kept = {r.doc_id for r in judged.where("kept").collect()}
+    bad = [i for i, t, *_ in left if brute_base(t)[-1]]
+    assert bad and not kept & set(bad)
+    left = [r for r in left if r[0] in kept]
+    found = {i: sets_of(t) for i, t, *_ in left}
+    seen = sorted(found)
+    group = {i: i for i in seen}
+    for a in seen:
+        for b in seen:
+            both = len(found[a] & found[b])
+            if a < b and 100 * both >= 80 * (len(found[a]) + len(found[b]) - both):
+                lo, hi = sorted((group[a], group[b]))
+                group = {k: lo if v == hi else v for k, v in group.items()}
+    left = [r for r in left if group[r[0]] == r[0]]
+    assert len(left) < len(seen)
+    mix = mixing.curriculum(spark.createDataFrame(left, "doc_id long, text string, lang string, source string")).collect()
+    copies = sorted((p, r.doc_id) for r in mix for p in r.positions)
+    of = {i: t for i, t, *_ in left}
+    got = sorted((r.training_rank, r.doc_id, r.n_tokens, r.ids_sha256) for r in out)
+    assert [x[0] for x in got] == list(range(len(copies))) and [x[1] for x in got] == [i for _, i in copies]
+    for _, i, n, digest in got:
+        ids = np.array(enc.encode_ordinary(of[i]), "<u4")
+        assert (n, digest) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+
+
+def rows_of_pipeline():
+    r = random.Random(4)
+    out = []
+    for k in range(90):
+        words = text_of(k, 80 + k).split()
+        out.append((len(out), " ".join(words), "en" if k % 5 else None, f"s{k % 4}"))
+        if k % 9 == 0:
+            words[r.randrange(10, 60)] = "edited"
+            out.append((len(out), " ".join(words), "en", f"s{(k + 1) % 4}"))
+        if k % 10 == 0:
+            out.append((len(out), text_of(k, 20), "en", "s1"))
+            out.append((len(out), "a b c " * 80, "en", "s1"))
+            out.append((len(out), "1234 5678 " * 40, "en", None))
+    return out + [(len(out), None, "en", "s1"), (len(out) + 1, "", None, None)]
+
+
 def test_stage_filters_keep_columns(docs):
     from priorlens.llm import stages
 
