@@ -10,16 +10,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from priorlens.llm import stages
-from priorlens.llm.common import stored, table
+from priorlens.llm.common import drop_stored, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language: null texts and texts without a letter."""
+    """Drops documents in no language (null texts and texts without a letter); the others are labelled as predicted."""
     return stages.identified(docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail the base rules or diverge from their language."""
+    """Drops documents that fail the base rules or diverge from the language they were found to be in."""
     return stages.fit(docs)
 
 
@@ -34,7 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the encoded and the decoded text of every row."""
+    """Token counts, digests of the encoded and the decoded text, and the training rank of every row."""
     return stages.encoded(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -51,9 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = stored(docs, f"stage-{k}")
+            docs, old = stored(docs, f"stage-{k}"), before
+            before = docs
+            if old is not None:  # what the stage has read isn't read again
+                drop_stored(old)
     return docs
