@@ -160,7 +160,7 @@ class Parser:
         start, end, own = map(np.concatenate, (starts, ends, owner))
         order = np.argsort(start - end, kind="stable")  # longest first, so that the live ones are a prefix
         start, length, own = start[order], (end - start)[order], own[order]
-        live = len(length) - np.searchsorted(length[::-1], np.arange(SEGMENT), side="right")
+        live = len(length) - np.searchsorted(length[::-1], np.arange(int(length[0])), side="right")
         for k, automaton in enumerate(self.automata.values()):
             state, seen = np.zeros(len(start), np.int64), np.ones(len(start), np.int64)
             for t in range(int(length[0])):

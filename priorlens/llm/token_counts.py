@@ -7,13 +7,13 @@ border). So a state needs only the longest suffix that may still grow into a pie
 count at each place inside it: finitely many. A transition on a character emits count(prefix + c) - count(prefix).
 States and transitions are compiled when first met and kept in a bounded table.
 
-A text is cut into chunks. A chunk's state map says what it does to any state that enters it: the part before its first
-synchronising point (a space mark after another character, which no piece spans) depends on the entry state and stays
-symbolic, all after it is a constant count and an exit state. State maps compose associatively; a prefix scan over the
-chunks gives the state and the count after each.
+A text is cut into chunks. A chunk's state map says what it does to any state that enters it: the count and the exit state
+from ``START``, and for any other entry the place from which both go the same way, at the latest the chunk's first
+synchronising point (a space mark after another character, which no piece spans). State maps compose associatively; a
+prefix scan over the chunks gives the state and the count after each.
 
-Null and empty texts have 0 tokens. Repeated rows each get a row; only id and text are read. Memory is bounded by a chunk
-and the tables, but for texts that are longer than a slice on their own.
+Null and empty texts have 0 tokens. Repeated rows each get a row; only id and text are read. Memory is bounded by the tables
+and a text with its marked copy, whether it has spaces or not.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ from .common import pick
 
 SPACE = "▁"
 CHUNK = 1 << 16
-#: Compiled transitions and known units kept per worker; each table is emptied when full.
-TRANSITIONS, UNITS = 500_000, 200_000
+#: Compiled transitions and known units kept per worker; each table is emptied when full. Units of more than LONG characters
+#: aren't kept. The tables are looked at after each SCAN chunks.
+TRANSITIONS, UNITS, LONG, SCAN = 500_000, 200_000, 64, 4
 
 
 class Transducer:
@@ -47,12 +48,17 @@ class Transducer:
         self.units: dict[str, int] = {}
         self.reset()
 
-    def reset(self) -> None:
-        """Forget all compiled states; those in use are void then."""
+    def reset(self, state: int | None = None) -> int:
+        """Forget all compiled states but one, and give its new number; the others are void then."""
         start = ("", (None,), (0,))
+        keep = start if state is None else self.states[state]
         self.states, self.number = [start], {start: 0}
         # (state, character) as one integer -> (next state, change of the count) as one integer
         self.table: dict[int, int] = {}
+        if keep not in self.number:
+            self.number[keep] = len(self.states)
+            self.states.append(keep)
+        return self.number[keep]
 
     def border_holds(self, left: str, right: str) -> bool:
         """Merge the characters of both by the order: does no merge cross the border?"""
@@ -132,25 +138,31 @@ class Transducer:
         """Tokens of a text that stands between two synchronising points."""
         n = self.units.get(text)
         if n is None:
-            if len(self.units) >= UNITS:
-                self.units.clear()
-            n = self.units[text] = self.run(self.START, text)[1]
+            n = self.run(self.START, text)[1]
+            if len(text) <= LONG:
+                if len(self.units) >= UNITS:
+                    self.units.clear()
+                self.units[text] = n
         return n
 
 
 class StateMap:
-    """What a chunk does to an entry state. head: depends on it; count, tail: after the head (tail None: all is head)."""
+    """What a stretch of text does to the state before it: ``apply`` gives the state after it and the change of the count.
 
-    __slots__ = ("head", "count", "tail")
+    ``exit`` and ``count`` are the result from ``START``. From another state both readers step side by side until they are in
+    one state, or at the stretch's first synchronising point: from there on they agree. Joined maps hold their two parts, no
+    text of their own, so a text's maps take memory in proportion to it."""
 
-    def __init__(self, head: str, count: int = 0, tail: int | None = None):
-        self.head, self.count, self.tail = head, count, tail
+    __slots__ = ("text", "head", "left", "right", "exit", "count")
+
+    def __init__(self, exit: int, count: int, text: str = "", head: int = -1, left: StateMap | None = None, right: StateMap | None = None):
+        self.exit, self.count, self.text, self.head, self.left, self.right = exit, count, text, head, left, right
 
     @classmethod
     def of(cls, t: Transducer, chunk: str) -> StateMap:
         first = _SYNC.search(chunk)
         if first is None:
-            return cls(chunk)
+            return cls(*t.run(t.START, chunk), chunk, -1)
         at, last = first.end() - 1, chunk.rindex(SPACE)
         while chunk[last - 1] == SPACE:
             last -= 1
@@ -163,18 +175,32 @@ class StateMap:
                 n = sum([known[SPACE + u] for u in units])
             except KeyError:
                 n = sum([t.unit(SPACE + u) for u in units])
-        tail, more = t.run(t.START, chunk[last:])
-        return cls(chunk[:at], n + more, tail)
+        exit, more = t.run(t.START, chunk[last:])
+        return cls(exit, t.run(t.START, chunk[:at])[1] + n + more, chunk[:at], at)
 
     def then(self, t: Transducer, other: StateMap) -> StateMap:
-        if self.tail is None:
-            return StateMap(self.head + other.head, other.count, other.tail)
-        state, n = t.run(self.tail, other.head)
-        return StateMap(self.head, self.count + n + other.count, state if other.tail is None else other.tail)
+        exit, n = other.apply(t, self.exit)
+        return StateMap(exit, self.count + n, left=self, right=other)
 
     def apply(self, t: Transducer, state: int) -> tuple[int, int]:
-        state, n = t.run(state, self.head)
-        return (state if self.tail is None else self.tail), n + self.count
+        if state == t.START:
+            return self.exit, self.count
+        if self.left is not None:
+            state, n = self.left.apply(t, state)
+            if state == self.left.exit:
+                return self.exit, n + self.count - self.left.count
+            state, more = self.right.apply(t, state)
+            return state, n + more
+        other, more, text = t.START, 0, self.text
+        for i in range(len(text)):
+            c = text[i]
+            state, n = t.run(state, c)
+            other, m = t.run(other, c)
+            more += n - m
+            if state == other:
+                return self.exit, self.count + more
+        # without a synchronising point the whole stretch was read
+        return (state if self.head < 0 else self.exit), self.count + more
 
 
 _SYNC = re.compile(f"[^{SPACE}]{SPACE}")
@@ -217,10 +243,15 @@ class Counter:
             return 0
         marked = SPACE + text.replace(" ", SPACE) if self.plain else self.model.normalize(text)
         t = self.transducer
-        if len(t.table) > TRANSITIONS:
-            t.reset()
-        maps = [StateMap.of(t, marked[i : i + chunk]) for i in range(0, len(marked), chunk)]
-        return prefix_scan(t, maps)[-1].apply(t, t.START)[1] if maps else 0
+        state, n = t.START, 0
+        # a scan at a time, so that between two of them the tables can be emptied and a text's maps don't pile up
+        for a in range(0, len(marked), SCAN * chunk):
+            if len(t.table) > TRANSITIONS:
+                state = t.reset(state)
+            maps = [StateMap.of(t, marked[i : i + chunk]) for i in range(a, min(a + SCAN * chunk, len(marked)), chunk)]
+            state, more = prefix_scan(t, maps)[-1].apply(t, state)
+            n += more
+        return n
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 4096, *, id_col="doc_id", text_col="text") -> DataFrame:

@@ -261,6 +261,37 @@ def test_state_maps_are_associative(counter):
     assert left.apply(t, t.START)[1] == right.apply(t, t.START)[1] == token_counts.prefix_scan(t, maps)[-1].apply(t, t.START)[1] == whole
 
 
+def test_state_maps_without_spaces(counter):
+    """Chunks without a synchronising point: maps hold no text of other chunks, and any entry state gives what running does."""
+    t = counter.transducer
+    r = random.Random(6)
+    text = "".join(r.choice(["日本語", "東京", "ation", "er", "th", "の", "不", "é", "in"]) for _ in range(400))
+    maps = [token_counts.StateMap.of(t, text[i : i + 37]) for i in range(0, len(text), 37)]
+    scanned = token_counts.prefix_scan(t, maps)
+    assert all(m.text == "" for m in scanned[1:]) and all(m.head < 0 for m in maps)
+    for before in ("", "▁th", "▁inte", "東", "日"):
+        entry, _ = t.run(t.START, before)
+        for k, m in enumerate(scanned):
+            assert m.apply(t, entry) == t.run(entry, text[: 37 * (k + 1)])
+
+
+def test_long_text_without_spaces_takes_linear_memory(counter):
+    import tracemalloc
+
+    r = random.Random(2)
+    kana = "".join(chr(r.randint(0x3041, 0x3096)) for _ in range(5_000))
+    peaks = []
+    for times in (20, 1_000):  # 0.1 M and 5 M characters
+        text = kana * times
+        tracemalloc.start()
+        n = counter.count(text)
+        peaks.append(tracemalloc.get_traced_memory()[1] - 4 * len(text))
+        tracemalloc.stop()
+        if times == 20:
+            assert n == len(counter.model.encode(text))
+    assert peaks[1] < peaks[0] + 100_000_000
+
+
 def test_count_table_limits(monkeypatch):
     monkeypatch.setattr(token_counts, "TRANSITIONS", 50)
     monkeypatch.setattr(token_counts, "UNITS", 5)
