@@ -57,6 +57,64 @@ def make_folder(path: str) -> None:
     files.create_dir(at, recursive=True)
 
 
+def group_file(folder: str, *keys: int) -> str:
+    return f"{folder}/{'-'.join(f'{k & (2**64 - 1):x}' for k in keys)}.arrow"
+
+
+def write_groups(rows: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Writes the rows of each group of ``keys`` (long columns) to a file of its own in the shared folder, without the keys;
+    returns the keys of the groups. A group is held by one task, so it must be bounded. A repeated attempt writes the same
+    rows under a new name and moves them into place, so a reader never meets half a file."""
+    import pyarrow as pa
+
+    rest = [c for c in rows.columns if c not in keys]
+
+    def write(batches):
+        now, held, done = None, [], []
+
+        def finish():
+            fs, at = open_fs(group_file(folder, *now))
+            own = f"{at}.{uuid.uuid4().hex}"
+            with fs.open_output_stream(own) as out, pa.ipc.new_stream(out, held[0].schema) as sink:
+                for r in held:
+                    sink.write_batch(r)
+            fs.move(own, at)
+            done.append(now)
+
+        for batch in batches:
+            at = [batch.column(c).to_pylist() for c in keys]
+            start = 0
+            for i in range(batch.num_rows):
+                key = tuple(k[i] for k in at)
+                if key != now:
+                    if i > start:
+                        held.append(batch.slice(start, i - start).select(rest))
+                    if now is not None:
+                        finish()
+                    now, held, start = key, [], i
+            if batch.num_rows > start:
+                held.append(batch.slice(start).select(rest))
+        if now is not None:
+            finish()
+        yield pa.RecordBatch.from_pydict({c: pa.array([x[k] for x in done], pa.int64()) for k, c in enumerate(keys)})
+
+    make_folder(folder)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, *keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(write, ", ".join(f"{c} long" for c in keys))
+
+
+def read_group(folder: str, *keys: int, may_lack: bool = False):
+    """The table of a group; None if there is no such file and ``may_lack`` is set."""
+    import pyarrow as pa
+
+    fs, at = open_fs(group_file(folder, *keys))
+    if may_lack and fs.get_file_info(at).type.name == "NotFound":
+        return None
+    with fs.open_input_stream(at) as f, pa.ipc.open_stream(f) as source:
+        return source.read_all()
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: cuts the lineage and outlives lost executors."""
     spark = df.sparkSession

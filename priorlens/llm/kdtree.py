@@ -1,34 +1,40 @@
 """Exact top-k search by inner product with one KD-tree per shard.
 
-Vectors are quantised to integers (floor(scale * x)) and hashed into shards of about ``SHARD_ROWS`` rows. A shard's tree
-splits at the median of the widest dimension down to leaves of ``LEAF_ROWS`` rows; every node has the tight bounding box
-of its rows, and the smallest id below it. A query walks a tree best-first: a heap holds nodes by the upper bound of the
-inner product over their boxes, and the walk ends when no node left can beat the kth best, or tie with it by a smaller
-id. The kth best that the query has reached in a pilot shard is passed on to every other shard as its first bound.
-
-Queries are taken in blocks of at most ``QUERY_BLOCK`` rows, each broadcast on its own, so what is broadcast is bounded at
-any size. Trees are written to the shared folder once and read for each block. Shard results are merged by a grouped
-top-k over at most k rows per query and shard.
-
-Null vectors, vectors with a null or non-finite component or of another length than the most frequent, and rows without
-an id take no part. Rows with an equal id are separate candidates; a query never meets a row with its own id. Scores must
-fit 64-bit integers: a vector whose components exceed 2^26 after scaling is refused. An empty table gives no rows.
+Vectors are quantised to integers (floor(scale * x)) and hashed into shards of at most about ``SHARD_ROWS`` rows. A shard's
+tree splits at the median of the widest dimension down to leaves of ``LEAF_ROWS`` rows; every node has the tight bounding
+box of its rows, and the smallest id below it. A query walks a tree best-first: a heap holds nodes by the upper bound of
+the inner product over their boxes, and the walk ends when no node left can beat the kth best, or tie with it by a smaller
+id.
+
+The task that builds a tree writes it to the shared folder and searches it for the shard's own queries; their kth best
+goes with them as a first bound to every other shard. Queries are written in blocks of at most about ``QUERY_BLOCK`` rows.
+Then every (block, shard) is searched, in one job: a task takes a block through some shards and raises the bounds by what
+it finds on the way. Nothing is collected or broadcast; tasks hold a tree, a block and k results a query. What the tasks
+find is merged by a grouped top-k over at most k rows per query and task.
+
+Null vectors, vectors with a null or non-finite component, and rows without an id take no part; vectors of each length are
+searched among themselves. Rows with an equal id are separate candidates; a query never meets a row with its own id.
+Scores must fit 64-bit integers: a vector whose components exceed 2^26 after scaling is refused. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
 
 import heapq
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, stored
+from .common import make_folder, open_fs, pick, read_group, shared_path, stored, write_groups
 
-SHARD_ROWS, LEAF_ROWS, QUERY_BLOCK = 16_384, 256, 32_768
+SHARD_ROWS, LEAF_ROWS, QUERY_BLOCK = 16_384, 256, 8_192
+#: Shards are made smaller, down to this, while there are fewer of them than cores.
+LEAST_SHARD_ROWS = 2_048
 LIMIT = 1 << 26
 
 
@@ -116,57 +122,113 @@ def quantised(vectors: DataFrame, scale: float, id_col: str, vector_col: str) ->
     return rows.select("vec_id", F.when(far, F.raise_error(F.lit(f"a component exceeds {LIMIT} after scaling"))).otherwise(v).alias("v"))
 
 
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    return np.asarray(column.flatten(), np.int64).reshape(n, -1)
+
+
 def top_k(vectors: DataFrame, k: int = 20, scale: float = 64.0, query_every: int = 20, *, id_col="vec_id", vector_col="embedding", shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score for the queries (ids divisible by ``query_every``) against all rows."""
     spark = vectors.sparkSession
-    rows = quantised(vectors, scale, id_col, vector_col)
-    is_query = F.col("vec_id") % query_every == 0
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dims, n, n_queries = sizes[0]["d"], sizes[0]["n"], sizes[0]["q"]
-    rows = rows.where(F.size("v") == dims)
-    n_shards = max(1, -(-n // shard_rows))
-    shards = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_shards)).cast("int"))
-
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = Tree(pdf["vec_id"].to_numpy(), np.array(pdf["v"].tolist(), np.int64).reshape(len(pdf), dims))
-        return pd.DataFrame({"shard": [key[0]], "tree": [pickle.dumps(tree, protocol=5)]})
-
-    # equal rows share a hash: a vector that many ids have is spread by its id
-    trees = stored(shards.groupBy("shard").applyInPandas(build, "shard int, tree binary"), "trees").repartition(n_shards, "shard")
-    n_blocks = max(1, -(-n_queries // query_block))
-    asked = rows.where(is_query).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(n_blocks)).cast("int"))
-    pilot = trees.agg(F.min("shard")).first()[0]
-    found = None
-    for b in range(n_blocks):
-        block = asked.where(F.col("block") == b).drop("block").toPandas()
-        if block.empty:
-            continue
-        q_ids, q = block["vec_id"].to_numpy(), np.array(block["v"].tolist(), np.int64).reshape(len(block), dims)
-        lowest = np.full(len(block), -(2.0**62))
-        first = _searched(trees.where(F.col("shard") == pilot), q_ids, q, lowest, k)
-        # the kth best of each query in the pilot shard, if it has k there
-        reached = first.groupBy("query").agg(F.min("score").alias("s"), F.count(F.lit(1)).alias("c")).where(F.col("c") >= k).toPandas()
-        floor = lowest.copy()
-        floor[reached["query"].to_numpy(int)] = reached["s"].to_numpy()
-        part = stored(_searched(trees, q_ids, q, floor, k), "found")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    cores = spark.sparkContext.defaultParallelism
+    rows = stored(quantised(vectors, scale, id_col, vector_col).withColumn("d", F.size("v")), "vectors")
+    # a row per length of vectors
+    sizes = rows.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % query_every == 0).alias("q")).orderBy("d").collect()
+    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if not any(r["q"] for r in sizes):
+        return none
+    total = sum(r["n"] for r in sizes)
+    least = min(shard_rows, max(LEAST_SHARD_ROWS, total // (2 * cores)))
+    plan, n_shards, n_blocks = [], 0, 0
+    for r in sizes:
+        shards, blocks = max(1, -(-r["n"] // least)), -(-r["q"] // query_block)
+        plan.append((r["d"], n_shards, shards, n_blocks, blocks))
+        n_shards, n_blocks = n_shards + shards, n_blocks + blocks
+    plan = F.broadcast(spark.createDataFrame(plan, "d int, first_shard long, shards long, first_block long, blocks long"))
+    # equal vectors are spread by their ids
+    dealt = rows.join(plan, "d").withColumn("shard", (F.col("first_shard") + F.pmod(F.xxhash64("vec_id", "v"), F.col("shards"))).cast("int"))
+    folder = shared_path(spark, "kdtrees")
+    make_folder(folder)
+    dealt = dealt.repartitionById(n_shards, "shard").sortWithinPartitions("shard").select("shard", "first_block", "blocks", "vec_id", "v")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, "shard"):
+            shard, first, blocks = (t[c][0].as_py() for c in ("shard", "first_block", "blocks"))
+            ids, v = t["vec_id"].to_numpy(), _matrix(t["v"].combine_chunks(), t.num_rows)
+            tree = Tree(ids, v)
+            file = f"{folder}/tree-{shard}-{uuid.uuid4().hex}"
+            fs, at = open_fs(file)
+            with fs.open_output_stream(at) as out:
+                out.write(pickle.dumps(tree, protocol=5))
+            asks = np.flatnonzero(ids % query_every == 0)
+            own, found, score = tree.search(ids[asks], v[asks], np.full(len(asks), -(2.0**62)), k)
+            cut = np.searchsorted(own, np.arange(len(asks) + 1)).tolist()
+            query = [shard << 32 | int(i) for i in asks]
+            out = {"file": [file] + [None] * len(asks), "shard": [shard] * (len(asks) + 1), "first_block": [first] * (len(asks) + 1), "blocks": [blocks] * (len(asks) + 1)}
+            out["block"] = [None] + [first + int(i) % blocks for i in ids[asks] // query_every] if len(asks) else [None]
+            out |= {"query": [None, *query], "query_id": [None, *ids[asks].tolist()], "q": [None, *v[asks].tolist()]}
+            out["ids"] = [None] + [found[a:z].tolist() for a, z in zip(cut, cut[1:], strict=False)]
+            out["scores"] = [None] + [score[a:z].tolist() for a, z in zip(cut, cut[1:], strict=False)]
+            yield pa.RecordBatch.from_pydict(out, schema=built_schema)
+
+    big, longs = pa.int64(), pa.list_(pa.int64())
+    built_schema = pa.schema([("file", pa.string()), ("shard", big), ("first_block", big), ("blocks", big), ("block", big), ("query", big), ("query_id", big), ("q", longs), ("ids", longs), ("scores", longs)])
+    built = stored(dealt.mapInArrow(build, "file string, shard long, first_block long, blocks long, block long, query long, query_id long, q array<long>, ids array<long>, scores array<long>"), "trees")
+    queries = built.where("file is null")
+    blocks = stored(write_groups(queries.select("block", "query", "query_id", "q", "scores"), ["block"], folder), "query-blocks")
+    # a unit of work for every tree and block of its length; a task takes one block through every ``ways``-th shard
+    ways = max(1, min(n_shards, -(-4 * cores // max(1, n_blocks))))
+    units = built.where("file is not null and blocks > 0").select("file", "shard", F.explode(F.sequence("first_block", F.col("first_block") + F.col("blocks") - 1)).alias("block"))
+    units = units.join(F.broadcast(blocks) if n_blocks <= 1_000_000 else blocks, "block", "left_semi")
+    n_parts = max(1, min(n_blocks * ways, 100_000))
+    units = units.withColumn("part", F.pmod(F.col("block") * ways + F.col("shard") % ways, F.lit(n_parts)).cast("int"))
+    units = units.repartitionById(n_parts, "part").sortWithinPartitions("block", "shard").select("block", "shard", "file")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, "block"):
+            asked = read_group(folder, t["block"][0].as_py())
+            n = asked.num_rows
+            query, q_ids, q = asked["query"].to_numpy(), asked["query_id"].to_numpy(), _matrix(asked["q"].combine_chunks(), n)
+            known = asked["scores"].to_pylist()
+            floor = np.array([x[-1] if len(x) >= k else -(2.0**62) for x in known])
+            own, ids, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+            for shard, file in zip(t["shard"].to_pylist(), t["file"].to_pylist(), strict=True):
+                rest = np.flatnonzero(query >> 32 != shard)
+                fs, at = open_fs(file)
+                with fs.open_input_stream(at) as f:
+                    tree = pickle.loads(f.read())
+                a, b, c = tree.search(q_ids[rest], q[rest], floor[rest], k)
+                own, ids, score = np.concatenate((own, rest[a])), np.concatenate((ids, b)), np.concatenate((score, c))
+                # the k best of each query so far, and the bound they give
+                order = np.lexsort((ids, -score, own))
+                own, ids, score = own[order], ids[order], score[order]
+                place = np.arange(len(own)) - np.searchsorted(own, own)
+                best = place < k
+                own, ids, score, place = own[best], ids[best], score[best], place[best]
+                last = place == k - 1
+                floor[own[last]] = np.maximum(floor[own[last]], score[last])
+            for a in range(0, len(own), 10_000):
+                z = slice(a, a + 10_000)
+                yield pa.RecordBatch.from_arrays([pa.array(query[own[z]]), pa.array(q_ids[own[z]]), pa.array(ids[z]), pa.array(score[z])], names=["query", "query_id", "vec_id", "score"])
+
+    found = units.mapInArrow(search, "query long, query_id long, vec_id long, score long")
+    near = queries.select("query", "query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query", "query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
     best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = found.unionByName(near).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _searched(trees: DataFrame, q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> DataFrame:
-    shared = trees.sparkSession.sparkContext.broadcast((q_ids, q.astype(np.int32), floor))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, vectors, low = shared.value
-        for pdf in batches:
-            for tree in pdf["tree"]:
-                own, vec_id, score = pickle.loads(tree).search(ids, vectors, low, k)
-                yield pd.DataFrame({"query": own, "query_id": ids[own], "vec_id": vec_id, "score": score})
-
-    return trees.select("tree").mapInPandas(run, "query int, query_id long, vec_id long, score long")
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of consecutive rows with one value of the key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        values = batch.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), batch.num_rows]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            if a == z:
+                continue
+            if held and held[0].column(key)[0].as_py() != values[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, z - a))
+    if held:
+        yield pa.Table.from_batches(held)

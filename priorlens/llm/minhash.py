@@ -25,7 +25,6 @@ repeated id takes its own text's component. An empty table gives no rows.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from itertools import accumulate
 from math import comb
@@ -36,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_maps import mapped, resident, small_batches
-from .common import drop_stored, make_folder, open_fs, pick, shared_path, stored
+from .common import drop_stored, pick, read_group, shared_path, stored, write_groups
 
 WORDS, THRESHOLD = 5, 85
 BANDS, ROWS = 20, 4
@@ -213,58 +212,15 @@ def _neighbours(many: DataFrame, turn: int) -> DataFrame:
     return dealt.select("bucket", "id", "component").mapInArrow(pairs, "a long, b long").distinct()
 
 
-def _block_path(folder: str, bucket: int, block: int) -> str:
-    return f"{folder}/{bucket & (2**64 - 1):016x}-{block}.arrow"
-
-
-def _write_blocks(dealt: DataFrame, folder: str) -> DataFrame:
-    """Writes every (bucket, block) to a file of its own, once; returns bucket, band, block, blocks. A repeated attempt writes
-    the same rows under a new name and moves them into place, so a reader never meets half a file."""
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, done = None, [], []
-
-        def finish():
-            fs, at = open_fs(_block_path(folder, *now[:2]))
-            own = f"{at}.{uuid.uuid4().hex}"
-            with fs.open_output_stream(own) as out, pa.ipc.new_stream(out, rows[0].schema) as sink:
-                for r in rows:
-                    sink.write_batch(r)
-            fs.move(own, at)
-            done.append(now)
-
-        for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "block", "blocks")])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            for a, z in zip(cuts, cuts[1:], strict=False):
-                if a == z:
-                    continue
-                key = tuple(keys[:, a].tolist())
-                if key != now:
-                    if now is not None:
-                        finish()
-                    now, rows = key, []
-                rows.append(batch.slice(a, z - a).select(["id", "component", "set"]))
-        if now is not None:
-            finish()
-        yield pa.RecordBatch.from_pydict({c: pa.array([x[k] for x in done], pa.int64()) for k, c in enumerate(("bucket", "block", "blocks"))})
-
-    make_folder(folder)
-    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(write, "bucket long, block long, blocks long")
-
-
 class _Block:
     """A block's rows; ``ids`` is empty for a number that no member was dealt to. (A block with members is opened by a task
     of its own with ``own``, which fails if the file is lost.)"""
 
-    def __init__(self, folder: str, bucket: int, block: int, own: bool):
-        fs, at = open_fs(_block_path(folder, bucket, block))
-        if not own and fs.get_file_info(at).type.name == "NotFound":
+    def __init__(self, folder: str, bucket: int, block: int, blocks: int, own: bool):
+        rows = read_group(folder, bucket, block, blocks, may_lack=not own)
+        if rows is None:
             self.ids, self.component, self.n, self.sets = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), []
             return
-        with fs.open_input_stream(at) as f, pa.ipc.open_stream(f) as source:
-            rows = source.read_all()
         self.ids, self.component = rows["id"].to_numpy(), rows["component"].to_numpy()
         self.sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["set"]]
         self.n = np.array([len(x) for x in self.sets])
@@ -310,11 +266,11 @@ def _search_blocks(manifest: DataFrame, folder: str, threshold: int) -> DataFram
                         parent[c] = c = parent.get(p, p)
                     return c
 
-                own, out = _Block(folder, bucket, block, True), []
+                own, out = _Block(folder, bucket, block, blocks, True), []
                 for d in range(blocks // 2 + 1):
                     if 2 * d == blocks and 2 * block >= blocks:
                         continue
-                    far = _Block(folder, bucket, (block + d) % blocks, False) if d else own
+                    far = _Block(folder, bucket, (block + d) % blocks, blocks, False) if d else own
                     x, y = (np.array([root(c) for c in v.component.tolist()]) for v in (own, far))
                     may = (x[:, None] != y) & (100 * np.minimum(own.n[:, None], far.n) >= threshold * np.maximum(own.n[:, None], far.n))
                     i, j = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
@@ -345,7 +301,8 @@ def _missed(members: DataFrame, tested: DataFrame, named: DataFrame, full: DataF
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("t") * 8 / BLOCK_BYTES))
     dealt = many.withColumn("blocks", blocks.cast("long")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     folder = shared_path(named.sparkSession, "blocks")
-    manifest = stored(_write_blocks(dealt.select("bucket", "block", "blocks", "id", "component").join(full, "id"), folder), "block-manifest")
+    held = dealt.select("bucket", "block", "blocks", "id", "component").join(full, "id")
+    manifest = stored(write_groups(held, ["bucket", "block", "blocks"], folder), "block-manifest")
     return links.unionByName(_search_blocks(manifest, folder, threshold))
 
 
