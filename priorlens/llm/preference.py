@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import global_rank, pick
+from .mixing import bucket_count, digest_order, digest_share
 
 HEADER, END = "<|%s|>\n", "\n<|end|>\n"
 
@@ -27,14 +28,33 @@ def conversations(turns: DataFrame, *, conv_col="conv_id", turn_col="turn", role
     return rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
-def swapped_replies(convs: DataFrame) -> DataFrame:
-    """pair_id, chosen, rejected: each conversation up to its last assistant turn, against the same turns with the last
-    reply of its neighbour (ids 2k and 2k + 1) in its place. Without an assistant turn in both, there is no pair."""
-    last = F.size("turns") - F.array_position(F.reverse(F.transform("turns", lambda t: t["role"])), F.lit("assistant")) + 1
-    own = convs.where(F.exists("turns", lambda t: t["role"] == "assistant")).withColumn("_last", last.cast("int"))
-    own = own.select("conv_id", F.slice("turns", 1, F.col("_last")).alias("chosen"))
-    replies = own.select(F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id"), F.element_at("chosen", -1).alias("_reply"))
-    return own.join(replies, "conv_id").select(F.col("conv_id").alias("pair_id"), "chosen", F.concat(F.slice("chosen", 1, F.size("chosen") - 1), F.array("_reply")).alias("rejected"))
+def swapped_replies(turns: DataFrame, seed: int = 41, *, conv_col="conv_id", turn_col="turn", role_col="role", text_col="text") -> DataFrame:
+    """pair_id, chosen, rejected, for turns that no one has judged: a conversation up to its last reply is the chosen side;
+    the rejected side leaves it at one of its replies, picked by a seeded digest, and has there the last reply of another
+    conversation: the next one, in the order of digests, that has a reply (after the last comes the first). A conversation
+    without a reply is no pair; where it is the only one that has any, the rejected side ends before the reply.
+
+    Conversations are put together once; what finds the other reply moves ids and last replies only."""
+    rows = pick(turns, conv_id=conv_col, turn=turn_col, role=role_col, text=text_col).where("conv_id is not null")
+    replies = rows.where("role = 'assistant'").withColumn("text", F.coalesce("text", F.lit(""))).groupBy("conv_id").agg(F.max_by(F.struct("role", "text"), F.struct("turn", "text")).alias("_reply"))
+    ids = rows.where("role = 'assistant'").select("conv_id").distinct().withColumn("_h", digest_order(seed, F.col("conv_id")))
+    n = ids.count()
+    buckets = bucket_count(n)
+    placed = global_rank(ids, None, ["_h", "conv_id"], F.floor(digest_share(F.col("_h")) * buckets), buckets)
+    nexts = placed.select(F.pmod(F.col("before") - 1, F.lit(max(n, 1))).alias("before"), F.col("conv_id").alias("_other"))
+    other = placed.join(nexts, "before").where("conv_id <> _other").select("conv_id", "_other")
+    other = other.join(replies.withColumnRenamed("conv_id", "_other"), "_other").select("conv_id", "_reply")
+    convs = conversations(rows).withColumn("_at", F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1)), lambda i: i.isNotNull())).where(F.size("_at") > 0)
+    k = F.least(F.floor(digest_share(digest_order(seed, F.lit("at"), F.col("conv_id"))) * F.size("_at")), F.size("_at") - 1)
+    convs = convs.withColumn("_k", F.element_at("_at", (k + 1).cast("int")).cast("int"))
+    none = F.expr("cast(array() as array<struct<role:string,text:string>>)")
+    reply = F.coalesce(F.when(F.col("_reply").isNotNull(), F.array("_reply")), none)
+    return convs.join(other, "conv_id", "left").select(F.col("conv_id").alias("pair_id"), F.slice("turns", 1, F.element_at("_at", -1).cast("int")).alias("chosen"), F.concat(F.slice("turns", 1, F.col("_k") - 1), reply).alias("rejected"))
+
+
+def mask(segments):
+    """A completion's mask as text: ``loss:characters`` of each segment, in order."""
+    return F.concat_ws(",", F.transform(segments, lambda s: F.concat_ws(":", s["loss"].cast("string"), F.length(s["text"]).cast("string"))))
 
 
 def render(turns):

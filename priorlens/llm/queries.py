@@ -49,10 +49,8 @@ def op8_stratified_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = preference.swapped_replies(preference.conversations(table(spark, sf_dir, "conversations")))
-    learned = lambda c: F.aggregate(c, F.lit(0), lambda a, s: a + F.when(s["loss"] == 1, F.length(s["text"])).otherwise(0)).cast("long")
-    out = preference.preference_format(pairs)
-    return out.select("pair_id", "prefix_turns", "prompt", "chosen", "rejected", "identical", learned("chosen_segments").alias("chosen_learned_chars"), learned("rejected_segments").alias("rejected_learned_chars"))
+    out = preference.preference_format(preference.swapped_replies(table(spark, sf_dir, "conversations")))
+    return out.select("pair_id", "prefix_turns", "prompt", "chosen", "rejected", preference.mask("chosen_segments").alias("chosen_mask"), preference.mask("rejected_segments").alias("rejected_mask"), "identical")
 
 
 def op10_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +62,6 @@ def op10_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op2_kdtree_topk, op3_cross_parsing, op4_transducer_counts, op5_rank_queue_bpe, op6_minhash_components, op7_curriculum_mix, op8_stratified_interleave, op9_preference_format, op10_bitplane_ids)}
 
 
-
-
 def _class_counts() -> str:
     """The character classes, one after the other, as SQL columns l0, l1 ... of the lengths that are left."""
     rest, out = "t", ["length(t) as l0"]
@@ -81,6 +77,14 @@ def _distance(p: str, q: str) -> str:
     return f"sqrt(greatest(0, list_sum(list_transform(range(1, len({p}) + 1), lambda i: {term(x, y)} + {term(y, x)})) / 2))"
 
 
+def _rendered(turns: str) -> str:
+    return f"coalesce(array_to_string(list_transform({turns}, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || chr(10) || '<|end|>' || chr(10)), ''), '')"
+
+
+def _masked(turns: str) -> str:
+    return f"coalesce(array_to_string(list_transform({turns}, lambda t: '0:' || (length(t.role) + 5) || ',' || (case when t.role = 'assistant' then '1:' else '0:' end) || (length(t.text) + 9)), ','), '')"
+
+
 N_CLASSES, N_COMMONS = len(quality.CLASSES) + 1, len(quality.VOCABULARY) + 1
 
 SQL: dict[str, str] = {
@@ -177,17 +181,19 @@ with t as (
   select conv_id, list_sort(list({'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')})) as turns
   from conversations where conv_id is not null group by conv_id
 ), a as (
-  select conv_id, turns, list_max(list_transform(range(1, len(turns) + 1), lambda i: case when turns[i].role = 'assistant' then i else 0 end)) as n from t
-), own as (select conv_id, turns[1:n] as c, turns[n] as reply, n from a where n > 0),
-p as (select o.conv_id as pair_id, o.c, o.n, o.reply, r.reply as other from own o join own r on r.conv_id = xor(o.conv_id, 1)),
-q as (select *, (reply.role = other.role and reply.text = other.text) as identical from p),
-s as (select *, case when identical then n else n - 1 end as k,
-  '<|assistant|>' || chr(10) || reply.text || chr(10) || '<|end|>' || chr(10) as cr,
-  '<|assistant|>' || chr(10) || other.text || chr(10) || '<|end|>' || chr(10) as rr from q)
-select pair_id, cast(k as integer) as prefix_turns,
-  coalesce(array_to_string(list_transform(c[1:k], lambda t: '<|' || t.role || '|>' || chr(10) || t.text || chr(10) || '<|end|>' || chr(10)), ''), '') as prompt,
-  case when identical then '' else cr end as chosen, case when identical then '' else rr end as rejected, identical,
-  cast(case when identical then 0 else length(reply.text) + 9 end as bigint) as chosen_learned_chars,
-  cast(case when identical then 0 else length(other.text) + 9 end as bigint) as rejected_learned_chars
-from s""",
+  select conv_id, turns, list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant') as places from t
+), o as (
+  select *, places[len(places)] as n, turns[places[len(places)]] as reply, row_number() over (order by md5(concat_ws(':', '41', cast(conv_id as varchar))), conv_id) - 1 as rank, count(*) over () as every,
+    cast(floor(cast(('0x' || substr(md5(concat_ws(':', '41', 'at', cast(conv_id as varchar))), 1, 8)) as bigint) / 4294967296.0::double * len(places)) as bigint) as k
+  from a where len(places) > 0
+), p as (
+  select o.conv_id as pair_id, [{'role': x.role, 'text': x.text} for x in o.turns[1:o.n]] as c,
+    list_concat([{'role': x.role, 'text': x.text} for x in o.turns[1:o.places[o.k + 1] - 1]], case when r.conv_id <> o.conv_id then [{'role': r.reply.role, 'text': r.reply.text}] else [] end) as r
+  from o join o r on r.rank = (o.rank + 1) % o.every
+), s as (
+  select *, coalesce(list_position(list_transform(range(1, greatest(len(c), len(r)) + 1), lambda i: i <= len(c) and i <= len(r) and c[i].role = r[i].role and c[i].text = r[i].text), false), greatest(len(c), len(r)) + 1) - 1 as k from p
+), x as (select pair_id, k, c[1:k] as p, c[k + 1:len(c)] as c, r[k + 1:len(r)] as r from s),
+y as (select *, (len(c) = 0 and len(r) = 0) as identical from x)
+select pair_id, cast(k as integer) as prefix_turns, """ + _rendered("p") + """ as prompt, """ + _rendered("c") + """ as chosen, """ + _rendered("r") + """ as rejected, """ + _masked("c") + """ as chosen_mask, """ + _masked("r") + """ as rejected_mask, identical
+from y""",
 }

@@ -594,13 +594,34 @@ def test_preference_format(spark):
 
 
 def test_swapped_replies(spark):
-    turns = [(0, 0, "user", "q"), (0, 1, "assistant", "x"), (0, 2, "user", "tail"), (1, 1, "assistant", None), (1, 0, None, "q"), (2, 0, "user", "alone"), (3, 0, "user", "no reply"), (None, 0, "user", "?"), (4, None, "assistant", "n"), (5, 0, "assistant", "n"), (5, 0, "assistant", "n")]
+    """Pairs part at varied turns; every conversation with a reply has one."""
+    r = random.Random(3)
+    turns = [(0, 0, "user", "q"), (0, 1, "assistant", "x"), (0, 2, "user", "tail"), (1, 1, "assistant", None), (1, 0, None, "q"), (2, 0, "user", "alone"), (None, 0, "user", "?"), (4, None, "assistant", "n"), (5, 0, "assistant", "n"), (5, 0, "assistant", "n")]
+    turns += [(c, k, ("user", "assistant")[k % 2], f"{c} {k}") for c in range(10, 70) for k in range(r.randint(1, 11))]
     df = spark.createDataFrame([(*x, 1) for x in turns], "conv_id long, turn long, role string, text string, turns int")
-    got = {r.pair_id: r for r in preference.preference_format(preference.swapped_replies(preference.conversations(df))).collect()}
-    assert set(got) == {0, 1, 4, 5}
-    assert got[0].prefix_turns == 1 and "tail" not in got[0].chosen and got[0].rejected == "<|assistant|>\n\n<|end|>\n"
-    assert got[4].identical and got[5].identical
-    assert preference.swapped_replies(preference.conversations(df.where("conv_id > 99"))).collect() == []
+    got = {r.pair_id: r for r in preference.preference_format(preference.swapped_replies(df.repartition(3))).collect()}
+    by = defaultdict(list)
+    for c, k, role, text, in turns:
+        if c is not None:
+            by[c].append((-1 if k is None else k, role or "", text or ""))
+    by = {c: [x[1:] for x in sorted(v)] for c, v in by.items() if any(x[1] == "assistant" for x in v)}
+    order = sorted(by, key=lambda c: (hashlib.md5(f"41:{c}".encode()).hexdigest(), c))
+    ren = lambda x: "".join(f"<|{r}|>\n{s}\n<|end|>\n" for r, s in x)
+    parted = set()
+    assert set(got) == set(by)
+    for i, c in enumerate(order):
+        other = by[order[(i + 1) % len(order)]]
+        at = [k for k, x in enumerate(by[c]) if x[0] == "assistant"]
+        k = at[int(int(hashlib.md5(f"41:at:{c}".encode()).hexdigest()[:8], 16) / 2**32 * len(at))]
+        chosen, rejected = by[c][: at[-1] + 1], [*by[c][:k], [x for x in other if x[0] == "assistant"][-1]]
+        n = next((j for j, (a, b) in enumerate(zip(chosen, rejected)) if a != b), min(len(chosen), len(rejected)))
+        x = got[c]
+        assert (x.prefix_turns, x.prompt, x.chosen, x.rejected, x.identical) == (n, ren(chosen[:n]), ren(chosen[n:]), ren(rejected[n:]), chosen == rejected)
+        parted.add((n < len(chosen) - 1, n))
+    assert len(parted) > 6
+    only = preference.preference_format(preference.swapped_replies(df.where("conv_id = 10 or conv_id = 2"))).collect()
+    assert all(x.rejected == "" for x in only)
+    assert preference.swapped_replies(df.where("conv_id > 99")).collect() == []
 
 
 # 10 bit planes
