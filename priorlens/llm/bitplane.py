@@ -11,7 +11,8 @@ counts; then the index's length as 8 bytes and the closing mark. A reader seeks
 
 Every attempt of a task writes a file of a new name and only then reports it; the manifest of reported files is all that
 is read, so lost executors and speculative twins leave no trace in the result. Files are written below the shared folder
-through pyarrow's file systems. A writer holds one block, a reader one block and one document.
+through pyarrow's file systems. A writer holds a block and its file's index (an id and a count for each document), a reader
+the index, a block and a document; the number of files follows the bytes of text, at about ``FILE_BYTES`` each.
 
 Null texts count as empty: they have the end id alone. Null ids come first. Repeated rows each get a row; rows of one id
 are ordered by their ids. Only id and text are read. An empty table writes no file and gives no rows.
@@ -23,6 +24,7 @@ import json
 import os
 import re
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_maps import BATCH_ROWS, mapped, resident, small_batches
+from .arrow_maps import BATCH_ROWS, resident, slices, small_batches
 from .byte_bpe import _schema
 from .common import make_folder, open_fs, pick, shared_path, stored
 
 BLOCK = 1 << 16
 MARK = b"BITPLANE"
-KNOWN = 1_200_000
+#: Bytes of known pieces and their ids kept per worker (an entry counts ``ENTRY`` bytes and what it holds); the table is
+#: emptied when full, and a piece of more than ``LONG`` characters is never kept.
+KNOWN_BYTES, ENTRY, LONG = 220_000_000, 170, 256
+#: Text that a file should hold, the most files, and the ids sampled for each border between them.
+FILE_BYTES, MAX_FILES, SAMPLE_IDS = 32 << 20, 100_000, 64
 
 
 class Encoder:
@@ -64,6 +70,7 @@ class Encoder:
         signs = "".join(re.escape(c) for c in map(chr, range(0x21, 0x7F)) if c not in {t["content"][:1] for t in spec.get("added_tokens", [])})
         self.plain = f"^[ \\n\\t\\r{signs}{_LATIN}]*$"
         self.pieces: dict[str, bytes] = {}
+        self.held = 0
 
     @classmethod
     def load(cls, path: str) -> Encoder:
@@ -72,16 +79,33 @@ class Encoder:
     def _library(self, some: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch(some, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str], into: dict[str, bytes]) -> None:
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
             ids = np.array(self.model.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) == len(some):
                 raw, at = ids.tobytes(), [0, *(4 * at).tolist()]
-                self.pieces.update(zip(some, [raw[a:z] for a, z in zip(at, at[1:], strict=False)], strict=True))
+                into.update(zip(some, [raw[a:z] for a, z in zip(at, at[1:], strict=False)], strict=True))
             else:
-                self.pieces.update(zip(some, self._library(some), strict=True))
+                into.update(zip(some, self._library(some), strict=True))
+
+    def _ids(self, every: list[str]) -> list[bytes]:
+        """Packed ids of distinct pieces."""
+        pieces = self.pieces
+        new = [p for p in every if p not in pieces]
+        size = sum(ENTRY + 2 * len(p) for p in new if len(p) <= LONG)
+        if self.held + size > KNOWN_BYTES:
+            pieces.clear()
+            self.held, new = 0, every
+            size = sum(ENTRY + 2 * len(p) for p in new if len(p) <= LONG)
+        found: dict[str, bytes] = {}
+        if size <= KNOWN_BYTES:
+            self._learn([p for p in new if len(p) <= LONG], pieces)
+            self.held += size
+            new = [p for p in new if len(p) > LONG]
+        self._learn(new, found)
+        return [found[p] if p in found else pieces[p] for p in every] if found else [pieces[p] for p in every]
 
     def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -93,13 +117,8 @@ class Encoder:
         plain = pc.match_substring_regex(column, self.plain)
         words, bounds = _pieces(pc.utf8_lower(pc.if_else(plain, column, "")))
         words = words.dictionary_encode()
-        every, index, pieces = words.dictionary.to_pylist(), words.indices.to_numpy(), self.pieces
-        new = [p for p in every if p not in pieces]
-        if len(pieces) + len(new) > KNOWN:
-            pieces.clear()
-            new = every
-        self._learn(new)
-        packed = [pieces[p] for p in every]
+        every, index = words.dictionary.to_pylist(), words.indices.to_numpy()
+        packed = self._ids(every)
         size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         start = np.cumsum(size) - size
         n = size[index]
@@ -155,17 +174,23 @@ def _pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words, np.searchsorted(at, starts)
 
 
-def encode(docs: DataFrame, path: str, end_id: int, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """All columns of (id, text) but the text, and ids (binary), the end id included."""
+def encode(docs: DataFrame, path: str, end_id: int, *, borders: list | None = None, id_col="doc_id", text_col="text") -> DataFrame:
+    """doc_id, ids (binary), the end id included; with ``borders`` (rising ids) also part: how many of them lie below the id."""
+    rows = pick(docs, doc_id=id_col, text=text_col)
+    kind = rows.schema["doc_id"].dataType
+    schema = _schema(kind, ids=pa.binary(), **({} if borders is None else {"part": pa.int32()}))
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder.load(path), np.array([end_id], "<u4").tobytes()
-        return lambda texts: {"ids": [x + end for x in encoder.encode(texts)]}
+        for batch in batches:
+            for some in slices(batch, "text", BATCH_ROWS):
+                new = [some.column("doc_id"), pa.array([x + end for x in encoder.encode(some.column("text"))], pa.binary())]
+                if borders is not None:
+                    new.append(pa.array([0 if i is None else bisect_left(borders, i) for i in some.column("doc_id").to_pylist()], pa.int32()))
+                yield pa.RecordBatch.from_arrays(new, schema=schema)
 
     small_batches(docs.sparkSession)
-    rows = pick(docs, doc_id=id_col, text=text_col)
-    kind = rows.schema["doc_id"].dataType
-    return rows.mapInArrow(mapped(make, "text", _schema(kind, ids=pa.binary()), ["doc_id"], BATCH_ROWS), f"doc_id {kind.simpleString()}, ids binary")
+    return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, ids binary" + ("" if borders is None else ", part int"))
 
 
 def planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -276,17 +301,15 @@ def read_file(path: str) -> Iterator[tuple[object, bytes]]:
 
 
 def write_ids(docs: DataFrame, path: str, end_id: int, folder: str | None = None, *, files: int | None = None, bits: bool = True, block: int = BLOCK, level: int = 3, id_col="doc_id", text_col="text") -> DataFrame:
-    """Writes the files; returns the manifest: file, start (ids in all files before it), n_ids, n_docs, in order."""
+    """Writes the files; returns the manifest: number, file, start (ids in all files before it), n_ids, n_docs, in order."""
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "bitplanes")
-    files = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     make_folder(folder)
-    # range borders come from the ids alone, so that texts are encoded once
-    at = [i / files for i in range(1, files)]
-    borders = docs.select(F.percentile_approx(F.col(f"`{id_col}`"), at, 10_000)).first()[0] if at else []
-    encoded = encode(docs, path, end_id, id_col=id_col, text_col=text_col)
-    borders = sorted(set(borders or []))
-    dealt = encoded.withColumn("part", _place(borders).cast("int")).repartition(files, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
+    rows = pick(docs, doc_id=id_col, text=text_col)
+    borders = _borders(rows, files)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    dealt = encode(rows, path, end_id, borders=borders).repartitionById(len(borders) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
+    plain = (lambda v: v) if kind in WHOLE or kind == "string" else (lambda v: None if v is None else str(v))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, now, done = None, None, []
@@ -301,7 +324,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int, folder: str | None = None
                 if p != now:
                     finish()
                     writer, now = Writer(f"{folder}/part-{p:06d}-{uuid.uuid4().hex}.ids", bits, block, level), p
-                writer.add(d, ids[k].as_py())
+                writer.add(plain(d), ids[k].as_py())
         finish()
         yield pa.RecordBatch.from_pydict({"part": [x[0] for x in done], "file": [x[1] for x in done], "n_docs": [x[2] for x in done], "n_ids": [x[3] for x in done]}, schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
@@ -309,31 +332,37 @@ def write_ids(docs: DataFrame, path: str, end_id: int, folder: str | None = None
     rows, start = [], 0
     # one row per file, as many as there are partitions
     for r in written.orderBy("part").collect():
-        rows.append((r["file"], start, r["n_ids"], r["n_docs"]))
+        rows.append((len(rows), r["file"], start, r["n_ids"], r["n_docs"]))
         start += r["n_ids"]
-    return spark.createDataFrame(rows, "file string, start long, n_ids long, n_docs long")
+    return spark.createDataFrame(rows, "number long, file string, start long, n_ids long, n_docs long")
 
 
-def _place(borders: list):
-    """How many borders lie below an id, by halving."""
-    if not borders:
-        return F.lit(0)
+#: Types of ids that a file holds as numbers; all others are held as text.
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 
-    def half(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") <= F.lit(borders[mid]), half(lo, mid)).otherwise(half(mid + 1, hi))
 
-    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(half(0, len(borders)))
+def _borders(rows: DataFrame, files: int | None) -> list:
+    """Rising ids between which the files' ranges lie, from a sample of ids by their hash; about SAMPLE_IDS for each file.
+    The sample tells where files end and nothing else."""
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
+    if files is None:
+        most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        files = min(MAX_FILES, max(-(-(total["b"] or 0) // FILE_BYTES), min(most, total["n"])), total["n"])
+    if files < 2 or not total["n"]:
+        return []
+    share = min(1.0, SAMPLE_IDS * files / total["n"])
+    some = rows.select("doc_id").where("doc_id is not null").where(F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct()
+    ids = sorted(r[0] for r in some.limit(4 * SAMPLE_IDS * files).collect())
+    return sorted({ids[len(ids) * k // files] for k in range(1, files)}) if ids else []
 
 
-def read_ids(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, ids (binary) from the files."""
+def read_ids(manifest: DataFrame, id_type: str = "long") -> DataFrame:
+    """doc_id (of the type it was written with), start, ids (binary) from the files."""
     n = max(1, manifest.count())
+    whole = id_type in (*WHOLE, "long", "short", "byte")
+    schema = pa.schema([("doc_id", pa.int64() if whole else pa.string()), ("start", pa.int64()), ("ids", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
             for file, at in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 rows, size = [], 0
@@ -347,4 +376,6 @@ def read_ids(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return manifest.select("file", "start").repartition(n, "start").mapInArrow(read, "doc_id long, start long, ids binary")
+    # a file a task: n is at most MAX_FILES
+    dealt = manifest.select("file", "start", F.col("number").cast("int").alias("number")).repartitionById(n, "number").select("file", "start")
+    return dealt.mapInArrow(read, f"doc_id {'long' if whole else 'string'}, start long, ids binary").select(F.col("doc_id").cast(id_type), "start", "ids")

@@ -651,6 +651,16 @@ def test_bitplane_files(docs, empty, bits, tmp_path):
     assert none.count() == 0 and bitplane.read_ids(none).collect() == []
 
 
+def test_bitplane_ids_of_other_types(docs, monkeypatch):
+    monkeypatch.setattr(bitplane, "KNOWN_BYTES", 60_000)
+    named = docs.select(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("doc_id"), "text")
+    manifest = bitplane.write_ids(named, P.path("word_bpe_49k.json"), 2, files=6)
+    got = bitplane.read_ids(manifest, "string").orderBy("start").collect()
+    assert manifest.count() > 3 and [r.doc_id for r in got] == sorted((r.doc_id for r in named.collect()), key=lambda x: (x is not None, x or ""))
+    dates = docs.select(F.date_add(F.lit("2020-01-01").cast("date"), F.col("doc_id").cast("int")).alias("doc_id"), "text")
+    assert plain(bitplane.read_ids(bitplane.write_ids(dates, P.path("word_bpe_49k.json"), 2), "date").select("doc_id")) == plain(dates.select("doc_id"))
+
+
 def test_broken_file_is_refused(tmp_path):
     (tmp_path / "x").write_bytes(b"BITPLANE" + bytes(40))
     with pytest.raises(ValueError, match="not a whole"):
