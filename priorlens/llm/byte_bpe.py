@@ -29,7 +29,7 @@ from .common import pick
 
 #: Bytes of known pre-tokens and their ids kept per worker (an entry counts ``ENTRY`` bytes and what it holds); the table is
 #: emptied when full, and a pre-token of more than ``LONG`` characters is never kept.
-KNOWN_BYTES, ENTRY, LONG = 90_000_000, 170, 256
+KNOWN_BYTES, ENTRY, LONG = 60_000_000, 170, 256
 BLOCK = 1 << 16
 _LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 

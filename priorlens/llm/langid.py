@@ -76,9 +76,14 @@ class Automaton:
     """Moves of many readers at once. A missing transition ends the phrase: the reader goes on from the root, marked by a
     negative number; a symbol that the sample lacks is a phrase alone, after which any symbol begins a new one."""
 
-    def __init__(self, sample: list[int], size: int):
-        step = suffix_automaton(sample)
-        self.size, alone = size, len(step)
+    def __init__(self, sample: list[int], every: int):
+        """``own`` maps the ``every`` symbols of the parser to the sample's; those it lacks are one symbol."""
+        kept = sorted(set(sample))
+        self.size = size = len(kept) + 1
+        self.own = np.full(every, len(kept), np.min_scalar_type(size))
+        self.own[kept] = np.arange(len(kept))
+        step = suffix_automaton(self.own[sample].tolist() if sample else [])
+        alone = len(step)
         root = np.full(size, alone, np.int32)
         for c, q in step[0].items():
             root[c] = q
@@ -162,10 +167,10 @@ class Parser:
         start, length, own = start[order], (end - start)[order], own[order]
         live = len(length) - np.searchsorted(length[::-1], np.arange(int(length[0])), side="right")
         for k, automaton in enumerate(self.automata.values()):
-            state, seen = np.zeros(len(start), np.int64), np.ones(len(start), np.int64)
+            state, seen, local = np.zeros(len(start), np.int64), np.ones(len(start), np.int64), automaton.own[every]
             for t in range(int(length[0])):
                 m = live[t]
-                to = automaton.move(state[:m], every[start[:m] + t])
+                to = automaton.move(state[:m], local[start[:m] + t])
                 ended = to < 0
                 state[:m] = np.where(ended, -1 - to, to)
                 seen[:m] += ended
