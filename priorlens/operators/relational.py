@@ -18,11 +18,18 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str], cutoff: tup
 
 
 def first_copies(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Adds dedup_status: ``first`` or ``duplicate`` of an earlier row with equal keys."""
-    low = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_lo"))
+    """Adds dedup_status: ``first`` for exactly one row of equal keys, the first by ``order`` (among equals by the other
+    columns, and among equal rows any one), ``duplicate`` for the rest. The least row of a key is found by an aggregate and
+    joined; only rows that tie with it are numbered."""
+    row = F.struct(*order, F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}), 256).alias("_digest"))
+    d = df.withColumn("_row", row)
+    low = d.groupBy(*keys).agg(F.min("_row").alias("_lo"))
     on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    j = df.alias("l").join(low.alias("r"), on).select("l.*", "_lo")
-    return j.withColumn("dedup_status", F.when(F.struct(*order) == F.col("_lo"), "first").otherwise("duplicate")).drop("_lo")
+    j = d.alias("l").join(low.alias("r"), on).select("l.*", "_lo")
+    same = j.where(F.col("_row") == F.col("_lo")).withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_row").orderBy(F.lit(0))))
+    first = same.withColumn("dedup_status", F.when(F.col("_n") == 1, "first").otherwise("duplicate")).drop("_n", "_row", "_lo")
+    rest = j.where(F.col("_row") != F.col("_lo")).withColumn("dedup_status", F.lit("duplicate")).drop("_row", "_lo")
+    return first.unionByName(rest)
 
 
 def alias_groups(df: DataFrame, group: Column, member: str, size: int = 2) -> DataFrame:

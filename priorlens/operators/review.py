@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import stable_id
 from ..functions.reasons import codes, merged
+from ..sources.store import stored
 
 # Review groups in their order; reasons that every candidate has.
 GROUP_ORDER = ["scope_availability", "segment_definition", "relation_validity", "evidence_review"]
@@ -48,10 +49,11 @@ def positions(items: DataFrame, order: list[str] = GROUP_ORDER, *, group="reason
 
 
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """A row number over the whole table without a one-task window: rows are range-partitioned and sorted, counted by
-    partition, and numbered from their partition's start. The number of partitions bounds what the driver sums."""
+    """A row number over the whole table without a one-task window: rows are range-partitioned and written once with the
+    number of their partition, counted by it, and numbered from its start. Counting and numbering must read the same dealing:
+    two exchanges of one table may draw their borders from different samples. The number of partitions bounds the starts."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    parts = stored(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranked")
     w = Window.partitionBy("_part").orderBy(*order)
     counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # a row per partition
@@ -85,12 +87,16 @@ def card_checks(built: DataFrame, ids: DataFrame) -> DataFrame:
 def diverse_queue(items: DataFrame, k: int = 20, *, key="record_id", family="family", source="source", short="short", order="ord") -> DataFrame:
     """The greedy queue of at most k: short ones first, then new families, then the source taken least often, then order.
 
-    Only rows that can win a step are brought to the one task that chooses: the k first by order of every (short, family,
-    source) within the k first (source, short) lists, which is at most k x k x sources rows."""
+    Only rows that can win a step are looked at: of every (source, short) the first k rows that begin a family and the first
+    k others. If these are few, one task chooses; with very many sources each step is an aggregate over them instead."""
     w = Window.partitionBy(source, short, family).orderBy(order, key)
-    best = items.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-    w = Window.partitionBy(source, short, F.col("_r") == 1).orderBy(order, key)
-    best = best.withColumn("_q", F.row_number().over(w)).where(F.col("_q") <= k).drop("_q", "_r")
+    best = items.withColumn("_r", F.row_number().over(w) == 1)
+    w = Window.partitionBy(source, short, "_r").orderBy(order, key)
+    best = best.withColumn("_q", F.row_number().over(w)).where(F.col("_q") <= k).select(key, family, source, short, order)
+    best = stored(best, "queue")
+    kind = items.schema[key].dataType.simpleString()
+    if best.limit(ONE_TASK + 1).count() > ONE_TASK:
+        return best.sparkSession.createDataFrame([(x, i) for i, x in enumerate(_stepwise(best, k, key, family, source, short, order), 1)], f"{key} {kind}, position int")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         left = pdf.sort_values([order, key]).to_dict("records")
@@ -103,10 +109,30 @@ def diverse_queue(items: DataFrame, k: int = 20, *, key="record_id", family="fam
             out.append({key: x[key], "position": len(out) + 1})
         return pd.DataFrame(out, columns=[key, "position"])
 
-    kind = items.schema[key].dataType.simpleString()
     return best.groupBy().applyInPandas(choose, f"{key} {kind}, position int")
 
 
+#: Rows from which one task chooses a diverse queue.
+ONE_TASK = 50_000
+
+
+def _stepwise(rows: DataFrame, k: int, key: str, family: str, source: str, short: str, order: str) -> list:
+    families, taken, out = [], {}, []
+    while len(out) < k:
+        seen = F.coalesce(F.col(family).isin([x for x in families if x is not None]), F.lit(None in families)) if families else F.lit(False)
+        times = F.lit(0)
+        for s, n in taken.items():
+            times = F.when(F.col(source).eqNullSafe(F.lit(s)), n).otherwise(times)
+        left = rows.where(~F.col(key).isin(out)) if out else rows
+        x = left.agg(F.min(F.struct((~F.col(short)).alias("a"), seen.alias("b"), times.alias("c"), F.col(order).alias("d"), F.col(key).alias("e"), F.col(family).alias("f"), F.col(source).alias("s"))).alias("x")).first()["x"]
+        if x is None:
+            break
+        out.append(x["e"])
+        families.append(x["f"])
+        taken[x["s"]] = taken.get(x["s"], 0) + 1
+    return out
+
+
 def round_robin(df: DataFrame, group: str, order: list[Column | str], limit: int) -> DataFrame:
     """The first of every group, then the second of every group, and so on, up to a limit."""
     w = Window.partitionBy(group).orderBy(*order)

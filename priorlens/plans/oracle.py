@@ -59,6 +59,14 @@ _FEEDBACK = """
 with f as (select event_id, user_id || '-' || event_type || '-' || strftime(ts, '%Y-%m-%d') as key, user_id || '-' || strftime(ts, '%Y-%m-%d') as card_id, event_type as field,
   cast(cast(floor(value / 10) as bigint) as varchar) as after, value >= 0 as valid, 'F' || event_id as fid from events)
 """
+_TRIGRAMS = """
+with c as (select doc_id, lang, string_split(lower(text), '') as c from documents),
+g as (select doc_id, lang, list_sort(list_distinct(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]))) as g from c),
+m as (select doc_id, lang, g, min(doc_id) over (partition by lang, g) as class from g where len(g) > 0),
+k as (select * from m where doc_id = class), x as (select class, lang, len(g) as n, unnest(g) as t from k),
+i as (select a.lang, a.class as l, b.class as r, any_value(a.n) as ln, any_value(b.n) as rn, count(*) as k from x a join x b on a.lang is not distinct from b.lang and a.t = b.t and a.class < b.class group by a.lang, a.class, b.class),
+j as (select lang, l, r, k / (ln + rn - k) as j from i where k / (ln + rn - k) >= 0.8)
+"""
 _Q = lambda s: s.replace("'", "''")
 _NUMBER = r"^\(?-?\$?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?\)?$"
 
@@ -99,11 +107,9 @@ select event_id, user_id, event_type, n as prior_candidates, case when n is null
 df as (select t, count(*) as df from d group by t), s as (select item_id, doc_id, round(sum(ln((n + 1) / (df + 1)) + 1), 4) as score from b join df using (t) join d using (t), n group by all),
 r as (select *, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank from s)
 select item_id, rank, doc_id, score from r where rank <= 5""",
-    "trigram_pairs": """with c as (select doc_id, lang, source, string_split(lower(text), '') as c from documents), g as (select doc_id, lang, source, list_distinct(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) as g from c),
-n as (select doc_id, len(g) as n from g), x as (select doc_id, lang, source, unnest(g) as t from g),
-i as (select a.lang, a.source, a.doc_id as l, b.doc_id as r, count(*) as k from x a join x b on a.lang = b.lang and a.source = b.source and a.t = b.t and a.doc_id < b.doc_id group by all),
-j as (select lang, source, l, r, k / (a.n + b.n - k) as j from i join n a on a.doc_id = l join n b on b.doc_id = r)
-select lang, source, l as left_id, r as right_id, round(j, 6) as jaccard from j where j >= 0.8""",
+    "trigram_pairs": _TRIGRAMS + "select lang, l as left_id, r as right_id, round(j, 6) as jaccard from j",
+    "trigram_classes": _TRIGRAMS + """, n as (select class, count(*) as links from (select l as class from j union all select r from j) group by class)
+select doc_id, m.class as class_id, coalesce(links, 0) as links from m left join n using (class)""",
     "exact_sentence_overlap": f"""with m as (select doc_id, regexp_replace(text, '({text.SENTENCE_END}+[{_Q(text.CLOSERS)}]*)(\\s|$)|\\n+', '\\1' || chr(1), 'g') as m from documents),
 s as (select doc_id, unnest(list_distinct(list_transform(string_split(m, chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')))) as sentence from m)
 select sentence, count(*) as documents, min(doc_id) as first_doc, max(doc_id) as last_doc from s where length(sentence) >= 30 group by sentence having count(*) > 1""",

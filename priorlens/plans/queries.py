@@ -9,6 +9,7 @@ from ..functions import asof, numbers, periods, text, urls
 from ..operators import agreement, align, compare, constraints, extraction, feedback, formulas, lineage, relational, retrieve, review
 from ..schemas import CLAIM, INPUT
 from ..sources import markup
+from ..sources.store import stored
 from ..streaming import feedback as streams
 
 CUTOFF = "2026-10-06"
@@ -33,7 +34,8 @@ def nation_year_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, cust, nation = (_t(spark, sf_dir, n) for n in ("orders", "customer", "nation"))
     last = orders.agg(F.max(F.to_date("o_orderdate")).alias("_last"))
     by = orders.join(cust, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name", F.year("o_orderdate").alias("y")).agg(F.sum(_money("o_totalprice")).cast("decimal(28,2)").alias("v"))
-    by = by.join(F.broadcast(last), F.lit(True))
+    # a row per nation and year, which the comparisons read many times
+    by = stored(by.join(F.broadcast(last), F.lit(True)), "nation-years")
     start, end = F.make_date("y", F.lit(1), F.lit(1)), F.least(F.make_date("y", F.lit(12), F.lit(31)), F.col("_last"))
     iso = lambda d: F.date_format(d, "yyyy-MM-dd")
     period = F.struct(iso(start).alias("period_start"), iso(end).alias("period_end"), F.lit(None).cast("string").alias("as_of_date"), F.lit("annual").alias("period_kind"), F.lit("calendar").alias("period_basis"), F.col("y").alias("fiscal_year"), F.lit(None).cast("int").alias("fiscal_quarter"), periods.inclusive_days(start, end).alias("duration_days"))
@@ -128,6 +130,7 @@ def margin_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
     l, o, c, n = (_t(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "nation"))
     j = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     by = j.groupBy("n_name", F.year("o_orderdate").alias("y")).agg(F.sum(_money("l_extendedprice")).cast("decimal(28,2)").alias("full"), F.sum((_money("l_extendedprice") * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("decimal(24,4)")).cast("decimal(28,4)").alias("net"))
+    by = stored(by, "nation-years")
     day = lambda m, d: F.format_string(f"%04d-{m}-{d}", "y")
     period = F.struct(day("01", "01").alias("period_start"), day("12", "31").alias("period_end"), F.lit(None).cast("string").alias("as_of_date"), F.lit("annual").alias("period_kind"), F.lit("calendar").alias("period_basis"), F.col("y").alias("fiscal_year"), F.lit(None).cast("int").alias("fiscal_quarter"), periods.inclusive_days(F.make_date("y", F.lit(1), F.lit(1)), F.make_date("y", F.lit(12), F.lit(31))).alias("duration_days"))
     common = [F.lit("event_claim").alias("record_kind"), F.col("n_name").alias("company_id"), F.lit("ALL").alias("scope_id"), F.lit("1").alias("definition_version"), F.lit("GAAP").alias("accounting_basis"), F.lit("USD").alias("currency"), F.lit("USD").alias("canonical_unit"), F.lit("1").alias("scale"), F.lit("flow").alias("balance_or_flow"), F.lit("actual_reported").alias("modality"), day("12", "31").alias("published_date"), day("12", "31").alias("observed_at"), F.concat_ws("-", "n_name", F.col("y").cast("string")).alias("doc_id"), period.alias("reference_period")]
@@ -189,9 +192,16 @@ def _trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trigram_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of one language and source, both known, as its SQL twin has them."""
-    d = _trigrams(spark, sf_dir).where("lang is not null and source is not null")
-    return align.similar_pairs(d, ["lang", "source"], "g", 0.8, id_col="doc_id").select("lang", "source", "left_id", "right_id", F.round("jaccard", 6).alias("jaccard"))
+    """Pairs of classes of equal trigram sets of one language (null is one too), over all sources."""
+    links, _ = align.similar_classes(_trigrams(spark, sf_dir), ["lang"], "g", 0.8, id_col="doc_id")
+    return links.select("lang", "left_id", "right_id", F.round("jaccard", 6).alias("jaccard"))
+
+
+def trigram_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each document by its set of trigrams, and how many classes that one is similar to."""
+    links, member = align.similar_classes(_trigrams(spark, sf_dir), ["lang"], "g", 0.8, id_col="doc_id")
+    n = links.select(F.explode(F.array("left_id", "right_id")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
+    return member.join(n, "class", "left").select("doc_id", F.col("class").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def greedy_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -444,7 +454,7 @@ def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     yoy_change, prior_retrieval, no_prior_changes, label_retrieval_methods, change_mode_summary, same_period_revision, within_group_prior, ytd_to_quarter, reconcile_tolerance, margin_formula, asof_prior_event, ambiguous_priors,
-    dependency_availability, mode_summary, tfidf_retrieval, trigram_pairs, greedy_alignment, exact_sentence_overlap, url_canonical, url_alias_groups, html_blocks, html_bodies, block_coverage, signal_counts, signal_spans, review_order,
+    dependency_availability, mode_summary, tfidf_retrieval, trigram_pairs, trigram_classes, greedy_alignment, exact_sentence_overlap, url_canonical, url_alias_groups, html_blocks, html_bodies, block_coverage, signal_counts, signal_spans, review_order,
     review_queue_diverse, round_robin_sample, review_cards, label_agreement, label_confusion, span_overlap_f1, field_match_rates, bundle_match_rate, funnel, coverage_matrix, fk_violations, missing_reason_audit, lineage_components,
     feedback_conflicts, feedback_import, latest_per_key, dedup_first, unit_scaling, number_parsing, period_parsing, interval_overlap, event_windows, cell_extraction, split_leakage,
 )}

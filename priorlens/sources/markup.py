@@ -166,30 +166,50 @@ BLOCK_COLUMNS = ["block_type", "raw_text", "normalized_text", "node_path", "omit
 _TYPES = {"row_index": "int", "col_index": "int", "rowspan": "int", "colspan": "int", "header_refs": "array<string>"}
 
 
+#: Blocks in one frame that goes back to Spark.
+FRAME_ROWS = 4096
+
+
+def spread(pages: DataFrame) -> DataFrame:
+    """Pages over all cores, where the scan has fewer partitions than cores: parsing costs more than moving them."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages.repartition(cores) if len(pages.inputFiles()) < cores else pages
+
+
 def blocks(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row per block in document order: page id, seq, block_id and the block's columns. Null and empty pages have none."""
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def frame(keys, seq, rows):
+            out = pd.DataFrame(rows, columns=BLOCK_COLUMNS)
+            out.insert(0, "seq", seq)
+            out.insert(0, id_col, keys)
+            return out.astype({c: "Int64" for c in ("row_index", "col_index", "rowspan", "colspan")})
+
         for pdf in batches:
+            keys, seq, rows = [], [], []
             for key, html in zip(pdf[id_col], pdf[html_col], strict=True):
                 found = walk(html).blocks
-                if found:
-                    out = pd.DataFrame(found, columns=BLOCK_COLUMNS)
-                    out.insert(0, "seq", range(len(out)))
-                    out.insert(0, id_col, key)
-                    yield out.astype({c: "Int64" for c in ("row_index", "col_index", "rowspan", "colspan")})
+                keys += [key] * len(found)
+                seq += range(len(found))
+                rows += found
+                if len(rows) >= FRAME_ROWS:
+                    yield frame(keys, seq, rows)
+                    keys, seq, rows = [], [], []
+            if rows:
+                yield frame(keys, seq, rows)
 
     schema = f"{id_col} {kind}, seq int, " + ", ".join(f"{c} {_TYPES.get(c, 'string')}" for c in BLOCK_COLUMNS)
-    out = pages.select(id_col, html_col).mapInPandas(run, schema)
+    out = spread(pages.select(id_col, html_col)).mapInPandas(run, schema)
     from ..functions.ids import stable_id
 
     return out.withColumn("block_id", stable_id("B", F.col(id_col), F.col("node_path"), F.col("seq")))
 
 
-def body(html: str | None) -> tuple[str, list[dict], list[dict]]:
+def body(html: str | None | Walker) -> tuple[str, list[dict], list[dict]]:
     """The readable body as one text, its atoms with code-point offsets, and what was left out with the reason."""
-    found = walk(html).blocks
+    found = (html if isinstance(html, Walker) else walk(html)).blocks
     inside = [b for b in found if "/article[" in b["node_path"]] or [b for b in found if "/main[" in b["node_path"]] or found
     parts, atoms, left, at = [], [], [], 0
     for b in inside:
@@ -215,14 +235,15 @@ def bodies(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html")
         for pdf in batches:
             out = []
             for key, html in zip(pdf[id_col], pdf[html_col], strict=True):
-                text, atoms, left = body(html)
-                m = walk(html).meta
+                seen = walk(html)
+                text, atoms, left = body(seen)
+                m = seen.meta
                 first = {k: (v[0] if v else None) for k, v in m.items()}
                 out.append({id_col: key, "body": text, "atoms": atoms, "omissions": left, "title": first["title"], "canonical": first["canonical"], "og_url": first["og_url"], "published": first["published"], "byline": first["byline"], "quality": "body_extracted" if len(text) >= 200 else "body_extracted_short" if text else "body_missing"})
             yield pd.DataFrame(out)
 
     schema = f"{id_col} {kind}, body string, atoms array<struct<node_path:string,start:int,end:int,text:string,position:string>>, omissions array<struct<node_path:string,reason:string,chars:int>>, title string, canonical string, og_url string, published string, byline string, quality string"
-    return pages.select(id_col, html_col).mapInPandas(run, schema)
+    return spread(pages.select(id_col, html_col)).mapInPandas(run, schema)
 
 
 def block_coverage(found: DataFrame, key: str, gate: float = 0.995) -> DataFrame:

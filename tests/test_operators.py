@@ -365,3 +365,52 @@ def test_relational(spark):
     assert [(r.col_start, r.col_end) for r in c] == [(0, 2), (2, 5)]
     t = relational.top_scored(spark.createDataFrame([(1, 3, "b"), (1, 3, "a"), (1, 1, "c")], "k int, s int, n string"), ["k"], F.col("s"), "n").first()
     assert t.n == "a"
+
+
+def test_ranked_over_many_rows(spark):
+    """A million wide rows, whose keys sample unevenly: positions equal those of one sort."""
+    n = 1_000_000
+    d = spark.range(n).select(F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("record_id"), F.when(F.col("id") % 7 != 0, F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") * F.col("id") % 900).cast("int")), "yyyy-MM-dd")).alias("published_date"), F.when(F.col("id") % 3 == 0, "scope_availability").when(F.col("id") % 5 == 0, "segment_definition").otherwise("evidence_review").alias("reason_group"), F.repeat(F.col("id").cast("string"), 10).alias("wide"))
+    out = review.positions(d)
+    assert out.columns == [*d.columns, "chronological_position", "grouped_position"]
+    pdf = out.select("record_id", "published_date", "reason_group", "chronological_position", "grouped_position").toPandas()
+    assert len(pdf) == n
+    pdf["none"] = pdf.published_date.isna()
+    by = pdf.sort_values(["none", "published_date", "record_id"], kind="stable")
+    assert by.chronological_position.tolist() == list(range(1, n + 1))
+    pdf["place"] = pdf.reason_group.map({g: i for i, g in enumerate(review.GROUP_ORDER)})
+    by = pdf.sort_values(["place", "none", "published_date", "record_id"], kind="stable")
+    assert by.grouped_position.tolist() == list(range(1, n + 1))
+
+
+def test_first_copies_keep_one_of_equal_rows(spark):
+    rows = [("a", 1, "x"), ("a", 1, "y"), ("a", 1, "x"), ("a", 2, "z"), ("b", 1, "q"), ("b", 1, "q"), (None, 1, "n"), (None, 1, "n"), ("c", None, "m")]
+    got = relational.first_copies(spark.createDataFrame(rows, "k string, o int, v string"), ["k"], ["o"]).collect()
+    assert len(got) == len(rows)
+    firsts = [(r.k, r.o) for r in got if r.dedup_status == "first"]
+    assert sorted(firsts, key=str) == sorted([("a", 1), ("b", 1), (None, 1), ("c", None)], key=str)
+
+
+def test_stepwise_queue_equals_the_one_task_one(spark, monkeypatch):
+    import random
+
+    r = random.Random(2)
+    rows = [(i, r.choice("abcdefg") if r.random() < 0.9 else None, f"s{r.randint(0, 30)}", r.random() < 0.1, r.randint(0, 99)) for i in range(500)]
+    d = spark.createDataFrame(rows, "record_id int, family string, source string, short boolean, ord int")
+    one = sorted((x.position, x.record_id) for x in review.diverse_queue(d, 12).collect())
+    monkeypatch.setattr(review, "ONE_TASK", 10)
+    assert sorted((x.position, x.record_id) for x in review.diverse_queue(d, 12).collect()) == one
+
+
+def test_similar_classes(spark):
+    rows = [(1, "x", ["a", "b", "c"]), (2, "x", ["c", "b", "a"]), (3, "x", ["a", "b"]), (4, "y", ["a", "b", "c"]), (5, None, ["a"]), (6, None, ["a"]), (7, "x", []), (None, "x", ["a"])]
+    links, member = align.similar_classes(spark.createDataFrame(rows, "id int, b string, g array<string>"), ["b"], "g", 0.6, id_col="id")
+    assert [(x.b, x.left_id, x.right_id) for x in links.collect()] == [("x", 1, 3)]
+    assert sorted((x.id, x["class"]) for x in member.collect()) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 5)]
+
+
+def test_wide_intervals_fill_few_bins(spark):
+    a = spark.createDataFrame([("k", 0, 10_000_000), ("k", 5, 6)], "k string, start int, end int")
+    b = spark.createDataFrame([("k", 3, 9), ("k", 9_999_999, 10_000_005)], "k string, start int, end int")
+    got = sorted((x.l.start, x.r.start, x.overlap_start, x.overlap_end) for x in align.interval_overlap(a, b, "k").collect())
+    assert got == [(0, 3, 3, 9), (0, 9_999_999, 9_999_999, 10_000_000), (5, 3, 5, 6)]
