@@ -98,3 +98,75 @@ def asof_prior(events: DataFrame, keys: Sequence[str], time: str, tie: str, colu
     w = Window.partitionBy(*keys).orderBy(time)
     prior = at.select(*keys, time, F.lag("_last").over(w).alias("_p"), F.lag(time).over(w).alias(f"prior_{time}"), F.lag("_n").over(w).alias("prior_candidates"))
     return events.join(prior, [*keys, time]).select(*events.columns, f"prior_{time}", "prior_candidates", *[F.col(f"_p.{c}").alias(f"prior_{c}") for c in columns if c != tie], F.col(f"_p.{tie}").alias(f"prior_{tie}"))
+
+
+def crosswalk(left: DataFrame, direct: DataFrame, related: DataFrame, key: str, value: str) -> DataFrame:
+    """``value`` from the direct table, else from the related one, else null, and which of them it is from (``basis``)."""
+    d = direct.select(key, F.col(value).alias("_direct")).dropDuplicates([key])
+    r = related.select(key, F.col(value).alias("_related")).dropDuplicates([key])
+    j = left.join(d, key, "left").join(r, key, "left")
+    return j.withColumn(value, F.coalesce("_direct", "_related")).withColumn("basis", F.when(F.col("_direct").isNotNull(), "direct").when(F.col("_related").isNotNull(), "related").otherwise("none")).drop("_direct", "_related")
+
+
+def unique_anchor(left: DataFrame, right: DataFrame, keys: Sequence[str], target: str) -> DataFrame:
+    """The one row of ``right`` that shares the keys, as ``target``: null if there is none or more than one; ``anchors`` counts."""
+    by = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("anchors"), F.min(target).alias("_t"))
+    return left.join(by, list(keys), "left").withColumn("anchors", F.coalesce("anchors", F.lit(0))).withColumn(target, F.when(F.col("anchors") == 1, F.col("_t"))).drop("_t")
+
+
+def star(centre: DataFrame, key: str, arms: Mapping[str, DataFrame]) -> DataFrame:
+    """Left joins of a document index with its arms: each arm's columns as a struct under its name, and ``has`` (array of the
+    arms that have the document). An arm must have the key once; rows that repeat it are refused."""
+    out = centre
+    for name, arm in arms.items():
+        rest = [c for c in arm.columns if c != key]
+        one = arm.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*rest)).alias(name))
+        one = one.select(key, F.when(F.col("_n") > 1, F.raise_error(F.lit(f"{name}: the key repeats"))).otherwise(F.col(name)).alias(name))
+        out = out.join(one, key, "left")
+    return out.withColumn("has", F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.lit(n)) for n in arms])))
+
+
+def leading(df: DataFrame, keys: Sequence[str], order: Sequence[str], eligible: Column, n: int = 2) -> DataFrame:
+    """Adds ``lead``: is the row among the first ``n`` eligible ones of its key?"""
+    w = Window.partitionBy(*keys, "_e").orderBy(*order)
+    d = df.withColumn("_e", F.coalesce(eligible, F.lit(False)))
+    return d.withColumn("lead", F.col("_e") & (F.row_number().over(w) <= n)).drop("_e")
+
+
+def attempts(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Adds ``attempt``: the how-many-eth of its key the row is."""
+    return df.withColumn("attempt", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def overlapping(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
+    """Adds ``overlap``: does the span begin before the furthest end of those before it in its key?"""
+    w = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("overlap", F.coalesce(F.col(start) < F.max(end).over(w), F.lit(False)))
+
+
+def rollup_families(df: DataFrame, family: str, doc: str, company: str, date: str) -> DataFrame:
+    """Per event family: documents, companies, first and last date, and whether it spans several companies."""
+    by = df.groupBy(family).agg(F.count_distinct(doc).alias("documents"), F.count_distinct(company).alias("companies"), F.min(date).alias("first_date"), F.max(date).alias("last_date"))
+    return by.withColumn("cross_company", F.col("companies") > 1)
+
+
+def most_common(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
+    """Counts of a column's values in falling order, ties by value, with the place of each."""
+    n = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    out = n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), column)))  # a row per distinct value
+    return out if limit is None else out.where(F.col("place") <= limit)
+
+
+def capped(errors: Column, limit: int = 100) -> Column:
+    """The first errors of a list, as reports show them."""
+    return F.slice(errors, 1, limit)
+
+
+def regression(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """Two results of one table by key: missing on a side, and the fields in which they differ; rows that agree have none."""
+    o, n = old.select(key, F.struct(*fields).alias("_o")), new.select(key, F.struct(*fields).alias("_n"))
+    j = o.join(n, key, "full_outer")
+    differs = F.array_compact(F.array(*[F.when(~F.col(f"_o.{f}").eqNullSafe(F.col(f"_n.{f}")), F.lit(f)) for f in fields]))
+    none = F.expr("cast(array() as array<string>)")
+    status = F.when(F.col("_o").isNull(), "only_new").when(F.col("_n").isNull(), "only_old").when(F.size(differs) > 0, "differs").otherwise("same")
+    return j.select(key, status.alias("status"), F.when(F.col("_o").isNull() | F.col("_n").isNull(), none).otherwise(differs).alias("fields"))

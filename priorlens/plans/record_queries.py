@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import ids, numbers, periods, text, urls
-from ..operators import agreement, align, compare, constraints, feedback, formulas, relational, review
+from ..functions import claim_signals, ids, json_text, numbers, periods, text, urls
+from ..operators import agreement, align, compare, constraints, evaluate, feedback, formulas, records, relational, retrieve, review
 from . import oracle
 from .queries import CUTOFF, _as_struct, _claim, _money, _quarter_sums, _t, nation_year_claims
 
@@ -320,3 +320,202 @@ from lineitem group by cube (l_returnflag, l_linestatus)""")
 def cube_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = _t(spark, sf_dir, "lineitem")
     return l.cube("l_returnflag", "l_linestatus").agg(F.grouping("l_returnflag").cast("int").alias("all_flags"), F.grouping("l_linestatus").cast("int").alias("all_statuses"), F.count(F.lit(1)).alias("lines"), F.sum(_money("l_quantity")).cast("decimal(28,2)").alias("quantity"), F.count_distinct("l_partkey").alias("parts"))
+
+@query("""with a as (select l_orderkey as k, min(l_suppkey) as m from lineitem where l_returnflag = 'R' group by 1), b as (select l_orderkey as k, min(l_suppkey) as m from lineitem where l_returnflag = 'A' group by 1)
+select o_orderkey, coalesce(a.m, b.m) as l_suppkey, case when a.m is not null then 'direct' when b.m is not null then 'related' else 'none' end as basis from orders left join a on a.k = o_orderkey left join b on b.k = o_orderkey""")
+def crosswalk_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's ship mode from its returned lines, else from its accepted ones."""
+    l = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_returnflag")
+    of = lambda f: l.where(F.col("l_returnflag") == f).groupBy("o_orderkey").agg(F.min("l_suppkey").alias("l_suppkey"))
+    return relational.crosswalk(_t(spark, sf_dir, "orders").select("o_orderkey"), of("R"), of("A"), "o_orderkey", "l_suppkey")
+
+
+@query("""with p as (select p_brand, p_size, count(*) as n, min(p_partkey) as k from part group by all) select p_partkey, p_brand, cast(p_size as integer) as p_size, n as anchors, case when n = 1 then k end as anchor from part join p using (p_brand, p_size)""")
+def unique_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The only part of a brand and size, or none."""
+    p = _t(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_size").cast("int").alias("p_size"))
+    return relational.unique_anchor(p, p.select("p_brand", "p_size", F.col("p_partkey").alias("anchor")), ["p_brand", "p_size"], "anchor")
+
+
+@query("""select d.doc_id, l.quality, b.n as items, case when l.doc_id is not null and b.doc_id is not null then 'label|item' when l.doc_id is not null then 'label' when b.doc_id is not null then 'item' else '' end as has
+from documents d left join labels l on l.doc_id = d.doc_id left join (select item_id as doc_id, count(*) as n from benchmark group by 1) b on b.doc_id = d.doc_id""")
+def document_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their label and the benchmark items of their number."""
+    d = _t(spark, sf_dir, "documents").select("doc_id")
+    items = _t(spark, sf_dir, "benchmark").groupBy(F.col("item_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
+    out = relational.star(d, "doc_id", {"label": _t(spark, sf_dir, "labels"), "item": items})
+    return out.select("doc_id", F.col("label.quality").alias("quality"), F.col("item.n").alias("items"), F.concat_ws("|", "has").alias("has"))
+
+
+@query("""with r as (select doc_id, source, n_chars, n_chars >= 400 as e from documents), w as (select *, row_number() over (partition by source, e order by doc_id) as n from r) select doc_id, source, e and n <= 2 as lead from w""")
+def lead_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return relational.leading(d, ["source"], ["doc_id"], F.col("n_chars") >= 400).select("doc_id", "source", "lead")
+
+
+@query("select event_id, user_id, event_type, cast(row_number() over (partition by user_id, event_type order by ts, event_id) as integer) as attempt from events")
+def stage_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    return relational.attempts(e, ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
+
+
+@query("""with i as (select event_id, user_id, epoch(ts - timestamp '2024-01-01') as s, epoch(ts - timestamp '2024-01-01') + 86400 * (1 + event_id % 3) as e from events)
+select event_id, user_id, coalesce(s < max(e) over (partition by user_id order by s, e rows between unbounded preceding and 1 preceding), false) as overlap from i""")
+def overlapping_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's spans of one to three days that begin before one before them has ended."""
+    e = _t(spark, sf_dir, "events")
+    s = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / 1e6
+    return relational.overlapping(e.select("event_id", "user_id", s.alias("start"), (s + 86400 * (1 + F.col("event_id") % 3)).alias("end")), ["user_id"]).select("event_id", "user_id", "overlap")
+
+
+@query("""select p_brand as family, count(distinct p_partkey) as documents, count(distinct p_type) as companies, min(p_name) as first_date, max(p_name) as last_date, count(distinct p_type) > 1 as cross_company from part group by 1""")
+def family_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("family"), "p_partkey", "p_type", "p_name")
+    return relational.rollup_families(p, "family", "p_partkey", "p_type", "p_name")
+
+
+@query("""with t as (select unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as t from benchmark), n as (select t as token, count(*) as n from t group by 1)
+select token, n, cast(row_number() over (order by n desc, token) as integer) as place from n qualify row_number() over (order by n desc, token) <= 50""")
+def common_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty most frequent tokens of the benchmark items (a report of that length)."""
+    b = _t(spark, sf_dir, "benchmark").select(F.explode(text.tokens(F.col("text"))).alias("token"))
+    return relational.most_common(b, "token", 50)
+
+
+@query("""with p as (select doc_id, cast(quality as varchar) as a, case when doc_id % 4 = 0 then null else cast(quality as varchar) end as b, toxic from labels)
+select toxic, count(*) as all_pairs, count(*) filter (where a is null and b is null) as both_null, count(*) filter (where (a is null) <> (b is null)) as one_null, round(count(*) filter (where a is not distinct from b) / count(*), 6) as exact_rate from p group by 1""")
+def null_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = _t(spark, sf_dir, "labels").select("toxic", F.col("quality").cast("string").alias("a"), F.when(F.col("doc_id") % 4 != 0, F.col("quality").cast("string")).alias("b"))
+    return agreement.pair_summary(l, ["toxic"]).select("toxic", "all_pairs", "both_null", "one_null", F.round("exact_rate", 6).alias("exact_rate"))
+
+
+@query("""select c_custkey, c_mktsegment as name, c_mktsegment as second, c_nationkey as deep, cast(null as varchar) as absent, 2 as found from customer""")
+def json_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values at pointers of a record in JSON, and the text values under a key at any depth."""
+    c = _t(spark, sf_dir, "customer")
+    doc = F.to_json(F.struct(F.struct(F.col("c_mktsegment").alias("name"), F.struct(F.col("c_nationkey").alias("d")).alias("a/b~c")).alias("top"), F.array(F.struct(F.lit("x").alias("name"), F.lit("y").alias("v")), F.struct(F.lit(None).cast("string").alias("name"), F.col("c_mktsegment").alias("v"))).alias("list")))
+    at = lambda p: json_text.pointer(F.col("doc"), p)
+    c = c.select("c_custkey", doc.alias("doc"))
+    return c.select("c_custkey", at("/top/name").alias("name"), at("/list/1/v").alias("second"), at("/top/a~1b~0c/d").cast("long").alias("deep"), at("/list/7").alias("absent"), F.size(json_text.walk(F.col("doc"), ["name"])).alias("found"))
+
+
+@query("""with o as (select o_orderkey as k, o_orderstatus as s, o_custkey as c from orders where o_orderkey % 31 <> 0), n as (select o_orderkey as k, case when o_orderkey % 10 = 0 then 'X' else o_orderstatus end as s, case when o_orderkey % 15 = 0 then o_custkey + 1 else o_custkey end as c from orders where o_orderkey % 29 <> 0)
+select coalesce(o.k, n.k) as o_orderkey, case when o.k is null then 'only_new' when n.k is null then 'only_old' when o.s is distinct from n.s or o.c is distinct from n.c then 'differs' else 'same' end as status,
+  case when o.k is null or n.k is null then '' else array_to_string(list_filter([case when o.s is distinct from n.s then 'o_orderstatus' end, case when o.c is distinct from n.c then 'o_custkey' end], lambda x: x is not null), '|') end as fields from o full join n on o.k = n.k""")
+def engine_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result against the one of an earlier run: what is missing and which fields differ."""
+    o, k = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"), F.col("o_orderkey")
+    new = o.where(k % 29 != 0).withColumn("o_orderstatus", F.when(k % 10 == 0, "X").otherwise(F.col("o_orderstatus"))).withColumn("o_custkey", F.when(k % 15 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
+    return relational.regression(o.where(k % 31 != 0), new, "o_orderkey", ["o_orderstatus", "o_custkey"]).withColumn("fields", F.concat_ws("|", "fields"))
+
+
+@query("""select c_custkey, cast(case when c_custkey % 2 = 0 then 3 else 0 end as integer) as shown from customer""")
+def capped_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long lists of errors as a report shows them."""
+    c = _t(spark, sf_dir, "customer")
+    errors = F.when(F.col("c_custkey") % 2 == 0, F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.concat(F.lit("e"), i.cast("string")))).otherwise(F.expr("cast(array() as array<string>)"))
+    return c.select("c_custkey", F.size(relational.capped(errors, 3)).alias("shown"))
+
+
+@query(oracle._CLAIMS + """, n as (select count(*) as n, count(*) filter (where y % 3 <> 0) as r from k)
+select 'S0' as system, 'executed_development' as status, n as records, n as covered_candidates, 'candidate' as unit, true as same_universe, 'exposed_development_not_independent' as reason from n
+union all select 'S1', 'executed_development', r, r, 'candidate', r = n, 'exposed_development_not_independent' from n
+union all select 'S3', 'executed_development', n, n, 'card', true, 'exposed_development_not_independent' from n
+union all select * from (values ('S2', 'not_evaluated', cast(null as bigint), cast(null as bigint), 'not_applicable', cast(null as boolean), 'independent_train_dev_human_labels_absent'),
+  ('S4', 'not_evaluated', null, null, 'not_applicable', null, 'ai_external_transfer_rights_and_budget_not_established'), ('S5', 'not_evaluated', null, null, 'not_applicable', null, 'ai_external_transfer_rights_and_budget_not_established')) as v""")
+def evaluation_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each system shows of the yearly claims; the ranking leaves out every third year."""
+    c = nation_year_claims(spark, sf_dir)
+    cards = c.select(F.array("record_id").alias("candidate_refs"))
+    return evaluate.systems(c.select("record_id", (F.col("reference_period.fiscal_year") % 3 != 0).alias("ranked")), cards)
+
+
+@query(oracle._CLAIMS + """select 'compatibility_or_time' as stage, 'change_result' as unit, 'current_review' as cutoff_mode, 'withheld' as status, 'actual_period_mismatch' as reasons, 'yoy' as comparison_basis, count(*) as cases from p where not ok having count(*) > 0""")
+def evaluation_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = nation_year_claims(spark, sf_dir)
+    pairs = _as_struct(c, "new").join(_as_struct(c, "old").withColumn("_y", F.col("_y") + 1), ["_k", "_y"]).select("new", "old", F.lit("yoy").alias("comparison_basis"), F.lit("current_review").alias("cutoff_mode"), F.lit(CUTOFF).alias("cutoff"))
+    out = evaluate.failure_cases(compare.changes(pairs))
+    return out.groupBy("stage", "unit", "cutoff_mode", "status", F.concat_ws("|", "reasons").alias("reasons"), "comparison_basis").agg(F.count(F.lit(1)).alias("cases"))
+
+
+@query(oracle._RETRIEVAL + "select id as record_id, cutoff_mode, selected_record_id as exact_selected, selected_record_id as sparse_selected, true as selection_equal, false as independent_qrels, 'empty_qrels_not_true_no_answer' as metric_reason from t")
+def evaluation_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = nation_year_claims(spark, sf_dir)
+    return evaluate.retrieval_ablation(retrieve.retrieve(c, "exact_key").unionByName(retrieve.retrieve(c, "local_label_tfidf")))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Layered records of the documents, each of which breaks the rule that its number is divisible by."""
+    d, k = _t(spark, sf_dir, "documents"), F.col("doc_id")
+    blocks = d.select(F.concat(F.lit("B"), k.cast("string")).alias("block_id"), F.substring("text", 1, 40).alias("raw_text"))
+    none = F.lit(None).cast("string")
+    ev = F.struct(F.when(k % 29 == 0, "other").otherwise("D").alias("doc_id"), F.lit("r1").alias("revision_id"), F.lit(0).alias("start"), F.when(k % 23 == 0, -1).otherwise(F.least(F.lit(5), F.length("text"))).alias("end"), F.lit("verified").alias("location_status"), F.when(k % 19 == 0, "table_cell").otherwise("text").alias("location_type"), F.concat(F.lit("B"), k.cast("string")).alias("block_id"), F.when(k % 17 == 0, "wrong").otherwise(F.substring("text", 1, 5)).alias("selected_text"), F.expr("cast(array() as array<string>)").alias("header_refs"))
+    period = F.struct(F.lit("2024-01-01").alias("period_start"), F.lit("2024-03-31").alias("period_end"), none.alias("as_of_date"), F.when(k % 13 == 0, "instant").otherwise("quarter").alias("period_kind"), F.when(k % 11 == 0, 90).otherwise(91).alias("duration_days"))
+    temporal = F.struct(F.lit("date").alias("time_precision"), none.alias("published_at"), F.when(k % 7 != 0, "2024-04-30").alias("published_date"), period.alias("reference_period"), F.lit(None).cast(records.PERIOD).alias("effective_period"))
+    norm = {"company_id": F.when(k % 5 != 0, "C"), "scope_id": F.lit("S"), "entity_refs": F.array(F.lit("C")), "field_missing_reasons": F.when(k % 3 == 0, F.create_map(F.lit("scope_id"), F.lit("not_disclosed"))), "temporal": temporal, "value_kind": F.lit("point")}
+    normalized = F.struct(*[norm.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in records.NORMALIZED.fields])
+    provenance = F.struct(F.lit("approved").alias("rights_check_status"), F.lit("D").alias("doc_id"), F.lit("r1").alias("revision_id"), F.array(ev).alias("evidence"))
+    rows = d.where(F.length("text") >= 5).select(k.cast("string").alias("record_id"), F.lit("source").alias("example_kind"), F.lit("event_claim").alias("record_kind"), F.struct(none.alias("claim_text"), none.alias("action_raw")).alias("raw"), normalized.alias("normalized"), provenance.alias("provenance"), F.expr("cast(array() as array<struct<calculation_status:string,input_refs:array<string>,missing_inputs:array<string>>>)").alias("derived"))
+    return rows, blocks
+
+
+@query("""with d as (select doc_id as k from documents where length(text) >= 5)
+select cast(k as varchar) as record_id, array_to_string(list_sort(list_filter([
+  case when k % 3 = 0 then 'scope_id: missing reason attached to a present value' end, case when k % 5 = 0 then 'company_id: null without explicit missing reason' end,
+  case when k % 7 = 0 then 'date precision requires published_date' end, case when k % 11 = 0 then 'reference_period: duration_days inconsistent with dates' end, case when k % 13 = 0 then 'reference_period: instant balance requires as_of_date' end,
+  case when k % 17 = 0 or k % 23 = 0 then 'Unicode code-point span round-trip mismatch' end, case when k % 19 = 0 then 'table evidence lacks unit/period/scope header refs' end, case when k % 23 = 0 then 'span end before start' end,
+  case when k % 29 = 0 then 'evidence document/revision mismatch' end], lambda x: x is not null)), '|') as errors from d""")
+def record_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The semantic rules of a layered record, with the blocks that its evidence names."""
+    rows, blocks = _records(spark, sf_dir)
+    return records.semantic_errors(rows, blocks).select("record_id", F.concat_ws("|", "errors").alias("errors"))
+
+
+@query("""select cast(doc_id as varchar) as record_id, case when doc_id % 5 <> 0 then 'C' end as company_id, '2024-01-01' as period_start, cast(case when doc_id % 11 = 0 then 90 else 91 end as integer) as period_duration_days, case when doc_id % 7 <> 0 then '2024-04-30' end as published_date from documents where length(text) >= 5""")
+def flat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layered records in the flat layout that comparisons read."""
+    rows, _ = _records(spark, sf_dir)
+    return records.flattened(rows).select("record_id", "company_id", "period_start", "period_duration_days", "published_date")
+
+
+@query("""with p as (select p_partkey as k, cast(p_retailprice as decimal(18,2)) as v from part)
+select cast(k as varchar) as item_id, array_to_string(list_sort(list_filter([case when k % 13 = 0 then 'human_gold_overclaim' end, case when k % 11 = 0 then 'evidence_link' end, case when k % 7 = 0 then 'numeric_representation' end, case when k % 5 = 0 then 'raw_sign_policy' end, case when k % 3 = 0 then 'unit_currency' end], lambda x: x is not null)), '|') as errors from p where k % 17 <> 0
+union all select cast(k as varchar), 'unknown_item' from p where k % 17 = 0""")
+def handoff_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Handed-over facts against their contracts: two numeric representations must agree."""
+    p, k = _t(spark, sf_dir, "part"), F.col("p_partkey")
+    v = _money("p_retailprice")
+    base = (v * 1000).cast("decimal(28,2)").cast("string")
+    facts = p.select(k.cast("string").alias("item_id"), (k % 13 == 0).alias("human_gold"), F.lit("reviewed_agent_draft").alias("status"), v.cast("string").alias("numeric_value"), F.lit("1000").alias("scale"), F.when(k % 7 == 0, F.lit("1")).otherwise(base).alias("numeric_value_base_units"), F.concat(F.when(k % 5 == 0, "7").otherwise(""), v.cast("string")).alias("value_raw"), F.lit("preserve").alias("sign_policy"), F.when(k % 3 == 0, "EUR").otherwise("USD").alias("currency"), F.lit("USD").alias("canonical_unit"), F.array(F.lit("E1")).alias("evidence_refs"))
+    contracts = p.where(k % 17 != 0).select(k.cast("string").alias("item_id"), F.lit("1").alias("target_scale"), base.alias("target_value"), F.lit("1000").alias("source_scale"), F.when(k % 11 == 0, F.array(F.lit("E2"))).otherwise(F.array(F.lit("E1"))).alias("contract_evidence"))
+    return records.handoff_errors(facts, contracts).select("item_id", F.concat_ws("|", "errors").alias("errors"))
+
+
+@query()
+def claim_signal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claim signals of the documents by kind."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.explode(claim_signals.claim_signals("text")).alias("s"))
+    return d.groupBy("s.kind").agg(F.count(F.lit(1)).alias("signals"), F.count_distinct("doc_id").alias("documents"))
+
+
+@query("""select doc_id, case doc_id % 6 when 0 then 'explicit_year_quarter' when 1 then 'explicit_date' when 2 then 'explicit_year' when 3 then 'quarter_without_year' when 4 then 'prior_year' else 'month_or_day_without_year' end as kind, doc_id % 6 in (0, 1, 2) as anchored from documents""")
+def period_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of period expressions: anchored to a year, or relative."""
+    surfaces = ["2024년 3분기", "2024.03.15", "2024 년", "2분기", "지난해", "5월 3일"]
+    x = F.get(F.array(*map(F.lit, surfaces)), (F.col("doc_id") % 6).cast("int"))
+    d = _t(spark, sf_dir, "documents").select("doc_id", claim_signals.period_kind(x).alias("p"))
+    return d.select("doc_id", "p.kind", "p.anchored")
+
+
+@query("""with p as (select p_partkey as k, p_size as n from part) select k as p_partkey, case when k % 2 = 0 then cast(cast(n as bigint) * 100000000 as varchar) else cast(n as varchar) end as base_value, case when k % 2 = 0 then 'KRW' else 'percentage_point' end as unit, 'simple_explicit_unit' as status, k % 3 = 0 as shared from p""")
+def quantity_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities with their base value and unit, and whether a second sentence has the same."""
+    p, k = _t(spark, sf_dir, "part"), F.col("p_partkey")
+    n = F.col("p_size").cast("string")
+    left = F.when(k % 2 == 0, F.concat(F.lit("매출 "), n, F.lit("억 원을 기록했다"))).otherwise(F.concat(F.lit("점유율 "), n, F.lit("%p 상승")))
+    right = F.when(k % 3 == 0, left).otherwise(F.lit("공급을 시작했다"))
+    d = p.select("p_partkey", claim_signals.claim_signals(left).alias("l"), claim_signals.claim_signals(right).alias("r"))
+    q = F.filter("l", lambda s: s["kind"] == "quantity")
+    d = d.select("p_partkey", F.get(q, F.lit(0))["normalized"].alias("n"), claim_signals.diagnostic(F.col("l"), F.col("r")).alias("g"))
+    at = lambda f: F.get_json_object("n", f"$.{f}")
+    return d.select("p_partkey", at("base_value").alias("base_value"), at("unit").alias("unit"), at("normalization_status").alias("status"), (F.size("g.common_quantities") > 0).alias("shared"))
