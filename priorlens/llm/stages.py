@@ -17,6 +17,8 @@ from .common import pick, stored
 MAX_BROADCAST_ROWS = 1_000_000
 #: Per cent of shared 5-word shingles from which two documents are near duplicates in the pipeline (op6 has its own 85).
 NEAR = 80
+#: Words that the pipeline's quality stage asks of a document (op1 has its own 50).
+SHORTEST = 1
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -45,9 +47,10 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame) -> DataFrame:
-    """Drops what the quality rules reject. A verdict depends on the text and the language label."""
+    """Drops what the quality rules reject: texts without a word, with most words in repeats, or far from their language. A
+    short text is no bad text, so it only needs a word here. A verdict depends on the text and the language label."""
     rows = pick(docs, doc_id="doc_id", text="text", lang="lang").withColumn("doc_id", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col("lang").alias("lang")))
-    judged = quality.divergence_rules(rows).where(~F.col("kept"))
+    judged = quality.divergence_rules(rows, base_words=SHORTEST).where(~F.col("kept"))
     rejects = _small(stored(judged.select(F.col("doc_id.id").alias("__rid"), F.col("doc_id.hash").alias("__rhash"), F.col("doc_id.lang").alias("__rlang")).distinct(), "rejects"))
     left = _key(docs)
     return left.join(rejects, _match(left, rejects) & left["lang"].eqNullSafe(rejects["__rlang"]), "left_anti").select(*docs.columns)

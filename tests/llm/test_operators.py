@@ -729,10 +729,10 @@ def test_pipeline_against_brute_force(spark, tik, tmp_path):
     pred = langid.Parser(samples).predict([r[1] for r in rows])[0]
     left = [(r[0], r[1], p, r[3]) for r, p in zip(rows, pred, strict=True) if p != "und"]
     assert {r[1] for r in rows} - {r[1] for r in left}
-    judged = quality.divergence_rules(spark.createDataFrame(left, "doc_id long, text string, lang string, source string"))
+    judged = quality.divergence_rules(spark.createDataFrame(left, "doc_id long, text string, lang string, source string"), base_words=1)
     kept = {r.doc_id for r in judged.where("kept").collect()}
-    bad = [i for i, t, *_ in left if brute_base(t)[-1]]
-    assert bad and not kept & set(bad)
+    repeats = {i for i, t, *_ in left if 100 * brute_base(t)[4] > 50 * len(WORD.findall(t))}
+    assert repeats and not kept & repeats and {i for i, t, *_ in left if 0 < len(WORD.findall(t)) <= 20} - repeats <= kept
     left = [r for r in left if r[0] in kept]
     found = {i: sets_of(t) for i, t, *_ in left}
     seen = sorted(found)
@@ -777,7 +777,7 @@ def test_stage_filters_keep_columns(docs):
     d = docs.select("doc_id", "text", "lang", "source", F.col("n_words").alias("n_chars"), "key", "_h")
     fit = stages.fit(d)
     assert fit.columns == d.columns
-    judged = quality.divergence_rules(d)
+    judged = quality.divergence_rules(d, base_words=stages.SHORTEST)
     assert fit.count() == judged.where("kept").count()
     one = stages.distinct_texts(d)
     of = brute_components([(i, t) for i, t, *_ in table()])
