@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import shared_dir
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 NOT_WORD = r"[\x20\x09-\x0D]+"
@@ -21,16 +23,6 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; in local mode, where none is set, one under /tmp."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = "file:///tmp/priorlens-shared"
-    return folder.rstrip("/")
-
-
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new folder name below the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/priorlens/{what}-{uuid.uuid4().hex}"

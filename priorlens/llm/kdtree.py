@@ -14,8 +14,8 @@ find is merged by a grouped top-k over at most k rows per query and task.
 
 Null vectors, vectors with a null or non-finite component, and rows without an id take no part; vectors of each length are
 searched among themselves. Rows with an equal id are separate candidates; a query never meets a row with its own id.
-Scores must fit 64-bit integers: a vector whose components exceed 2^26 after scaling is refused. An empty table gives no
-rows.
+Scores must fit 64-bit integers: a component that exceeds the root of 2^62 / length after scaling (2^28 for 64 components) is
+refused, since no result could hold its scores. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +35,6 @@ from .common import make_folder, open_fs, pick, read_group, shared_path, stored,
 SHARD_ROWS, LEAF_ROWS, QUERY_BLOCK = 16_384, 256, 8_192
 #: Shards are made smaller, down to this, while there are fewer of them than cores.
 LEAST_SHARD_ROWS = 2_048
-LIMIT = 1 << 26
 
 
 class Tree:
@@ -117,9 +116,10 @@ def quantised(vectors: DataFrame, scale: float, id_col: str, vector_col: str) ->
     rows = pick(vectors, vec_id=id_col, v=vector_col).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("v", lambda x: x.cast("double")).alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.coalesce(bad, F.lit(True)))
-    far = F.exists("v", lambda x: F.abs(x * scale) > LIMIT)
+    most = F.least(F.lit(2.0**31 - 2), F.sqrt(F.lit(2.0**62) / F.size("v")))
+    far = F.exists("v", lambda x: F.abs(x * scale) > most)
     v = F.transform("v", lambda x: F.floor(x * scale))
-    return rows.select("vec_id", F.when(far, F.raise_error(F.lit(f"a component exceeds {LIMIT} after scaling"))).otherwise(v).alias("v"))
+    return rows.select("vec_id", F.when(far, F.raise_error(F.lit("the scores of a vector don't fit 64 bits: a component is too large after scaling"))).otherwise(v).alias("v"))
 
 
 def _matrix(column: pa.Array, n: int) -> np.ndarray:

@@ -142,6 +142,17 @@ def test_topk_against_brute_force(spark):
 # 3 language ID
 
 
+def test_topk_of_large_components_and_lengths(spark):
+    """Components beyond 2^26 are exact, those whose scores can't be held are refused; every length is searched by itself."""
+    big = float(2**21)
+    rows = [(0, [big, 1.0]), (1, [big, -1.0]), (2, [1.0, 1.0]), (20, [3.0]), (21, [5.0]), (22, [-5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in kdtree.top_k(df, 2).collect())
+    assert got == [(0, 1, 1, (64 * 2**21) ** 2 - 64 * 64), (0, 2, 2, 64 * 64 * 2**21 + 64 * 64), (20, 1, 21, 64 * 64 * 15), (20, 2, 22, -64 * 64 * 15)]
+    with pytest.raises(Exception, match="fit 64 bits"):
+        kdtree.top_k(spark.createDataFrame([(0, [1e9, 1.0])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_suffix_automaton_accepts_substrings_only():
     r = random.Random(2)
     for _ in range(30):
