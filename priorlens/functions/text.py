@@ -12,11 +12,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Sentence ends, the closers that may follow them, and the signal patterns by kind.
+# Sentence ends, the closers that may follow them, and quotations.
 SENTENCE_END = r"[.!?。！？]"
 CLOSERS = "\"'”’)\\]」』》"
+QUOTE = r'“[^”\n]{1,2000}”|"[^"\n]{1,2000}"|‘[^’\n]{1,1000}’'
+# Generic signals; all but the quotations are patterns of our own (``claim_signals`` has the dictionaries that are fixed).
 SIGNALS = {
-    "quote": r"[\"“”][^\"“”]{1,400}[\"“”]",
+    "quote": QUOTE,
     "number": r"[-+△▲]?\d[\d,]*(?:\.\d+)?",
     "number_unit": r"\d[\d,]*(?:\.\d+)?\s*(?:%|percent|million|billion|조|억|만|천|원|달러|USD|KRW)",
     "period": r"(?:19|20)\d{2}(?:\s*년)?|[1-4]\s*분기|Q[1-4]",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions import text
 
 _CLAIMS = """
@@ -67,6 +69,8 @@ k as (select * from m where doc_id = class), x as (select class, lang, len(g) as
 i as (select a.lang, a.class as l, b.class as r, any_value(a.n) as ln, any_value(b.n) as rn, count(*) as k from x a join x b on a.lang is not distinct from b.lang and a.t = b.t and a.class < b.class group by a.lang, a.class, b.class),
 j as (select lang, l, r, k / (ln + rn - k) as j from i where k / (ln + rn - k) >= 0.8)
 """
+# DuckDB's expressions repeat a thousand times at most
+_re2 = lambda p: re.sub(r"(\[[^\]]+\])\{1,2000\}", r"\1{1,1000}\1{0,1000}", p)
 _Q = lambda s: s.replace("'", "''")
 _NUMBER = r"^\(?-?\$?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?\)?$"
 
@@ -116,7 +120,7 @@ select sentence, count(*) as documents, min(doc_id) as first_doc, max(doc_id) as
     "url_canonical": _PARTS + """select page_id, canonical, case when host <> '' then scheme || '://' || host || path end as redacted, nullif(host, '') as host,
   scheme = 'https' and regexp_matches(host, '^([a-z0-9-]+\\.)+[a-z]{2,}$') and port in ('', ':443') and not regexp_matches(url, '^[^/]*//[^/?#]*@') and not regexp_matches(host, '\\.(local|internal|localhost)$') as is_safe from w""",
     "url_alias_groups": _PARTS + "select host || '/' || coalesce(string_split(path, '/')[2], '') as alias, count(distinct canonical) as members, min(canonical) as first_member from w where host <> '' group by 1 having count(distinct canonical) >= 2",
-    "signal_counts": "select doc_id, " + ", ".join(f"cast(len(regexp_extract_all(text, '{_Q(p)}')) as bigint) as {k}" for k, p in text.SIGNALS.items()) + " from documents",
+    "signal_counts": "select doc_id, " + ", ".join(f"cast(len(regexp_extract_all(text, '{_Q(_re2(p))}')) as bigint) as {k}" for k, p in text.SIGNALS.items()) + " from documents",
     "review_order": _LABELLED + """select doc_id, reason_group, published_date, row_number() over (order by published_date nulls last, doc_id) as chronological_position,
   row_number() over (order by case reason_group when 'scope_availability' then 1 when 'segment_definition' then 2 else 4 end, published_date nulls last, doc_id) as grouped_position from l""",
     "round_robin_sample": "with r as (select source, cast(row_number() over (partition by source order by doc_id) as integer) as turn, doc_id from documents) select source, turn, doc_id from r order by turn, source limit 200",
