@@ -139,7 +139,7 @@ select field, count(*) filter (where st = 'matched' and same) as numerator, coun
 s as (select *, coalesce(lines > 0, false) as a, coalesce(lines > 0 and returned > 0, false) as b, coalesce(lines > 0 and returned > 0 and o_orderstatus = 'O', false) as c, coalesce(lines > 0 and returned > 0 and o_orderstatus = 'O' and o_totalprice > 100000, false) as d from j)
 select 1 as step, 'attempted' as stage, count(distinct o_orderkey) as n from s union all select 2, 'with_lines', count(distinct o_orderkey) from s where a union all select 3, 'returned', count(distinct o_orderkey) from s where b
 union all select 4, 'open', count(distinct o_orderkey) from s where c union all select 5, 'large', count(distinct o_orderkey) from s where d""",
-    "coverage_matrix": """with g as (select n_name, cast(unnest(range(1994, 2002)) as integer) as year from nation), f as (select n_name, cast(year(o_orderdate) as integer) as year, count(*) as found from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by all)
+    "coverage_matrix": """with y as (select min(year(o_orderdate)) as a, max(year(o_orderdate)) + 1 as z from orders), g as (select n_name, cast(unnest(range(y.a, y.z + 1)) as integer) as year from nation, y), f as (select n_name, cast(year(o_orderdate) as integer) as year, count(*) as found from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by all)
 select n_name, year, coalesce(found, 0) as found, case when coalesce(found, 0) = 0 then 'missing' when found = 1 then 'covered' else 'several' end as status from g left join f using (n_name, year)""",
     "fk_violations": "select doc_id, lang, source from documents where doc_id not in (select doc_id from labels)",
     "missing_reason_audit": """with d as (select c_custkey as k, case when c_custkey % 5 <> 0 then c_acctbal end as b, case when c_custkey % 7 <> 0 then c_mktsegment end as s, case when c_custkey % 10 = 0 then 'not_disclosed' when c_custkey % 11 = 0 then 'guess' end as br, case when c_custkey % 7 = 0 then 'not_applicable' end as sr from customer)
@@ -166,9 +166,8 @@ select c_custkey, case when error is null then cast(cast(replace(replace(replace
 select o_orderkey, case when error is null and k = 0 then y || '-04-01' when error is null and k = 1 then (y - 1) || '-07-01' end as period_start, case when error is null and k in (0, 1) then y || '-06-30' end as period_end, case when error is null and k = 2 then y || '-06-30' end as as_of_date,
   case when error is null then case k when 0 then 'quarter' when 1 then 'annual' else 'instant' end end as period_kind, case when error is null then y end as fiscal_year,
   cast(case when error is null and k = 0 then 91 when error is null and k = 1 then date_diff('day', make_date(y - 1, 7, 1), make_date(y, 6, 30)) + 1 end as integer) as duration_days, error from x""",
-    "interval_overlap": """with k as (select distinct event_type from events order by 1 limit 2), e as (select event_id, user_id, event_type, cast(floor(epoch(ts - timestamp '2024-01-01') / 60) as integer) as s from events), i as (select *, cast(s + 30 + event_id % 60 as integer) as e from e)
-select a.event_id as left_event, b.event_id as right_event, greatest(a.s, b.s) as overlap_start, least(a.e, b.e) as overlap_end from i a join i b on a.user_id = b.user_id and a.s < b.e and a.e > b.s
-where a.event_type = (select min(event_type) from k) and b.event_type = (select max(event_type) from k)""",
+    "interval_overlap": """with e as (select event_id, user_id, event_type, cast(floor(epoch(ts - timestamp '2024-01-01') / 60) as integer) as s from events), i as (select *, cast(s + 30 + event_id % 60 as integer) as e from e)
+select a.event_id as left_event, b.event_id as right_event, greatest(a.s, b.s) as overlap_start, least(a.e, b.e) as overlap_end from i a join i b on a.user_id = b.user_id and a.event_type < b.event_type and a.s < b.e and a.e > b.s""",
     "event_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
     "cell_extraction": """with p as (select p_partkey as k, cast(p_retailprice as decimal(18,2)) as v from part), x as (select *, case when k % 50 <> 0 and k % 41 = 0 then 'source_identity' end as failure_stage,
   case when k % 50 <> 0 and k % 41 = 0 then 'revision_or_hash_mismatch' when k % 50 = 0 then 'document_not_allowlisted' when k % 7 = 0 then 'unknown_or_ambiguous_metric_alias' when k % 11 = 0 then 'missing_or_ambiguous_year_header' when k % 13 = 0 then 'dash_not_zero' else '' end as reasons from p)

@@ -330,7 +330,9 @@ def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def coverage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c, n = (_t(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", F.year("o_orderdate").alias("year"))
-    grid = n.select("n_name", F.explode(F.sequence(F.lit(1994), F.lit(2001))).alias("year"))
+    # one row: the years from the first order to a year after the last
+    years = o.agg(F.min(F.year("o_orderdate")).alias("a"), (F.max(F.year("o_orderdate")) + 1).alias("z"))
+    grid = n.crossJoin(F.broadcast(years)).select("n_name", F.explode(F.sequence("a", "z")).alias("year"))
     return relational.coverage(rows, grid, ["n_name", "year"])
 
 
@@ -413,12 +415,11 @@ def period_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clicks and views of a user as minute intervals of the month that overlap."""
+    """Events of a user as minute intervals of the month: those of different types that overlap, the smaller type on the left."""
     e = _t(spark, sf_dir, "events")
     minute = ((F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.lit("2024-01-01").cast("timestamp"))) / 60).cast("int")
     i = e.select("event_id", "user_id", "event_type", minute.alias("start"), (minute + 30 + F.col("event_id") % 60).cast("int").alias("end"))
-    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(2).collect()]
-    out = align.interval_overlap(i.where(F.col("event_type") == kinds[0]), i.where(F.col("event_type") == kinds[1]), "user_id", bin_size=60)
+    out = align.interval_overlap(i, i, "user_id", bin_size=60).where("l.event_type < r.event_type")
     return out.select(F.col("l.event_id").alias("left_event"), F.col("r.event_id").alias("right_event"), "overlap_start", "overlap_end")
 
 
