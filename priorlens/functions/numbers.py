@@ -14,8 +14,13 @@ PRECISION = 28
 _STRICT = r"^[+-]?\d+(\.\d+)?([Ee][+-]?\d+)?$"
 
 
+# Fixed value: what an accounting token looks like. The five codes of ``parse_number`` before the last are fixed too.
+TOKEN = r"^\(?-?\$?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?\)?$"
+
+
 def parse_number(raw: Column) -> Column:
-    """An accounting token -> struct(value decimal(38,10), error). Zero, blank, dash and unknown stay apart."""
+    """An accounting token -> struct(value decimal(38,10), error). Zero, blank, dash and unknown stay apart; a number with more
+    than 28 digits before its point or 10 after it is not rounded or lost but an error of its own."""
     token = F.trim(F.regexp_replace(raw, r"^(?U)\s+|(?U)\s+$", ""))
     bare = F.regexp_replace(token, r"[()$,]", "")
     opened, closed = token.startswith("("), token.endswith(")")
@@ -23,8 +28,9 @@ def parse_number(raw: Column) -> Column:
         (raw.isNull() | (token == ""), "blank_numeric_cell"),
         (token.isin("-", "—", "–"), "dash_not_zero"),
         (F.lower(token).isin("unknown", "n/a", "null"), "unknown_numeric_value"),
-        (~token.rlike(r"^\(?-?\$?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?\)?$"), "malformed_numeric_token"),
+        (~token.rlike(TOKEN), "malformed_numeric_token"),
         ((opened != closed) | (opened & token.contains("-")), "ambiguous_sign"),
+        ((F.length(F.regexp_extract(bare, r"^-?0*(\d*)", 1)) > 28) | (F.length(F.regexp_replace(F.regexp_extract(bare, r"\.(\d*)$", 1), "0+$", "")) > 10), "number_beyond_precision"),
     )
     value = F.when(error.isNull(), bare.try_cast("decimal(38,10)"))
     return F.struct(F.when(opened, -value).otherwise(value).alias("value"), error.alias("error"))

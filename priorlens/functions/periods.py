@@ -54,6 +54,7 @@ def period_data(c: Column) -> Column:
     return F.struct(F.when(error.isNull() & (flow == "flow"), start).alias("start"), F.when(error.isNull(), F.when(flow == "balance", _d(instant)).otherwise(end)).alias("end"), F.when(error.isNull() & (flow == "flow"), days).alias("days"), error.alias("error"))
 
 
+# The header patterns and the error codes below are fixed values.
 def parse_period(period_header: Column, year_header: Column) -> Column:
     """Header text of a fiscal year that ends on June 30 -> struct(period_start, period_end, as_of_date, period_kind,
     fiscal_year, fiscal_quarter, duration_days, error)."""

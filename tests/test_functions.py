@@ -185,3 +185,12 @@ def test_reasons_and_ids(spark):
     d = lambda x: ids.dataset_digest(x).first()
     assert d(df) == d(df.orderBy(F.desc("id")).repartition(7)) and d(df)["rows"] == 50 and d(df) != d(df.unionByName(df.limit(1))) and d(df.select("v", "id")) == d(df)
     assert d(df.where("id < 0"))["rows"] == 0
+
+
+def test_numbers_beyond_precision_are_said_to_be(spark):
+    rows = ["9" * 28, "9" * 29, "0" * 20 + "9" * 28, "(1." + "1" * 11 + ")", "1." + "1" * 10 + "000", "0.00000000001", "1.5"]
+    from priorlens.functions import numbers as N
+
+    got = [r.p for r in spark.createDataFrame([(x,) for x in rows], "x string").select(N.parse_number(F.col("x")).alias("p")).collect()]
+    assert [p.error for p in got] == [None, "number_beyond_precision", None, "number_beyond_precision", None, "number_beyond_precision", None]
+    assert [p.value is None for p in got] == [False, True, False, True, False, True, False]
