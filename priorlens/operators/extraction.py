@@ -101,3 +101,34 @@ def batch_checks(results: DataFrame, inputs: DataFrame) -> DataFrame:
     conserved = j.agg(F.bool_and(F.col("_in").isNotNull() & F.coalesce(F.col("n") == 1, F.lit(False))).alias("one_terminal_row_per_input"))
     own = results.agg(F.bool_and((F.col("status") == "predicted") == F.col("prediction_id").isNotNull()).alias("claims_only_if_predicted"), F.bool_and((F.col("status") == "predicted") == (F.size("reasons") == 0)).alias("reasons_if_not_predicted"), (F.count("prediction_id") == F.count_distinct("prediction_id")).alias("prediction_ids_unique"))
     return own.join(F.broadcast(conserved), F.lit(True))
+
+
+def prediction_errors(predictions: DataFrame, inputs: DataFrame, rules: Rules) -> DataFrame:
+    """Adds ``errors`` to claims (the layout of ``extract``): every value is derived again from the claim's input, one an
+    input_id, and held against what the claim says. Codes are fixed values."""
+    j = predictions.join(inputs.select("input_id", F.struct(*inputs.columns).alias("_in")), "input_id", "left")
+    i = F.col("_in")
+    relation, segment, label = i["input_kind"] == "relation_context", F.coalesce(i["table_purpose"] == "segment_revenue", F.lit(False)), text.compact(i["row_label"])
+    j = j.withColumn("_metric", _lookup(rules.metrics, label, ["metric_id", "balance_or_flow", "statement_type", "sign_policy"])).withColumn("_unit", _lookup(rules.units, F.trim(i["unit_header"]), ["multiplier"])["multiplier"])
+    j = j.withColumn("_scope", F.when(segment, _lookup(rules.segments, label, ["scope_id"])["scope_id"]).otherwise(F.lit(rules.company_scope_id)))
+    j = j.withColumn("_period", periods.parse_period(i["period_header"], i["year_header"])).withColumn("_number", numbers.parse_number(i["value_cell"]))
+    policy = F.when(segment, "preserve").otherwise(F.col("_metric.sign_policy"))
+    signed = numbers.signed_by_policy(F.col("_number.value"), policy)["value"] * F.col("_unit").try_cast("decimal(20,6)")
+    differs = lambda a, b: ~a.eqNullSafe(b)
+    numeric = ~F.coalesce(relation, F.lit(False))
+    p = lambda f: F.col("reference_period")[f]
+    spans = [p(f.name).eqNullSafe(F.col("_period")[f.name]) for f in predictions.schema["reference_period"].dataType.fields if f.name != "error"]
+    same_period = F.forall(F.array(*spans), lambda x: x)
+    found = codes(
+        (differs(F.col("status"), F.lit("predicted")), "candidate_not_predicted"), (differs(F.col("record_kind"), F.when(relation, "reporting_relation").otherwise("numeric_claim")), "record_kind"),
+        (differs(F.col("doc_id"), i["doc_id"]) | differs(F.col("revision_id"), i["revision_id"]), "prediction_source_identity"), (differs(F.col("evidence_refs"), i["evidence_refs"]), "prediction_evidence_refs"),
+        (differs(F.col("company_id"), F.lit(rules.company_id)), "company_id"), (differs(F.col("scope_id"), F.col("_scope")), "scope_mapping"),
+        (differs(F.col("scope_status_as_of"), F.when(segment, "reported_segment_in_selected_table").otherwise("unresolved_retrospective_dependency")), "scope_cutoff_status"), (~same_period, "reporting_period"),
+        (relation & (differs(F.col("relation_type"), F.lit("reports_segment")) | differs(F.col("subject_entity_id"), F.lit(rules.company_id)) | differs(F.col("object_entity_id"), F.col("_scope"))), "relation_endpoints"),
+        (relation & (F.col("numeric_value").isNotNull() | F.col("metric_id").isNotNull()), "relation_not_numeric_claim"),
+        (numeric & (differs(F.col("metric_id"), F.when(segment, "revenue").otherwise(F.col("_metric.metric_id"))) | differs(F.col("balance_or_flow"), F.when(segment, "flow").otherwise(F.col("_metric.balance_or_flow")))), "metric_rules"),
+        (numeric & differs(F.col("numeric_value").try_cast("decimal(38,6)"), signed.cast("decimal(38,6)")), "numeric_value"), (numeric & (differs(F.col("scale"), F.lit("1")) | differs(F.col("source_scale"), F.col("_unit"))), "unit_scale"),
+        (numeric & differs(F.col("source_numeric_value").try_cast("decimal(38,6)"), F.col("_number.value").cast("decimal(38,6)")), "source_sign"), (numeric & differs(F.col("currency"), F.lit(rules.currency)), "currency_accounting"),
+        (F.col("prediction_id").isNull(), "candidate_identity_kind"),
+    )
+    return j.withColumn("errors", F.when(i.isNull(), F.array(F.lit("unknown_input_id"))).otherwise(found)).select(*predictions.columns, "errors")

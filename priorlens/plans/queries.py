@@ -429,8 +429,8 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-def cell_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Located cells made from parts go through the extraction rules: claims, or the first reason against one."""
+def part_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, extraction.Rules]:
+    """Cells made from parts, and the rules that read them."""
     p = _t(spark, sf_dir, "part")
     k = F.col("p_partkey")
     have = {
@@ -438,9 +438,13 @@ def cell_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value_cell": F.when(k % 13 == 0, "-").otherwise(F.format_number(_money("p_retailprice"), 2)), "row_label": F.when(k % 7 == 0, "Unheard of").otherwise("Revenue"), "period_header": F.lit("Three Months Ended June 30,"), "year_header": F.when(k % 11 == 0, "2023 2024").otherwise("2024"), "unit_header": F.lit("In millions"),
         "company_id": F.lit("C"), "company_name": F.lit("Company"), "scope_label": F.lit("company financial statement total"), "table_purpose": F.lit("income_statement"), "currency": F.lit("USD"), "accounting_basis": F.lit("GAAP"), "source_qualifier": F.lit("company_reported_unaudited"), "evidence_refs": F.array(F.lit("E1")),
     }
-    inputs = p.select(*[have[f.name].cast(f.dataType).alias(f.name) for f in INPUT.fields])
     rules = extraction.Rules("C", "Company", "C-ALL", {"Revenue": ("revenue", "flow", "income_statement", "preserve")}, {}, {"In millions": "1000000"}, {"D1": ("r1", "h", "2024-07-30", "2024-07-31", None)})
-    out = extraction.extract(inputs, rules, "run")
+    return p.select(*[have[f.name].cast(f.dataType).alias(f.name) for f in INPUT.fields]), rules
+
+
+def cell_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Located cells made from parts go through the extraction rules: claims, or the first reason against one."""
+    out = extraction.extract(*part_inputs(spark, sf_dir), "run")
     return out.select("input_id", "status", "failure_stage", F.concat_ws("|", "reasons").alias("reasons"), "metric_id", "numeric_value")
 
 

@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import articles, layout, validation
-from .queries import _money, _t
+from ..operators import articles, extraction, layout, tables, validation
+from ..sources.store import stored
+from .queries import _money, _t, part_inputs
 from .record_queries import query
 
 NONE = F.lit(None).cast("string")
@@ -245,3 +246,51 @@ def article_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = articles.classification(candidates, audits, articles.selected(candidates, audits))
     links = articles.event_links(candidates, audits).select("candidate_id", F.col("missing_reason").alias("link_reason"))
     return of.join(links, "candidate_id").select("candidate_id", "access_status", "eligibility", "eligibility_reason", "event_family_id", "link_reason")
+
+
+@query(f"""with p as (select p_partkey as k from part where p_partkey % 50 <> 0 and p_partkey % 41 <> 0 and p_partkey % 13 <> 0 and p_partkey % 7 <> 0 and p_partkey % 11 <> 0)
+select 'I' || k as input_id, case when k % 23 = 0 then 'unknown_input_id' else {_errors("k % 17 = 0 => prediction_evidence_refs", "k % 19 = 0 => reporting_period", "k % 3 = 0 => numeric_value", "k % 5 = 0 => unit_scale")} end as errors from p""")
+def prediction_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of all parts, some altered, derived again from their inputs."""
+    inputs, rules = part_inputs(spark, sf_dir)
+    found, k = extraction.extract(inputs, rules, "run").where("status = 'predicted'"), F.substring("input_id", 2, 20).cast("long")
+    found = found.withColumn("numeric_value", F.when(k % 3 == 0, "1").otherwise(F.col("numeric_value"))).withColumn("source_scale", F.when(k % 5 == 0, "1000").otherwise(F.col("source_scale"))).withColumn("evidence_refs", F.when(k % 17 == 0, F.array(F.lit("E9"))).otherwise(F.col("evidence_refs")))
+    found = found.withColumn("reference_period", F.col("reference_period").withField("fiscal_year", F.when(k % 19 == 0, 1999).otherwise(F.col("reference_period.fiscal_year"))))
+    return _joined(extraction.prediction_errors(found, inputs.where(F.substring("input_id", 2, 20).cast("long") % 23 != 0), rules), "input_id")
+
+
+@query("""with d as (select distinct l_orderkey as k from lineitem), w as (select * from d, (values ('Line 1', 'first', 'quarter'), ('Line 3', 'third', 'instant')) as v(label, metric_id, period)),
+r as (select l_orderkey as k, 'Line ' || l_linenumber as label, count(*) as n, min(cast(l_extendedprice as decimal(18,2))) as v from lineitem group by 1, 2),
+e as (select w.*, r.v, case when w.k % 11 = 0 then 'table_not_found' when w.k % 7 = 0 then 'table_ambiguous' when r.n is null then 'row_not_found' when r.n > 1 then 'row_ambiguous' end as error from w left join r on r.k = w.k and r.label = w.label)
+select k as l_orderkey, metric_id, case when error is null then cast(v as varchar) end as numeric_value, case when error is null then cast(cast(v * 1000 as decimal(18,2)) as varchar) end as base, case when error is null then 2 end as value_span_start,
+  case when error is null then case period when 'quarter' then '2024-04-01' else '2024-06-30' end end as period_start, case when error is null then case period when 'quarter' then 91 else 0 end end as days, error from e""")
+def statement_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a statement: two of its lines, by caption, label and column. Lines that a table has twice are ambiguous,
+    as are every seventh order's tables; every eleventh has another caption."""
+    li = _t(spark, sf_dir, "lineitem")
+    k, n, v = F.col("l_orderkey"), F.col("l_linenumber"), _money("l_extendedprice")
+    docs = li.select(k).distinct()
+    found = docs.select(k.alias("doc_id"), F.explode(F.when(k % 7 == 0, F.array(F.lit("T1"), F.lit("T2"))).otherwise(F.array(F.lit("T1")))).alias("table_id"), F.when(k % 11 == 0, "OTHER").otherwise("INCOME STATEMENTS").alias("caption"))
+    printed = F.concat(F.lit("  ($"), F.format_number(v, 2), F.lit(") "))
+    cell = lambda c, x: F.struct(F.lit(c).alias("col"), x.alias("text"), F.concat_ws("/", n.cast("string"), F.lit(str(c))).alias("pointer"))
+    cells = li.select(k.alias("doc_id"), F.lit("T1").alias("table_id"), n.alias("row"), F.inline(F.array(cell(0, F.concat(F.lit(" Line\n "), n.cast("string"))), cell(1, printed))))
+    asked = [tables.Wanted("INCOME STATEMENTS", "Line 1", 1, "first", "quarter", "ALL", "outflow_to_positive"), tables.Wanted("INCOME STATEMENTS", "Line 3", 1, "third", "instant", "ALL", "outflow_to_positive")]
+    out = tables.statement_facts(docs.select(k.alias("doc_id"), F.lit(2024).alias("fiscal_year")), found, cells, asked, scale="1000")
+    text = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
+    return out.select(F.col("doc_id").alias("l_orderkey"), "metric_id", text("numeric_value").alias("numeric_value"), text("numeric_value_base_units").alias("base"), "value_span_start", F.col("period_start").cast("string").alias("period_start"), F.col("period_duration_days").alias("days"), "error")
+
+
+@query("""with t as (select l_orderkey as k, l_linenumber as n, min(cast(l_extendedprice as decimal(18,2))) as v, max(l_linestatus) as s from lineitem group by 1, 2),
+r as (select *, row_number() over (partition by k order by s = 'O' desc, n) as r from t where n % 2 = 1 and n <> 3)
+select k as l_orderkey, 'T' || n as table_id, cast(v as varchar) as value_raw, cast(case when s = 'O' then 10000 else 0 end - n as bigint) as points from r where r = 1""")
+def best_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every order's tables, one a line, the best scored that has the words, header, label and unit."""
+    t = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(_money("l_extendedprice")).alias("v"), F.max("l_linestatus").alias("s"))
+    t = stored(t, "order-tables")
+    n, tid = F.col("l_linenumber"), F.concat(F.lit("T"), F.col("l_linenumber").cast("string"))
+    words = F.concat(F.lit("Sales "), F.when(n % 2 == 1, "DRAM ").otherwise("NAND "), F.when(F.col("s") == "O", "Share").otherwise(""))
+    found = t.select(F.col("l_orderkey").alias("doc_id"), tid.alias("table_id"), n.alias("ord"), words.alias("text"), F.array(F.lit("Note"), F.when(n == 3, "none").otherwise("Unit: million")).alias("context"))
+    cell = lambda r, c, x: F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), x.alias("text"))
+    cells = t.select(F.col("l_orderkey").alias("doc_id"), tid.alias("table_id"), F.inline(F.array(cell(0, 0, F.lit("Division")), cell(0, 1, F.lit("Sales Share")), cell(0, 2, F.lit("Sales")), cell(1, 0, F.lit("Total")), cell(1, 2, F.lit("0")), cell(2, 0, F.lit("Memory division")), cell(2, 1, F.lit("9")), cell(2, 2, F.col("v").cast("string")))))
+    out = tables.best_table(found, cells, required=["Sales", "DRAM"], weights={"Share": 10}, header="Sales", not_header="Share", label="^Memory", unit="million")
+    return out.select(F.col("doc_id").alias("l_orderkey"), "table_id", "value_raw", (F.col("score") * 1000).cast("long").alias("points"))

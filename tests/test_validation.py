@@ -5,7 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from priorlens.operators import articles, layout, validation
+from priorlens.operators import articles, layout, tables, validation
 
 BLOCK = "raw_text string, normalized_text string, offset_mapping struct<unit:string,status:string>, spans array<struct<start:int,end:int,text:string>>, source_xpath string, xpath_texts array<string>, location_status string, evidence_eligible boolean"
 
@@ -83,6 +83,26 @@ def test_reviewer_slots(spark):
     assert [r.review_slot_id for r in articles.reviewer_slots(c, chosen, "50%").orderBy("reviewer_slot").collect()] == ["50%-101-R1", "50%-101-R2"]
 
 
+def test_statement_facts_say_why_not(spark):
+    docs = spark.createDataFrame([("d", 2025), ("e", None)], "doc_id string, fiscal_year int")
+    named = spark.createDataFrame([("d", "T", "CASH"), ("e", "T", "CASH")], "doc_id string, table_id string, caption string")
+    cells = spark.createDataFrame([("d", "T", 0, 0, "Paid"), ("d", "T", 0, 2, "x ($1,000.5) y"), ("d", "T", 1, 0, "Got"), ("d", "T", 1, 2, "7"), ("d", "T", 2, 0, "Dash"), ("d", "T", 2, 2, "-"), ("d", "T", 3, 0, "Bare")], "doc_id string, table_id string, row int, col int, text string").withColumn("pointer", F.lit("p"))
+    w = [tables.Wanted("CASH", x, 2, x, "year", "ALL", "outflow_to_positive") for x in ("Paid", "Got", "Dash", "Bare", "None")]
+    out = {(r.doc_id, r.metric_id): r for r in tables.statement_facts(docs, named, cells, w).collect()}
+    assert len(out) == 10 and {k[1]: r.error for k, r in out.items() if k[0] == "d"} == {"Paid": None, "Got": "outflow_not_negative", "Dash": "no_number", "Bare": "cell_not_found", "None": "row_not_found"}
+    r = out["d", "Paid"]
+    assert (r.value_raw, r.value_span_start, r.value_span_end, r.numeric_value, r.numeric_value_base_units) == ("($1,000.5)", 2, 12, Decimal("1000.5"), Decimal("1000500000"))
+    assert (str(r.period_start), str(r.period_end), r.period_duration_days, r.balance_or_flow) == ("2024-07-01", "2025-06-30", 365, "flow")
+
+
+def test_best_table_needs_every_part(spark):
+    found = spark.createDataFrame([("d", "A", 5, "Sales DRAM", ["Unit: x"]), ("d", "B", 1, "Sales DRAM", None), ("e", "A", 0, "Sales", ["Unit"])], "doc_id string, table_id string, ord int, text string, context array<string>")
+    cells = spark.createDataFrame([(d, t, r, c, x) for d in "de" for t in "AB" for r, c, x in ((0, 1, "Sales"), (1, 0, "Memory"), (1, 1, t))], "doc_id string, table_id string, row int, col int, text string")
+    args = dict(required=["Sales", "DRAM"], weights={}, header="Sales", not_header="%", label="Mem", unit="Unit")
+    assert [(r.doc_id, r.table_id, r.value_raw) for r in tables.best_table(found, cells, **args).collect()] == [("d", "A", "A")]
+    assert tables.best_table(found, cells, **args | {"label": "None"}).count() == 0
+
+
 def test_record_and_validation_queries_match_their_sql(spark):
     """The queries of records and validators at the smallest scale against DuckDB."""
     import duckdb
