@@ -66,3 +66,21 @@ def refined_headers(facts: DataFrame, cells: DataFrame) -> DataFrame:
     at = lambda n: F.get(F.filter(of(n), lambda c: c["ord"] == i), F.lit(0))["pointer"]
     period, year = F.when(flow, placed["pointer"]).otherwise(at(0)), F.when(flow, at(2)).otherwise(at(0))
     return j.select(*facts.columns, period.alias("period_header_pointer"), year.alias("year_header_pointer"), F.when(period.isNull() | year.isNull(), "header_not_found").alias("error"))
+
+
+def boundary_findings(blocks: DataFrame, key: str = "page_id") -> DataFrame:
+    """Blocks at the edge of a page's body that a person should look at: (key, seq, kind, node_path, chars, action). blocks: the
+    layout of ``markup.blocks``. The body is the page's article, else its main part, else all of it. Long text that was left
+    out of the body, or stands outside it, is a finding; metadata and widgets are named as such."""
+    part = lambda tag: F.col("node_path").contains(f"/{tag}[")
+    has = blocks.groupBy(key).agg(F.max(part("article")).alias("_a"), F.max(part("main")).alias("_m"))
+    j = blocks.join(has, key)
+    inside = F.when(F.col("_a"), part("article")).when(F.col("_m"), part("main")).otherwise(True)
+    n, gone = F.length("normalized_text"), F.col("omitted").isNotNull()
+    # Kinds, actions and the lengths from which text counts.
+    kind = F.when(gone & ~F.col("omitted").startswith("element:") & (n >= 80) & F.col("block_type").isin("paragraph", "cell", "list_item"), "omitted_region_contains_substantive_structure").when(
+        ~gone & ~inside & (n >= 30),
+        F.when(F.col("block_type") == "title", "title_metadata_preserved").when(F.col("role") == "header", "header_metadata_candidate").when(F.col("role").isin("navigation", "footer", "aside"), "widget_or_byline_boundary_candidate").otherwise("outside_substantive_text_review"),
+    )
+    action = F.when(F.col("kind") == "omitted_region_contains_substantive_structure", "inspect_excluded_related_or_attachment_region_locally").when(F.col("kind") == "outside_substantive_text_review", "review_as_missing_body_candidate").otherwise("keep_separate_from_body_or_widget")
+    return j.withColumn("kind", kind).where(F.col("kind").isNotNull()).select(key, "seq", "kind", "node_path", n.alias("chars"), action.alias("action"))

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import articles, extraction, layout, tables, validation
+from ..operators import annotate, articles, extraction, layout, tables, validation
+from ..sources import markup
 from ..sources.store import stored
 from .queries import _money, _t, part_inputs
 from .record_queries import query
@@ -294,3 +295,31 @@ def best_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = t.select(F.col("l_orderkey").alias("doc_id"), tid.alias("table_id"), F.inline(F.array(cell(0, 0, F.lit("Division")), cell(0, 1, F.lit("Sales Share")), cell(0, 2, F.lit("Sales")), cell(1, 0, F.lit("Total")), cell(1, 2, F.lit("0")), cell(2, 0, F.lit("Memory division")), cell(2, 1, F.lit("9")), cell(2, 2, F.col("v").cast("string")))))
     out = tables.best_table(found, cells, required=["Sales", "DRAM"], weights={"Share": 10}, header="Sales", not_header="Share", label="^Memory", unit="million")
     return out.select(F.col("doc_id").alias("l_orderkey"), "table_id", "value_raw", (F.col("score") * 1000).cast("long").alias("points"))
+
+
+@query("""with o as (select o_orderkey as k, cast(o_totalprice as decimal(18,2)) as v from orders)
+select k as o_orderkey, case when k % 7 = 0 then 'outside_fiscal_calendar' when k % 5 = 0 then 'one_token_expected' when k % 3 = 0 then 'unbalanced_parentheses' end as a_error,
+  case when k % 7 = 0 then 'outside_fiscal_calendar' when k % 5 = 0 then 'unsupported_token' when k % 3 = 0 then 'unbalanced_parentheses' end as b_error,
+  case when k % 7 <> 0 and k % 5 <> 0 and k % 3 <> 0 and k % 2 = 0 then '2024-04-01' end as period_start, k % 7 <> 0 and k % 3 <> 0 and k % 5 <> 0 as same, '' as errors from o""")
+def two_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two annotators' drafts of all orders side by side: where each abstains, whether the facts agree, and what the validator
+    says of the first one's drafts."""
+    o, k = _t(spark, sf_dir, "orders"), F.col("o_orderkey")
+    key = k.cast("string")
+    amount = F.concat(F.when(k % 3 == 0, "(").otherwise(""), F.when(k % 5 == 0, "1,2").otherwise(""), _money("o_totalprice").cast("string"))
+    raw = F.struct(F.concat(F.lit(" "), amount, F.lit("\n")).alias("value_cell"), F.lit("Total  sales").alias("row_label"), F.concat(F.when(k % 2 == 0, "Three Months Ended ").otherwise(""), F.when(k % 7 == 0, "May 30,").otherwise("June 30,"), F.when(k % 2 == 1, " 2024").otherwise("")).alias("period_header"), F.when(k % 2 == 1, "June 30, 2024").otherwise("2024").alias("year_header"), F.lit("In millions").alias("unit_header"))
+    packets = o.select(key.alias("item_id"), F.lit("numeric_claim").alias("item_type"), *[key.alias(c) for c in ("doc_id", "event_id", "event_family_id", "source_claim_id", "source_record_ref")], F.lit("r1").alias("revision_id"), F.struct(NONE.alias("published_at"), F.lit("2024-07-30").alias("published_date"), F.lit("date").alias("time_precision")).alias("publication"), F.array(F.lit("E1")).alias("evidence_refs"), F.lit("h").alias("source_sha256"), F.array(F.lit("S")).alias("scope_dependency_refs"), raw.alias("raw"))
+    guide = annotate.Guide("g1", "v1", {"Total sales": ("sales", "preserve")}, {"In millions": "1000000"}, "ALL", flags=("seen",))
+    a, b = annotate.annotations(packets, guide, "A", annotate.period_a, annotate.number_a), annotate.annotations(packets, guide, "B", annotate.period_b, annotate.number_b)
+    contract = CONTRACT | {"method": "agent_authored_deterministic_annotation"}
+    checked = validation.annotation_errors(a, packets, contract).select("item_id", F.col("error").alias("a_error"), F.col("facts").alias("_a"), F.when(F.col("error").isNull(), F.concat_ws("|", "errors")).otherwise("").alias("errors"))
+    j = checked.join(b.select("item_id", F.col("error").alias("b_error"), F.col("facts").alias("_b")), "item_id")
+    both = F.col("a_error").isNull() & F.col("b_error").isNull()
+    return j.select(F.col("item_id").cast("long").alias("o_orderkey"), "a_error", "b_error", F.when(F.col("a_error").isNull(), F.col("_a.period_start")).alias("period_start"), (both & F.col("_a").eqNullSafe(F.col("_b"))).alias("same"), "errors")
+
+
+@query()
+def boundary_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text at the edge of the pages' bodies, counted by kind."""
+    found = layout.boundary_findings(markup.blocks(_t(spark, sf_dir, "pages")))
+    return found.groupBy("kind", "action").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("page_id").alias("pages"), F.sum("chars").alias("chars"))

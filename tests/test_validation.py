@@ -5,7 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from priorlens.operators import articles, layout, tables, validation
+from priorlens.operators import annotate, articles, layout, tables, validation
 
 BLOCK = "raw_text string, normalized_text string, offset_mapping struct<unit:string,status:string>, spans array<struct<start:int,end:int,text:string>>, source_xpath string, xpath_texts array<string>, location_status string, evidence_eligible boolean"
 
@@ -103,6 +103,29 @@ def test_best_table_needs_every_part(spark):
     assert tables.best_table(found, cells, **args | {"label": "None"}).count() == 0
 
 
+def test_annotators_read_apart(spark):
+    rows = [("1,234.5 ",), (" (7)",), ("12,34",), ("1 2",), ("5 units",), ("(5",), (None,), ("",)]
+    d = spark.createDataFrame(rows, "x string").select(annotate.number_a(F.col("x")).alias("a"), annotate.number_b(F.col("x")).alias("b"))
+    got = [(r.a.raw, r.a.start, r.a.error, r.b.raw, r.b.start, r.b.error) for r in d.collect()]
+    assert got[:2] == [("1,234.5", 0, None, "1,234.5", 0, None), ("(7)", 1, None, "(7)", 1, None)]
+    assert [(g[2], g[5]) for g in got[2:]] == [("one_token_expected", "unsupported_token"), ("one_token_expected", "unsupported_token"), ("unparsed_material", "unsupported_token"), ("unbalanced_parentheses", "unbalanced_parentheses"), ("one_token_expected", "unsupported_token"), ("one_token_expected", "unsupported_token")]
+    heads = [("Twelve Months Ended June 30,", "2025"), ("June 30, 2024", "June 30, 2024"), ("June 30, 2024", "2024"), ("Six Months Ended June 30,", "2024"), ("Three Months Ended June 31,", "2024"), (None, "2024"), ("June 30,", "2023 2024")]
+    p = spark.createDataFrame(heads, "h string, y string").select(annotate.period_a(F.col("h"), F.col("y"), (6, 30)).alias("a"), annotate.period_b(F.col("h"), F.col("y"), (6, 30)).alias("b")).collect()
+    assert p[0].a == p[0].b and (p[0].a.period_start, p[0].a.period_end, p[0].a.duration_days) == ("2024-07-01", "2025-06-30", 365)
+    assert p[1].a == p[1].b and p[1].a.as_of_date == "2024-06-30" and p[1].a.period_kind == "instant"
+    assert [(r.a.error, r.b.error) for r in p[2:]] == [("unsupported_duration", None), ("unsupported_duration", "unsupported_duration"), ("not_a_date", "outside_fiscal_calendar"), ("month_and_day_missing", "outside_fiscal_calendar"), ("one_source_year_expected", "one_source_year_expected")]
+
+
+def test_boundary_findings(spark):
+    from priorlens.sources import markup
+
+    long = "word " * 30
+    html = f"<title>{long}</title><header><p>{long}</p></header><div><p>{long}</p></div><article><p>{long}</p><div class='related'><p>{long}</p></div><p>short</p></article><aside><p>{long}</p></aside>"
+    pages = spark.createDataFrame([(1, html), (2, f"<p>{long}</p>"), (3, None)], "page_id long, html string")
+    got = sorted(r.kind for r in layout.boundary_findings(markup.blocks(pages)).collect())
+    assert got == ["header_metadata_candidate", "omitted_region_contains_substantive_structure", "outside_substantive_text_review", "title_metadata_preserved", "widget_or_byline_boundary_candidate"]
+
+
 def test_record_and_validation_queries_match_their_sql(spark):
     """The queries of records and validators at the smallest scale against DuckDB."""
     import duckdb
