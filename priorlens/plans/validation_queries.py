@@ -12,7 +12,9 @@ from ..sources.store import stored
 from .queries import _money, _t, part_inputs
 from .record_queries import query
 
-NONE = F.lit(None).cast("string")
+
+def _none() -> Column:
+    return F.lit(None).cast("string")
 
 
 def _errors(*rules: str) -> str:
@@ -90,8 +92,8 @@ def annotation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, amount = k.cast("string"), _money("o_totalprice")
     cell = F.concat(F.lit("$"), amount.cast("string"))
     own = {
-        "doc_id": key, "revision_id": F.when(k % 5 == 0, "r2").otherwise("r1"), "event_id": key, "event_family_id": key, "source_claim_id": key, "published_at": NONE, "published_date": F.lit("2024-07-30"), "time_precision": F.lit("date"), "value_span_start": F.lit(0), "value_span_end": F.length(cell) - F.when(k % 19 == 0, 1).otherwise(0), "value_raw": cell, "sign_policy": F.lit("preserve"),
-        "numeric_value": amount.cast("string"), "scale": F.lit("1"), "numeric_value_base_units": (amount + F.when(k % 23 == 0, 1).otherwise(0)).cast("string"), "period_kind": F.lit("duration"), "period_start": F.lit("2024-04-01"), "period_end": F.lit("2024-06-30"), "duration_days": F.when(k % 31 == 0, 92).otherwise(91), "as_of_date": NONE, "scope_id": F.lit("ALL"), "scope_status_as_of": F.when(k % 37 == 0, "supported").otherwise("unresolved_retrospective_dependency"),
+        "doc_id": key, "revision_id": F.when(k % 5 == 0, "r2").otherwise("r1"), "event_id": key, "event_family_id": key, "source_claim_id": key, "published_at": _none(), "published_date": F.lit("2024-07-30"), "time_precision": F.lit("date"), "value_span_start": F.lit(0), "value_span_end": F.length(cell) - F.when(k % 19 == 0, 1).otherwise(0), "value_raw": cell, "sign_policy": F.lit("preserve"),
+        "numeric_value": amount.cast("string"), "scale": F.lit("1"), "numeric_value_base_units": (amount + F.when(k % 23 == 0, 1).otherwise(0)).cast("string"), "period_kind": F.lit("duration"), "period_start": F.lit("2024-04-01"), "period_end": F.lit("2024-06-30"), "duration_days": F.when(k % 31 == 0, 92).otherwise(91), "as_of_date": _none(), "scope_id": F.lit("ALL"), "scope_status_as_of": F.when(k % 37 == 0, "supported").otherwise("unresolved_retrospective_dependency"),
     }
     said = F.create_map(F.lit("facts.as_of_date"), F.lit("flow"), F.when(k % 17 == 0, "other").otherwise("facts.published_at"), F.lit("date only"))
     refs = F.array(F.lit("E1"), F.lit("E2"))
@@ -100,7 +102,7 @@ def annotation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.when(k % 11 == 0, "x").otherwise("h").alias("doc_sha256"), key.alias("source_record_ref"), F.array(F.lit("S")).alias("availability_dependency_refs"), F.lit("original_cell").alias("offset_basis")).alias("provenance"), F.when(k % 7 == 0, F.array(F.lit("E1"))).otherwise(F.array(F.lit("E2"), F.lit("E1"))).alias("evidence_refs"), F.when(k % 13 != 0, F.array(F.lit("seen"))).alias("exposure_flags"), said.alias("field_missing_reasons"),
     )
     packets = o.where(k % 29 != 0).select(
-        key.alias("item_id"), F.lit("numeric_claim").alias("item_type"), *[key.alias(c) for c in ("doc_id", "event_id", "event_family_id", "source_claim_id", "source_record_ref")], F.lit("r1").alias("revision_id"), F.struct(NONE.alias("published_at"), F.lit("2024-07-30").alias("published_date"), F.lit("date").alias("time_precision")).alias("publication"),
+        key.alias("item_id"), F.lit("numeric_claim").alias("item_type"), *[key.alias(c) for c in ("doc_id", "event_id", "event_family_id", "source_claim_id", "source_record_ref")], F.lit("r1").alias("revision_id"), F.struct(_none().alias("published_at"), F.lit("2024-07-30").alias("published_date"), F.lit("date").alias("time_precision")).alias("publication"),
         refs.alias("evidence_refs"), F.lit("h").alias("source_sha256"), F.array(F.lit("S")).alias("scope_dependency_refs"), F.struct(cell.alias("value_cell")).alias("raw"),
     )
     return _joined(validation.annotation_errors(drafts, packets, CONTRACT), "o_orderkey")
@@ -138,7 +140,7 @@ def annotation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.concat(key, F.lit("-1"))
     own = F.when((k % 5 == 0) & (who == "B"), "other").otherwise(item)
     rows = both.where(~((k % 7 == 0) & (who == "B"))).withColumn("_twice", F.explode(F.sequence(F.lit(1), F.when((k % 11 == 0) & (who == "A"), 2).otherwise(1))))
-    rows = rows.select(F.concat(who, key).alias("annotation_id"), who, item.alias("item_id"), F.lit("numeric_claim").alias("item_type"), F.when((k % 3 == 0) & (who == "A"), "g0").otherwise("g1").alias("guide_version"), F.lit("v1").alias("registry_version"), F.lit("agent").alias("annotator_kind"), F.struct(own.alias("source_claim_id"), NONE.alias("source_relation_id"), key.alias("doc_id")).alias("facts"), F.struct(F.concat(F.lit("f#"), item).alias("source_record_ref")).alias("provenance"))
+    rows = rows.select(F.concat(who, key).alias("annotation_id"), who, item.alias("item_id"), F.lit("numeric_claim").alias("item_type"), F.when((k % 3 == 0) & (who == "A"), "g0").otherwise("g1").alias("guide_version"), F.lit("v1").alias("registry_version"), F.lit("agent").alias("annotator_kind"), F.struct(own.alias("source_claim_id"), _none().alias("source_relation_id"), key.alias("doc_id")).alias("facts"), F.struct(F.concat(F.lit("f#"), item).alias("source_record_ref")).alias("provenance"))
     said = _assessments(both, k).select(F.concat(F.lit("S"), who, key).alias("assessment_id"), F.concat(who, key).alias("annotation_id"), who, item.alias("item_id"), F.lit("agent").alias("annotator_kind"), F.lit("g1").alias("guide_version"), "questions")
     return validation.pair_errors(rows, said, CONTRACT, ["A", "B"])
 
@@ -308,7 +310,7 @@ def two_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = k.cast("string")
     amount = F.concat(F.when(k % 3 == 0, "(").otherwise(""), F.when(k % 5 == 0, "1,2").otherwise(""), _money("o_totalprice").cast("string"))
     raw = F.struct(F.concat(F.lit(" "), amount, F.lit("\n")).alias("value_cell"), F.lit("Total  sales").alias("row_label"), F.concat(F.when(k % 2 == 0, "Three Months Ended ").otherwise(""), F.when(k % 7 == 0, "May 30,").otherwise("June 30,"), F.when(k % 2 == 1, " 2024").otherwise("")).alias("period_header"), F.when(k % 2 == 1, "June 30, 2024").otherwise("2024").alias("year_header"), F.lit("In millions").alias("unit_header"))
-    packets = o.select(key.alias("item_id"), F.lit("numeric_claim").alias("item_type"), *[key.alias(c) for c in ("doc_id", "event_id", "event_family_id", "source_claim_id", "source_record_ref")], F.lit("r1").alias("revision_id"), F.struct(NONE.alias("published_at"), F.lit("2024-07-30").alias("published_date"), F.lit("date").alias("time_precision")).alias("publication"), F.array(F.lit("E1")).alias("evidence_refs"), F.lit("h").alias("source_sha256"), F.array(F.lit("S")).alias("scope_dependency_refs"), raw.alias("raw"))
+    packets = o.select(key.alias("item_id"), F.lit("numeric_claim").alias("item_type"), *[key.alias(c) for c in ("doc_id", "event_id", "event_family_id", "source_claim_id", "source_record_ref")], F.lit("r1").alias("revision_id"), F.struct(_none().alias("published_at"), F.lit("2024-07-30").alias("published_date"), F.lit("date").alias("time_precision")).alias("publication"), F.array(F.lit("E1")).alias("evidence_refs"), F.lit("h").alias("source_sha256"), F.array(F.lit("S")).alias("scope_dependency_refs"), raw.alias("raw"))
     guide = annotate.Guide("g1", "v1", {"Total sales": ("sales", "preserve")}, {"In millions": "1000000"}, "ALL", flags=("seen",))
     a, b = annotate.annotations(packets, guide, "A", annotate.period_a, annotate.number_a), annotate.annotations(packets, guide, "B", annotate.period_b, annotate.number_b)
     contract = CONTRACT | {"method": "agent_authored_deterministic_annotation"}
