@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .arrow_maps import BATCH_ROWS, resident, slices, small_batches
 from .byte_bpe import _schema
-from .common import make_folder, open_fs, pick, shared_path, stored
+from .common import make_folder, open_fs, pick, shared_path, stored, whole_path
 
 BLOCK = 1 << 16
 MARK = b"BITPLANE"
@@ -303,7 +303,7 @@ def read_file(path: str) -> Iterator[tuple[object, bytes]]:
 def write_ids(docs: DataFrame, path: str, end_id: int, folder: str | None = None, *, files: int | None = None, bits: bool = True, block: int = BLOCK, level: int = 3, id_col="doc_id", text_col="text") -> DataFrame:
     """Writes the files; returns the manifest: number, file, start (ids in all files before it), n_ids, n_docs, in order."""
     spark = docs.sparkSession
-    folder = folder or shared_path(spark, "bitplanes")
+    folder = whole_path(spark, folder) if folder else shared_path(spark, "bitplanes")
     make_folder(folder)
     rows = pick(docs, doc_id=id_col, text=text_col)
     borders = _borders(rows, files)

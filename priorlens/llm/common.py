@@ -23,11 +23,19 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
+def whole_path(spark: SparkSession, path: str) -> str:
+    """The folder ``path`` (made if it isn't there) with its scheme: without one it lies on the default file system, and
+    behind a mount table where the link points. So Spark and tasks that open files by themselves mean the same place."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    return files.resolvePath(at).toString()
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new folder name below the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/priorlens/{what}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    path = f"{whole_path(spark, f'{shared_dir(spark)}/priorlens')}/{what}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return path
 
@@ -37,14 +45,27 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Hadoop's schemes that pyarrow has under another name.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def open_fs(path: str):
-    """The pyarrow file system of a path, and the path in it: for files that tasks write and read themselves."""
+    """The pyarrow file system of a whole path (with its scheme), and the path in it: for files that tasks write and read
+    themselves. A path without a scheme is refused, as each machine would take it for its own disk."""
+    import pyarrow as pa
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        raise ValueError(f"{path} has no scheme: name the file system, or take a folder from shared_path")
+    try:
+        return fs.FileSystem.from_uri(f"{ARROW_SCHEMES.get(scheme, scheme)}:{rest}")
+    except (pa.ArrowInvalid, OSError) as e:
+        raise ValueError(f"tasks can't open files on {scheme} ({path}): set spark.checkpoint.dir to a folder that pyarrow can open (file, hdfs, s3, gs, abfss)") from e
 
 
 def make_folder(path: str) -> None:
+    """Runs on the driver before any job, so a folder that tasks couldn't open stops the operator here."""
     files, at = open_fs(path)
     files.create_dir(at, recursive=True)
 

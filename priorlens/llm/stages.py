@@ -6,6 +6,8 @@ own verdict. Verdict tables are broadcast up to a checked number of rows and shu
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,6 +99,13 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.round_trip(in_order(docs), path, pattern, carry=["training_rank"]))
 
 
+def file_order(path: str) -> tuple[int, str]:
+    """The place of one of Spark's files among its table's: by the number of the partition. Names pad it to five digits only,
+    so part-100000 would come before part-99999 as text. Files of other names come first, by name."""
+    found = re.match(r"part-(\d+)", path.rpartition("/")[2])
+    return int(found[1]) if found else -1, path
+
+
 def in_order(docs: DataFrame) -> DataFrame:
     """doc_id, text, training_rank: rows of the files before, and the row's index in its own. A row per file is broadcast."""
     columns = [F.col("doc_id"), F.col("text")]
@@ -106,7 +115,7 @@ def in_order(docs: DataFrame) -> DataFrame:
         return docs.select(*columns, F.lit(None).cast("long").alias("training_rank"))
     files = at.groupBy("__file").agg(F.count(F.lit(1)).alias("__n")).collect()
     starts, upto = [], 0
-    for r in sorted(files, key=lambda r: r["__file"]):
+    for r in sorted(files, key=lambda r: file_order(r["__file"])):
         starts.append((r["__file"], upto))
         upto += r["__n"]
     starts = F.broadcast(docs.sparkSession.createDataFrame(starts, "__file string, __start long"))
