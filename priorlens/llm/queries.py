@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, byte_bpe, kdtree, langid, minhash, mixing, preference, quality, sharding, token_counts
+from . import bitplane, byte_bpe, kdtree, langid, minhash, mixing, packing, preference, quality, runs, sharding, token_counts, vector_codes
 from .common import table
 
 
@@ -59,7 +59,26 @@ def op10_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op2_kdtree_topk, op3_cross_parsing, op4_transducer_counts, op5_rank_queue_bpe, op6_minhash_components, op7_curriculum_mix, op8_stratified_interleave, op9_preference_format, op10_bitplane_ids)}
+def op11_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(runs.looped(table(spark, sf_dir, "documents")))
+    best, line = runs.best("runs"), lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    thousand = 1000 * best["length"]
+    exponent = ((thousand - thousand % best["period"]) / best["period"]).cast("long")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"), exponent.alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.codes(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", vector_codes.hex_code("codes").alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op2_kdtree_topk, op3_cross_parsing, op4_transducer_counts, op5_rank_queue_bpe, op6_minhash_components, op7_curriculum_mix, op8_stratified_interleave, op9_preference_format, op10_bitplane_ids, op11_certified_packing, op12_periodic_runs, op13_vector_codes)}
 
 
 def _class_counts() -> str:
@@ -85,6 +104,19 @@ def _masked(turns: str) -> str:
     return f"coalesce(array_to_string(list_transform({turns}, lambda t: '0:' || (length(t.role) + 5) || ',' || (case when t.role = 'assistant' then '1:' else '0:' end) || (length(t.text) + 9)), ','), '')"
 
 
+def _lloyd(rounds: int = vector_codes.ROUNDS) -> str:
+    """Codebooks b0, b1 ... and assignments a0, a1 ... as common table expressions."""
+    out = []
+    for k in range(rounds + 1):
+        near = f"select x.number, x.part, x.v, b.entry, list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - b.v[i]) * (x.v[i] - b.v[i]))) as d from x join b{k} b using (part)"
+        out.append(f"a{k} as materialized (select number, part, any_value(v) as v, arg_min(entry, (d, entry)) as entry, min(d) as d from ({near}) group by number, part)")
+        if k < rounds:
+            means = f"select part, entry, i, sum(v[i]) as s, count(*) as n from a{k}, unnest(range(1, len(v) + 1)) as u(i) group by all"
+            moved = f"select part, entry, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as v from ({means}) group by part, entry"
+            out.append(f"b{k + 1} as materialized (select b.part, b.entry, coalesce(m.v, b.v) as v from b{k} b left join ({moved}) m using (part, entry))")
+    return ",\n".join(out)
+
+
 N_CLASSES, N_COMMONS = len(quality.CLASSES) + 1, len(quality.VOCABULARY) + 1
 
 SQL: dict[str, str] = {
@@ -196,4 +228,15 @@ with t as (
 y as (select *, (len(c) = 0 and len(r) = 0) as identical from x)
 select pair_id, cast(k as integer) as prefix_turns, """ + _rendered("p") + """ as prompt, """ + _rendered("c") + """ as chosen, """ + _rendered("r") + """ as rejected, """ + _masked("c") + """ as chosen_mask, """ + _masked("r") + """ as rejected_mask, identical
 from y""",
+    "op13_vector_codes": f"""
+with q as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v, row_number() over (order by vec_id nulls last, embedding) as number from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), x as materialized (select number, p as part, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] as v from q, unnest(range(4)) as u(p)),
+b0 as materialized (select part, number - 1 as entry, v from x where number <= 256),
+{_lloyd()},
+e as (select number, string_agg(printf('%02x', entry), '' order by part) as code, cast(sum(d) as bigint) as error from a{vector_codes.ROUNDS} group by number),
+r as (select q.vec_id, q.label, e.code, e.error from q join e using (number)),
+s as (select sha256(string_agg(array_to_string(v, ','), ',' order by part, entry)) as sha from b{vector_codes.ROUNDS})
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, sha as codebooks_sha256 from r cross join s""",
 }
