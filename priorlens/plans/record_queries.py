@@ -491,10 +491,36 @@ def handoff_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.handoff_errors(facts, contracts).select("item_id", F.concat_ws("|", "errors").alias("errors"))
 
 
-@query()
+#: Words of the documents and what stands for them in the query below, so that its texts hold every kind of signal.
+_TERMS = {"the": "HBM3E", "and": "삼성전자", "que": "양산했다", "der": "전망", "und": "밝혔다", "les": "2024년 3분기", "los": "100억 원", "une": "않았다", "with": "“낸드 2조 5000억 원”", "von": "DDR5 16GB/s", "por": "지난해 5월 3일", "dans": "메모리 사업"}
+
+
+def _rules(group: dict[str, str]) -> str:
+    """SQL for the matches of a dictionary's patterns; those that look ahead are left to the terms, none of which they match."""
+    return " + ".join(f"len(regexp_extract_all(t, '(?i){p}'))" for p in group.values() if "(?!" not in p)
+
+
+_CLAIM_COUNTS = f"""
+with d as (select doc_id, {"".join("replace(" for _ in _TERMS)}text{"".join(f", ' {k} ', ' {v} ')" for k, v in _TERMS.items())} as t from documents),
+k as (
+  select doc_id, t, unnest([
+    {{'kind': 'product', 'n': {_rules(claim_signals.PRODUCTS)}}},
+    {", ".join(f"{{'kind': '{kind}', 'n': {_rules(group)}}}" for kind, group in (("scope", claim_signals.SCOPES), ("action", claim_signals.ACTIONS), ("modality", claim_signals.MODALITIES), ("attribution", claim_signals.ATTRIBUTION)))},
+    {{'kind': 'period', 'n': len(regexp_extract_all(t, '{claim_signals.PERIOD}'))}},
+    {{'kind': 'negation_or_uncertainty', 'n': len(regexp_extract_all(t, '{claim_signals.NEGATION}'))}},
+    {{'kind': 'quote', 'n': len(regexp_extract_all(t, '“[^”\n]+”|"[^"\n]+"|‘[^’\n]+’'))}},
+    {{'kind': 'quantity', 'n': len(regexp_extract_all(regexp_replace(t, '{claim_signals.PERIOD}|HBM3E|DDR5', 'x', 'g'), '(?:^|[^\\p{{L}}\\p{{N}}_.])[+-]?\\d[\\d,]*(?:\\.\\d+)?'))}}]) as x from d
+)
+select x.kind as kind, cast(sum(x.n) as bigint) as signals, count(*) filter (x.n > 0) as documents from k group by x.kind having sum(x.n) > 0"""
+
+
+@query(_CLAIM_COUNTS)
 def claim_signal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claim signals of the documents by kind."""
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.explode(claim_signals.claim_signals("text")).alias("s"))
+    """Claim signals by kind, of the whole documents with some words put for others."""
+    x = F.col("text")
+    for word, term in _TERMS.items():
+        x = F.replace(x, F.lit(f" {word} "), F.lit(f" {term} "))
+    d = _t(spark, sf_dir, "documents").select("doc_id", x.alias("x")).select("doc_id", F.explode(claim_signals.claim_signals("x")).alias("s"))
     return d.groupBy("s.kind").agg(F.count(F.lit(1)).alias("signals"), F.count_distinct("doc_id").alias("documents"))
 
 

@@ -9,11 +9,16 @@ from priorlens.functions import claim_signals, json_text
 from priorlens.operators import evaluate, records, relational
 
 
-def kinds(x):
-    return [(k, x[a:z], json.loads(n)) for a, z, k, n in claim_signals.signals_of(x)]
+@pytest.fixture
+def kinds(spark):
+    def of(x):
+        found = spark.createDataFrame([(x,)], "x string").select(claim_signals.claim_signals("x").alias("s")).first().s
+        return [(s.kind, x[s.start : s.end], json.loads(s.normalized)) for s in found]
 
+    return of
 
-def test_signals_of_a_sentence():
+
+def test_signals_of_a_sentence(kinds):
     x = "삼성전자는 2024년 3분기 HBM3E 매출이 1,200억 원을 기록했다고 밝혔다"
     found = kinds(x)
     by = {k: (s, n) for k, s, n in found if k != "action"}
@@ -25,7 +30,7 @@ def test_signals_of_a_sentence():
     assert quantities[0][1] == {"value": "1200", "unit": "KRW", "scale_multiplier": 100000000, "compound_amount_component": False, "base_value": "120000000000", "normalization_status": "simple_explicit_unit"}
 
 
-def test_quantities_keep_what_they_are_not():
+def test_quantities_keep_what_they_are_not(kinds):
     status = lambda x: [n["normalization_status"] for k, _, n in kinds(x) if k == "quantity"]
     assert status("3조 2000억 원") == ["compound_requires_review"] * 2
     assert status("모두 12 이다") == ["unit_missing"]
@@ -33,17 +38,29 @@ def test_quantities_keep_what_they_are_not():
     units = [n["unit"] for k, _, n in kinds("용량 16Gb 와 16GB") if k == "quantity"]
     assert units == ["gigabit", "gigabyte"]
     assert status("HBM4 양산") == [] and status("v1.5") == []
-    assert claim_signals.signals_of("") == []
+    assert kinds("") == []
     quote = [s for k, s, _ in kinds('그는 "' + "가" * 1999 + '" 라고') if k == "quote"]
     assert len(quote) == 1 and not [1 for k, *_ in kinds('"' + "가" * 2001 + '"') if k == "quote"]
 
 
 @pytest.mark.parametrize(("x", "kind", "anchored"), [("2024.02.30", "invalid_explicit_date", False), ("2024-2-3", "explicit_date", True), ("2024Q1", "explicit_year_quarter", True), ("다음 달", "next_month", False), ("3 월", "month_or_day_without_year", False), ("그때", "relative_period", False)])
-def test_periods(x, kind, anchored):
-    p = claim_signals.period_of(x)
+def test_periods(x, kind, anchored, spark):
+    p = spark.createDataFrame([(x,)], "x string").select(claim_signals.period_kind("x").alias("p")).first().p
     assert (p["kind"], p["anchored"]) == (kind, anchored)
 
 
+def test_signals_far_apart_and_numbers_of_any_form(kinds):
+    """No cap on the spaces within an amount; signs, commas and zeros; full-width digits; emoji count as one."""
+    part = lambda x: [n["compound_amount_component"] for k, _, n in kinds(x) if k == "quantity"]
+    assert part("3조" + " " * 200 + "2000억 원") == [True, True] and part("3조 원, 2000억 원") == [False, False]
+    value = lambda x: [(n["value"], n["base_value"]) for k, _, n in kinds(x) if k == "quantity"]
+    assert value("😀 +1,234.50억 원") == [("1234.5", "123450000000")] and value("-0.00012만 원") == [("-0.00012", "-1.2")]
+    assert value("007 개") == [("7", "7")] and value("0.0%") == [("0", "0")] and value("-0 %") == [("0", "0")] and value("１２ 개") == [("12", "12")]
+    assert value("5천 명") == [("5", "5000")] and value("12조") == [("12", None)]
+    assert kinds("HBM3E와 hbm 4")[0][1:] == ("HBM3E", {"label": "HBM3E"}) and kinds("HBM3E와 hbm 4")[1][1:] == ("hbm 4", {"label": "HBM4"})
+    assert [(k, s) for k, s, _ in kinds("지난해 5월 3일 개발하지 않았다")] == [("period", "지난해"), ("period", "5월 3일"), ("action", "개발"), ("negation_or_uncertainty", "않")]
+
+
 def test_diagnostic_of_two_sentences(spark):
     a = "메모리 사업 매출은 2024년 3분기 100억 원을 판매했다"
     rows = [(a, a), (a, "최근 GPU 공급이 중단됐다"), ("", ""), (None, a)]
