@@ -117,7 +117,7 @@ def _lloyd(rounds: int = vector_codes.ROUNDS) -> str:
     return ",\n".join(out)
 
 
-N_CLASSES, N_COMMONS = len(quality.CLASSES) + 1, len(quality.VOCABULARY) + 1
+N_CLASSES = len(quality.CLASSES) + 1
 
 SQL: dict[str, str] = {
     "op1_distribution_divergence": f"""
@@ -131,20 +131,30 @@ h as (
     length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) as word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols,
     list_transform(w, lambda x: lower(x)) as lw from d
-), b as (
-  select *, list_transform([{", ".join(f"'{v}'" for v in quality.VOCABULARY)}], lambda v: cast(len(list_filter(lw, lambda x: x = v)) as double)) as c0,
-    [{", ".join(f"cast(l{k} - l{k + 1} as double)" for k in range(N_CLASSES - 1))}, cast(l{N_CLASSES - 1} as double)] as classes from h
-), f as (select *, list_append(c0, n_words - coalesce(list_sum(c0), 0)) as commons from b),
-r as (select lang, sum(n_words) as n, [{", ".join(f"sum(classes[{k + 1}])" for k in range(N_CLASSES))}] as rc, [{", ".join(f"sum(commons[{k + 1}])" for k in range(N_COMMONS))}] as rw from f group by lang),
-every as (select [{", ".join(f"sum(rc[{k + 1}])" for k in range(N_CLASSES))}] as ec, [{", ".join(f"sum(rw[{k + 1}])" for k in range(N_COMMONS))}] as ew from r),
-j as (select f.*, coalesce(r.rc, ec) as qc, coalesce(r.rw, ew) as qw from f cross join every left join r on f.lang = r.lang and r.n >= {quality.MIN_REFERENCE_WORDS}),
-m as (select *, case when length(t) > 0 then {_distance("classes", "qc")} end as dc, case when n_words > 0 then {_distance("commons", "qw")} end as dw from j),
-z as (select m.*, coalesce(covered.n, 0) as n_repeat from m left join covered using (doc_id))
+), base as (
+  select h.*, coalesce(covered.n, 0) as n_repeat, (n_words < 50 or 100 * coalesce(covered.n, 0) > 50 * n_words) as failed,
+    [{", ".join(f"cast(l{k} - l{k + 1} as double)" for k in range(N_CLASSES - 1))}, cast(l{N_CLASSES - 1} as double)] as classes from h left join covered using (doc_id)
+), drawn as (
+  select distinct doc_id, lang from (select doc_id, lang, row_number() over (partition by lang order by md5(concat_ws(':', '11', cast(doc_id as varchar))), doc_id) as r from documents where length(text) >= {quality.MIN_CHARS} and lang is not null) where r <= {quality.SAMPLE_DOCS}
+), w1 as (select lang, lower(x) as w, count(*) as n from (select base.lang, unnest(base.w) as x from base semi join drawn on base.doc_id = drawn.doc_id and base.lang = drawn.lang where length(base.t) >= {quality.MIN_CHARS}) group by all),
+w2 as (select lang, w, n from w1 union all select null, w, sum(n) from w1 group by w),
+w3 as (select *, sum(n) over (partition by lang) as total, row_number() over (partition by lang order by n desc, w) as k from w2),
+v as (
+  select lang, list(w order by k) as vocabulary, list_append(list(cast(n as double) / total order by k), cast(any_value(total) - sum(n) as double) / any_value(total)) as share
+  from w3 where k <= {quality.COMMON} and (lang is null or total >= {quality.MIN_REFERENCE_WORDS}) group by lang
+), p as (select vocabulary as pooled, share as pooled_share from v where lang is null),
+c as (
+  select base.*, v.lang is not null as own, list_transform(coalesce(v.vocabulary, pooled), lambda y: cast(len(list_filter(lw, lambda x: x = y)) as double)) as bins, pooled_share
+  from base cross join p left join v on v.lang = base.lang
+), f as (select *, list_append(bins, n_words - coalesce(list_sum(bins), 0)) as commons from c),
+rc as (select lang, list(x order by i) as rc from (select lang, i, sum(classes[i]) as x from f, unnest(range(1, {N_CLASSES + 1})) as u(i) where not failed group by all) group by lang),
+rw as (select lang, list(x order by i) as rw from (select lang, i, sum(commons[i]) as x from f, unnest(range(1, len(f.commons) + 1)) as u(i) where not failed and own group by all) group by lang),
+ec as (select list(x order by i) as ec from (select i, sum(rc[i]) as x from rc, unnest(range(1, {N_CLASSES + 1})) as u(i) group by i)),
+j as (select f.*, case when own and rc.rc is not null then rc.rc else ec end as qc, case when own then rw.rw else pooled_share end as qw from f cross join ec left join rc on f.lang = rc.lang left join rw on f.lang = rw.lang),
+z as (select *, case when length(t) > 0 then {_distance("classes", "qc")} end as dc, case when n_words > 0 then {_distance("commons", "qw")} end as dw from j)
 select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
-  cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(n_repeat as bigint) as n_repeat_words,
-  (n_words < 50 or 100 * n_repeat > 50 * n_words) as base_failed,
-  not (n_words < 50 or 100 * n_repeat > 50 * n_words)
-    and not ((length(t) >= {quality.MIN_CHARS} and dc > {quality.MAX_CLASS_DISTANCE}) or (n_words >= {quality.MIN_WORDS} and dw > {quality.MAX_WORD_DISTANCE})) as kept
+  cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(n_repeat as bigint) as n_repeat_words, failed as base_failed,
+  not failed and not coalesce((length(t) >= {quality.MIN_CHARS} and dc > {quality.MAX_CLASS_DISTANCE}) or (n_words >= {quality.MIN_WORDS} and dw > {quality.MAX_WORD_DISTANCE}), false) as kept
 from z""",
     "op2_kdtree_topk": """
 with v as (

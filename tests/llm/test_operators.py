@@ -82,10 +82,7 @@ def test_quality_counts_and_distances(docs):
     assert sorted((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got if r.doc_id is not None) == sorted((i, *brute_base(t)) for i, t, *_ in table() if i is not None)
     assert len(got) == len(table())
 
-    def hist(text):
-        words = [w.lower() for w in WORD.findall(text or "")]
-        c = Counter(words)
-        bins = [c[v] for v in quality.VOCABULARY]
+    def classes_of(text):
         rest, classes = text or "", []
         import regex
 
@@ -93,19 +90,25 @@ def test_quality_counts_and_distances(docs):
             left = regex.sub(p, "", rest)
             classes.append(len(rest) - len(left))
             rest = left
-        return classes + [len(rest)], bins + [len(words) - sum(bins)]
+        return classes + [len(rest)]
 
-    refs = defaultdict(lambda: [0, None, None])
+    words_of = lambda text: Counter(w.lower() for w in WORD.findall(text or ""))
+    sample = defaultdict(Counter)  # all of a label are drawn here: there are fewer than SAMPLE_DOCS
     for _, t, lang, _ in table():
-        a, b = hist(t)
-        for k in {lang, "*"} if lang else {"*"}:
-            r = refs[k]
-            refs[k] = [r[0] + sum(b), np.add(a, r[1] if r[1] is not None else 0), np.add(b, r[2] if r[2] is not None else 0)]
+        if lang and len(t or "") >= quality.MIN_CHARS:
+            sample[lang] += words_of(t)
+            sample[None] += words_of(t)
+    lists = {k: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: quality.COMMON]] for k, c in sample.items() if k is None or sum(c.values()) >= quality.MIN_REFERENCE_WORDS}
+    bins = lambda c, key: [c[w] for w in lists[key]] + [sum(c.values()) - sum(c[w] for w in lists[key])]
+    own = lambda lang: lang if lang in lists else None
+    passed = [(t, lang) for _, t, lang, _ in table() if not brute_base(t)[5]]
+    total = lambda some, f: np.sum([f(x) for x in some], axis=0)
     want = {}
     for i, t, lang, _ in table():
-        a, b = hist(t)
-        r = refs[lang] if lang and refs[lang][0] >= quality.MIN_REFERENCE_WORDS else refs["*"]
-        want[i, *brute_base(t)] = (brute_distance(a, r[1]), brute_distance(b, r[2]))
+        key = own(lang)
+        qc = total([x for x, k in passed if key is None or k == lang], classes_of)
+        qw = bins(sample[None], None) if key is None else total([x for x, k in passed if k == lang], lambda x: bins(words_of(x), key))
+        want[i, *brute_base(t)] = (brute_distance(classes_of(t), qc), brute_distance(bins(words_of(t), key), qw))
     for r in got:
         for x, y in zip((r.class_distance, r.word_distance), want[r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed]):
             if r.doc_id != 6:  # ids that repeat with another text are told apart by their counts only
@@ -118,6 +121,26 @@ def test_quality_empty(empty):
     assert quality.divergence_rules(empty).collect() == []
 
 
+def test_words_of_any_language(spark, monkeypatch):
+    """Words are learned per label from a bounded sample: the rule fires in a language that nothing is known of, whatever
+    share of its documents is bad, and what fails the base rules is no reference."""
+    r = random.Random(6)
+    common, rare = [f"ka{i}" for i in range(20)], [f"zu{i}x" for i in range(4000)]
+    good = [" ".join(r.choice(common if r.random() < 0.6 else rare) for _ in range(200)) for _ in range(60)]
+    bad = [" ".join(r.choice(rare) for _ in range(200)) for _ in range(12)]
+    loops = ["loop again loop " * 100] * 200
+    rows = [(i, t, "xx") for i, t in enumerate(good + bad)] + [(1000 + i, t, "xx") for i, t in enumerate(loops)] + [(5000 + i, text_of(i, 200), "en") for i in range(20)] + [(6000, good[0], "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = {x.doc_id: x for x in quality.divergence_rules(docs).collect()}
+    assert all(got[i].kept for i in range(60)) and not any(got[60 + i].kept or got[60 + i].base_failed for i in range(12))
+    assert got[1000].base_failed and got[6000].kept in (True, False)
+    words = {x.lang: x.vocabulary for x in quality.common_words(docs).collect()}
+    assert set(words) == {None, "xx", "en"} and set(common) < set(words["xx"]) and len(words["xx"]) == quality.COMMON
+    monkeypatch.setattr(quality, "SAMPLE_DOCS", 40)
+    few = {x.doc_id: x.kept for x in quality.divergence_rules(docs.where("doc_id < 1000 or doc_id >= 5000")).collect()}
+    assert [few[i] for i in range(72)] == [True] * 60 + [False] * 12
+
+
 # 2 top-k
 
 
