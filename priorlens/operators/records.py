@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +30,14 @@ def flattened(records: DataFrame) -> DataFrame:
     )
 
 
+def _paths(c: Column, kind: T.StructType, before: str = "") -> Iterator[tuple[str, Column, T.DataType]]:
+    """Every dotted path below a struct, with its column and type."""
+    for f in kind.fields:
+        yield before + f.name, c[f.name], f.dataType
+        if isinstance(f.dataType, T.StructType):
+            yield from _paths(c[f.name], f.dataType, f"{before}{f.name}.")
+
+
 def semantic_errors(records: DataFrame, blocks: DataFrame) -> DataFrame:
     """Adds ``errors``: the sorted texts of the rules that a record breaks. records: record_id, example_kind, record_kind, raw,
     normalized, provenance, derived; blocks: block_id, raw_text. Only the blocks that a record's evidence names are brought
@@ -43,11 +53,9 @@ def semantic_errors(records: DataFrame, blocks: DataFrame) -> DataFrame:
     unresolved = p["rights_check_status"].eqNullSafe(F.lit("unresolved"))
     is_ = lambda c, *v: F.coalesce(c.isin(*v), F.lit(False))
     rules: list[tuple] = []
-    texts_of = [f.name for f in NORMALIZED.fields if isinstance(f.dataType, T.StringType)]
-    for k in texts_of:
-        rules.append((said(k) & n[k].isNotNull() & ~n[k].isin("unknown", "not_applicable"), f"{k}: missing reason attached to a present value"))
-    for k in ("claim_text", "action_raw"):
-        rules.append((said(f"raw.{k}") & raw[k].isNotNull() & ~raw[k].isin("unknown", "not_applicable"), f"raw.{k}: missing reason attached to a present value"))
+    for path, c, kind in [*_paths(n, records.schema["normalized"].dataType), *_paths(raw, records.schema["raw"].dataType, "raw.")]:
+        present = c.isNotNull() & ~c.isin("unknown", "not_applicable") if isinstance(kind, T.StringType) else c.isNotNull()
+        rules.append((said(path) & present, f"{path}: missing reason attached to a present value"))
     for k in ("company_id", "scope_id"):
         rules.append((n[k].isNull() & ~said(k), f"{k}: null without explicit missing reason"))
     rules += [

@@ -98,6 +98,11 @@ def record(spark, **changes):
 
 def test_record_rules_one_by_one(spark):
     assert record(spark) == []
+    said = lambda *paths: {"field_missing_reasons": {p: "not_disclosed" for p in paths}}
+    late = {"published_at": "2024-04-30T10:00:00"}
+    assert record(spark, normalized=said("temporal.published_at", "temporal.reference_period.period_end", "raw.claim_text", "product_id", "no.such.path")) == []
+    assert record(spark, temporal=late, normalized=said("temporal.published_at")) == ["temporal.published_at: missing reason attached to a present value"]
+    assert record(spark, raw=("text", None), normalized=said("raw.claim_text", "temporal", "entity_refs")) == [f"{p}: missing reason attached to a present value" for p in ("entity_refs", "raw.claim_text", "temporal")]
     assert record(spark, rights="unresolved") == ["evidence.selected_text: excerpt must not be copied with unresolved rights"]
     assert record(spark, evidence={"block_id": "gone"}) == ["verified source span cannot be checked without original block"]
     assert record(spark, evidence={"end": None}) == ["span endpoints must both be null or both be integers"]
