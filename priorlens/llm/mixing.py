@@ -138,6 +138,7 @@ def training_ranks(mixed: DataFrame, partitions: int, buckets: int | None = None
     """``mixed`` with first_position and first_rank, the place of its first copy among all copies in training order (from 1;
     null if it isn't taken), range-sorted by that order, untaken rows last. Copies of equal position go by id, size, source."""
     columns = mixed.columns
+    mixed = stored(mixed, "mixed")  # counted, ranked and sorted below: its own rankings run once
     copies = mixed.select(*columns, F.posexplode_outer("positions").alias("_copy", "_position"))
     if buckets is None:
         buckets = bucket_count(mixed.agg(F.sum("copies")).first()[0] or 0)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import global_rank, pick
+from .common import global_rank, pick, stored
 from .mixing import bucket_count, digest_order, digest_share
 
 
@@ -31,7 +31,8 @@ def interleave(docs: DataFrame, n_shards: int = 8, seed: int = 17, *, id_col="do
         F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
         "source",
     )
-    rows = rows.withColumn("_h", digest_order(seed, F.col("doc_id"), F.col("text_crc32")))
+    # texts are read once: ids, sizes, checksums and digests are all that the rankings below need
+    rows = stored(rows.withColumn("_h", digest_order(seed, F.col("doc_id"), F.col("text_crc32"))), "shard-rows")
     n = max(1, rows.count())
     buckets = buckets or bucket_count(n)
     order = ["_h", "doc_id", "text_crc32", "size"]
@@ -39,6 +40,7 @@ def interleave(docs: DataFrame, n_shards: int = 8, seed: int = 17, *, id_col="do
     sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
     ranked = ranked.alias("a").join(sizes.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", F.col("b._n"))
     ranked = ranked.withColumn("fraction", (F.col("before") + digest_share(digest_order(seed, F.col("source")))) / F.col("_n")).drop("before", "_n")
+    ranked = stored(ranked, "shard-fractions")
     order = ["fraction", F.col("source").asc_nulls_last(), *order]
     placed = global_rank(ranked, None, order, F.floor(F.col("fraction") * buckets), buckets).withColumnRenamed("before", "position")
     placed = placed.withColumn("shard", F.least(F.expr(f"(position * {n_shards}L) div {n}L"), F.lit(n_shards - 1)).cast("int"))
