@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import asof, text
 from ..functions.ids import stable_id
 from ..functions.reasons import codes, merged
+from ..sources.store import stored
 from .compare import POLICY, basis_of, changes, compatible, is_relation
 
 METHODS = ("exact_key", "local_label_tfidf")
@@ -114,3 +115,43 @@ def all_changes(claims: DataFrame, modes=asof.MODES, review_cutoff: str | None =
 def mode_summary(changed: DataFrame) -> DataFrame:
     """Attempted, computed and withheld changes by mode."""
     return changed.groupBy("cutoff_mode").agg(F.count(F.lit(1)).alias("attempted"), F.count_if(F.col("status") == "computed").alias("computed"), F.count_if(F.col("status") != "computed").alias("withheld"), F.count_if("historical_eligible").alias("historical_eligible"))
+
+
+#: The share of an item's possible score that its most common tokens may make up to be left out of the first join, and how
+#: many documents for each wanted one are scored in full to find the score to beat.
+COMMON_SHARE, TRIALS = 0.3, 5
+
+
+def top_by_tokens(asked: DataFrame, words: DataFrame, n_docs: int, k: int, *, item="item_id", doc="doc_id", token="t", common_share: float = COMMON_SHARE, trials: int = TRIALS) -> DataFrame:
+    """item, doc, score, rank (from 1): the k documents with the highest sum of ln((N + 1) / (df + 1)) + 1 over the distinct
+    tokens they share with an item, rounded to 4 places, ties to the smaller document. asked: item, token; words: doc, token;
+    both without repeats.
+
+    Exact, without bringing every document of a common token to every item that has it: an item's most common tokens, as far
+    as they make up ``common_share`` of what it can score, are left out at first. The best ``trials`` x k documents by the
+    other tokens are scored in full, and the k-th of these scores is to be beaten. Documents whose score so far and all left
+    out tokens together don't reach it are dropped; those without any of the other tokens are out if the left out tokens alone
+    don't reach it. Items for which they do are scored over all their tokens."""
+    a, w = asked.select(F.col(item).alias("_i"), F.col(token).alias("_t")), stored(words.select(F.col(doc).alias("_d"), F.col(token).alias("_t")), "retrieve-words")
+    df = w.join(a.select("_t").distinct(), "_t", "left_semi").groupBy("_t").agg(F.count(F.lit(1)).alias("_df"))
+    per_item = Window.partitionBy("_i")
+    x = a.join(df, "_t").withColumn("_idf", F.log((F.lit(n_docs) + 1) / (F.col("_df") + 1)) + 1)
+    upto = F.sum("_idf").over(per_item.orderBy(F.desc("_df"), "_t").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    x = stored(x.withColumn("_rare", upto > common_share * F.sum("_idf").over(per_item)).drop("_df"), "retrieve-tokens")
+    left_out = x.where("not _rare").groupBy("_i").agg(F.sum("_idf").alias("_rest"))
+    partial = stored(x.where("_rare").join(w, "_t").groupBy("_i", "_d").agg(F.sum("_idf").alias("_s")), "retrieve-partial")
+
+    def full(pairs: DataFrame) -> DataFrame:
+        own = w.join(pairs.select("_d").distinct(), "_d", "left_semi")
+        return pairs.select("_i", "_d").join(x.select("_i", "_t", "_idf"), "_i").join(own, ["_d", "_t"]).groupBy("_i", "_d").agg(F.sum("_idf").alias("_s"))
+
+    nth = lambda n: F.row_number().over(per_item.orderBy(F.desc("_s"), "_d")) <= n
+    tried = full(stored(partial.withColumn("_best", nth(trials * k)).where("_best").drop("_best"), "retrieve-trials"))
+    beat = tried.withColumn("_r", F.row_number().over(per_item.orderBy(F.desc("_s"), "_d"))).where(F.col("_r") == k).select("_i", F.col("_s").alias("_beat"))
+    # rounding can lift a score by half of the last place, so a whole one is given away
+    bounds = stored(x.select("_i").distinct().join(left_out, "_i", "left").join(beat, "_i", "left").select("_i", F.coalesce("_rest", F.lit(0.0)).alias("_rest"), (F.col("_beat") - 1e-4).alias("_beat")), "retrieve-bounds")
+    sure = F.coalesce(F.col("_rest") < F.col("_beat"), F.lit(False))
+    some = full(partial.join(bounds.where(sure), "_i").where(F.col("_s") + F.col("_rest") >= F.col("_beat")))
+    every = x.join(bounds.where(~sure).select("_i"), "_i", "left_semi").join(w, "_t").groupBy("_i", "_d").agg(F.sum("_idf").alias("_s"))
+    score = some.unionByName(every).select(F.col("_i").alias(item), F.col("_d").alias(doc), F.round("_s", 4).alias("score"))
+    return score.withColumn("rank", F.row_number().over(Window.partitionBy(item).orderBy(F.desc("score"), doc))).where(F.col("rank") <= k)

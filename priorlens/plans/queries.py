@@ -175,16 +175,11 @@ def mode_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tfidf_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each benchmark item the five documents with the highest sum of ln((N + 1) / (df + 1)) + 1 over shared tokens."""
-    from pyspark.sql import Window
-
     d, b = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark")
     n = d.count()
     words = d.select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("t"))
     asked = b.select("item_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("t"))
-    df = words.join(asked.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    score = asked.join(df, "t").join(words, "t").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1), 4).alias("score"))
-    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    return score.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("item_id", "rank", "doc_id", "score")
+    return retrieve.top_by_tokens(asked, words, n, 5).select("item_id", "rank", "doc_id", "score")
 
 
 def _trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
