@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import blocks
-from ..operators import recheck, routing, splits
+from ..operators import recheck, rights, routing, splits
 from ..operators.rulebook import Elements, Lookup, Rule, Rulebook
 from .queries import _t
 from .record_queries import query
@@ -134,3 +134,21 @@ def extraction_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = pages.select("page_id", F.regexp_replace(F.trim(plain), r"\s+", " ").alias("right"))
     found = blocks.with_blocks(body.join(other, "page_id"))
     return found.select("page_id", F.size("blocks").cast("long").alias("blocks"), F.col("matched").cast("long").alias("matched"), F.round("left_fraction", 6).alias("left_fraction"), F.round("right_fraction", 6).alias("right_fraction"), F.col("longest_unmatched").cast("long").alias("longest_unmatched"))
+
+
+@query("""
+with u as (select page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:@]*)', 1)) as host, coalesce(nullif(regexp_extract(url, '^[A-Za-z]+://[^/?#]*(/[^?#]*)', 1), ''), '/') as path, url from pages where regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#@]*([/?#]|$)')),
+s as (select host, '/' || split_part(path, '/', 2) as prefix, count(*) as n from u group by all),
+g as (select distinct host, prefix from s where n > 1 union select host, '/' from s group by host having sum(n) > 2 union select distinct host, path from u where length(path) > 8)
+select u.page_id, count(*) as rights, cast(max(length(prefix)) as integer) as longest from u join g on g.host = u.host and starts_with(u.path, g.prefix) group by u.page_id""")
+def page_rights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages under a registry of overlapping path prefixes taken from their own addresses: how many rows cover each, and the
+    length of the longest prefix."""
+    pages = _t(spark, sf_dir, "pages")
+    p = rights.url_parts(F.col("url"))
+    u = pages.select("page_id", F.lit("web").alias("source_id"), p["host"].alias("host"), p["path"].alias("path")).where("host is not null")
+    first = u.groupBy("host", F.concat(F.lit("/"), F.get(F.split("path", "/"), F.lit(1))).alias("url_path_prefix")).agg(F.count(F.lit(1)).alias("n"))
+    rows = first.where("n > 1").select("host", "url_path_prefix").unionByName(first.groupBy("host").agg(F.sum("n").alias("n")).where("n > 2").select("host", F.lit("/").alias("url_path_prefix")))
+    rows = rows.unionByName(u.where(F.length("path") > 8).select("host", F.col("path").alias("url_path_prefix"))).distinct()
+    found = rights.covering(u, rows.select(F.lit("web").alias("source_id"), F.col("host").alias("domain"), "url_path_prefix"), request="page_id")
+    return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("rights"), F.max("prefix_length").alias("longest"))
