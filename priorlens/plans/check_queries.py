@@ -152,3 +152,18 @@ def page_rights(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.unionByName(u.where(F.length("path") > 8).select("host", F.col("path").alias("url_path_prefix"))).distinct()
     found = rights.covering(u, rows.select(F.lit("web").alias("source_id"), F.col("host").alias("domain"), "url_path_prefix"), request="page_id")
     return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("rights"), F.max("prefix_length").alias("longest"))
+
+
+@query("""
+with p as (select page_id, cast(len(regexp_extract_all(html, '<p[ >]')) as integer) as k, len(regexp_extract_all(html, '<li[ >]')) as n from pages)
+select page_id, '//ul/li[' || k || ']' as body_xpath, case when k between 1 and n then 'selected' else 'body_xpath_must_select_one_element' end as status from p""")
+def chosen_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list item that each page's number of paragraphs points at, and what became of the choice."""
+    from ..sources import xpath
+
+    pages = _t(spark, sf_dir, "pages")
+    rows = pages.select("page_id", "html", F.concat(F.lit("//ul/li["), F.regexp_count("html", F.lit("<p[ >]")), F.lit("]")).alias("body_xpath"))
+    found = xpath.chosen_bodies(rows).select("page_id", "status")
+    # navigation is left out of bodies, so an item of it is found and has no text
+    status = F.when(F.col("status") == "no_text_extracted", "selected").otherwise(F.col("status"))
+    return rows.select("page_id", "body_xpath").join(found, "page_id").select("page_id", "body_xpath", status.alias("status"))

@@ -17,6 +17,8 @@ BLOCK = {"p", "div", "section", "article", "main", "li", "ul", "ol", "h1", "h2",
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 OMIT = re.compile(r"(^|[\s_-])(ad|ads|advert|banner|related|share|social|promo|copyright|hidden|nav|menu|footer)([\s_-]|$)", re.I)
 ROLES = {"header": "header", "footer": "footer", "nav": "navigation", "aside": "aside", "figcaption": "caption", "blockquote": "quote"}
+#: Spans and places in a table are 32-bit numbers.
+MOST = 2**31 - 1
 # An element that a new one ends.
 ENDS = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 
@@ -91,7 +93,7 @@ class Walker(HTMLParser):
         elif tag == "br" and self.at is not None:
             self.text.append("\n")
         elif tag == "table":
-            table = {"id": f"T{len(self.tables) + 1}", "row": -1, "col": 0, "taken": set(), "cells": [], "node": node, "context": next((b["normalized_text"] for b in reversed(self.blocks) if b["block_type"] != "cell"), None)}
+            table = {"id": f"T{len(self.tables) + 1}", "row": -1, "col": 0, "taken": [], "cells": [], "node": node, "context": next((b["normalized_text"] for b in reversed(self.blocks) if b["block_type"] != "cell"), None)}
             self.tables.append(table)
             self.open_tables.append(table)
         elif tag == "tr" and self.open_tables:
@@ -100,12 +102,15 @@ class Walker(HTMLParser):
         elif tag in ("td", "th") and self.open_tables:
             t = self.open_tables[-1]
             t["row"] = max(t["row"], 0)
-            while (t["row"], t["col"]) in t["taken"]:
-                t["col"] += 1
-            span = [min(1000, int(m[0])) if (m := re.match(r"\s*\d+", a.get(k, ""))) and int(m[0]) else 1 for k in ("rowspan", "colspan")]
+            # cells that reach down from rows above, as (first row below, first column, first column beyond)
+            t["taken"] = [x for x in t["taken"] if x[0] > t["row"]]
+            while hit := next((x for x in t["taken"] if x[1] <= t["col"] < x[2]), None):
+                t["col"] = hit[2]
+            span = [min(MOST, int(m[0])) if (m := re.match(r"\s*\d+", a.get(k, ""))) and int(m[0]) else 1 for k in ("rowspan", "colspan")]
             cell = {"row": t["row"], "col": t["col"], "rowspan": span[0], "colspan": span[1], "head": tag == "th", "parts": [], "node": node}
-            t["taken"] |= {(t["row"] + i, t["col"] + j) for i in range(span[0]) for j in range(span[1])}
-            t["col"] += span[1]
+            if span[0] > 1:
+                t["taken"].append((t["row"] + span[0], t["col"], t["col"] + span[1]))
+            t["col"] = min(MOST, t["col"] + span[1])
             t["cells"].append(cell)
         if tag not in VOID:
             self.stack.append(node)
