@@ -167,3 +167,46 @@ def chosen_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     # navigation is left out of bodies, so an item of it is found and has no text
     status = F.when(F.col("status") == "no_text_extracted", "selected").otherwise(F.col("status"))
     return rows.select("page_id", "body_xpath").join(found, "page_id").select("page_id", "body_xpath", status.alias("status"))
+
+_SCORED = ["metric_id", "currency", "fiscal_year", "period_kind", "numeric_value", "source_scale", "modality", "source_qualifier"]
+
+
+@query("""
+with r as (
+  select l_orderkey, l_linenumber, p_type as metric, cast(l_extendedprice as decimal(18,2)) as v, cast(year(l_shipdate) as varchar) as y, cast(year(l_shipdate + interval 31 day) as varchar) as py, l_discount >= 0.095 as missing, l_returnflag as f,
+    cast(floor(cast(l_extendedprice as decimal(18,2)) * 10) as decimal(18,0)) / 10 as pv from lineitem join part on p_partkey = l_partkey),
+e as (select 'metric_id' as field, not missing as ok, missing from r union all select 'currency', not missing, missing from r union all select 'fiscal_year', not missing and y = py, missing from r union all select 'period_kind', not missing, missing from r
+  union all select 'numeric_value', not missing and v * 10 = floor(v * 10), missing from r union all select 'source_scale', not missing, missing from r union all select 'modality', not missing and f <> 'R', missing from r union all select 'source_qualifier', not missing, missing from r)
+select field, count(*) filter (ok) as numerator, count(*) as denominator, count(*) filter (missing) as missing_prediction from e group by field""")
+def projected_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as contract records, projected to reference fields, against predictions that read amounts to one place, late
+    shipments into the next year and returns as plans, and leave out lines of the highest discount."""
+    from ..operators import agreement, projections
+
+    line = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    none, amount, year = F.lit(None).cast("string"), F.col("l_extendedprice").cast("decimal(18,2)"), lambda d: F.year(d).cast("string")
+    period = lambda y: F.struct(none.alias("period_start"), none.alias("period_end"), none.alias("as_of_date"), F.lit("annual").alias("period_kind"), F.lit(None).cast("int").alias("duration_days"), y.alias("fiscal_year"), F.lit(None).cast("int").alias("fiscal_quarter"))
+    item = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.date_format("l_shipdate", "yyyyMMdd"))
+    temporal = lambda y: F.struct(F.date_format("l_shipdate", "yyyy-MM-dd").alias("published_date"), none.alias("published_at"), F.lit("date").alias("time_precision"), period(y).alias("reference_period"), F.struct(none.alias("period_start"), none.alias("period_end")).alias("effective_period"))
+    names = ["subject_entity_id", "object_entity_id", "subject_role", "object_role", "relation_type", "direction", "negation"]
+    place = F.array(F.struct(F.lit("cell").alias("kind"), item.alias("location"), F.lit(0).alias("start"), F.length(amount.cast("string")).alias("end"), F.concat(F.lit("V"), item).alias("evidence_id")))
+    normalized = F.struct(
+        F.lit("C").alias("company_id"), F.lit("ALL").alias("scope_id"), F.lit("actual").alias("modality"), F.col("p_type").alias("metric_id"), F.lit("1").alias("definition_version"), F.lit("1000").alias("source_scale"), (amount * 1000).cast("decimal(22,2)").cast("string").alias("numeric_value"), F.lit("USD").alias("currency"),
+        F.lit("USD").alias("canonical_unit"), F.lit("preserve").alias("sign_policy"), F.lit("GAAP").alias("accounting_basis"), F.struct(F.lit("flow").alias("balance_or_flow")).alias("financial_context"), temporal(year("l_shipdate")).alias("temporal"), *[none.alias(k) for k in names],
+    )
+    records = line.select(
+        item.alias("claim_id"), none.alias("relation_id"), F.lit("event_claim").alias("record_kind"), F.col("l_orderkey").cast("string").alias("event_id"), none.alias("event_family_id"), F.struct(amount.cast("string").alias("value_raw"), F.lit("reported").alias("source_evidence_status"), none.alias("source_period_start_derivation")).alias("raw"),
+        normalized.alias("normalized"), F.struct(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit("r1").alias("revision_id"), place.alias("evidence")).alias("provenance"),
+    )
+    annotated = projections.annotations(records, line.select(F.concat(F.lit("V"), item).alias("evidence_id"), F.lit("numeric_value").alias("evidence_kind")), "ALL")
+    reference = projections.reference_fields(annotated, ["source_claim_id"]).where("error is null").withColumnRenamed("source_claim_id", "item_id")
+    late = F.date_add(F.to_date("l_shipdate"), 31)
+    guess = F.struct(
+        F.lit("C").alias("company_id"), F.lit("ALL").alias("scope_id"), F.when(F.col("l_returnflag") == "R", "planned").otherwise("actual").alias("modality"), F.col("p_type").alias("metric_id"), F.lit("USD").alias("currency"), F.lit("1000").alias("source_scale"),
+        (F.floor(amount * 10) * 100).cast("decimal(22,0)").cast("string").alias("numeric_value"), temporal(year(late)).alias("temporal"),
+    )
+    predicted = line.where("l_discount < 0.095").select(F.concat(F.lit("p"), item).alias("prediction_id"), item.alias("of"), F.lit("event_claim").alias("record_kind"), F.struct(F.lit("reported").alias("source_qualifier")).alias("raw"), guess.alias("normalized"))
+    guessed = projections.prediction_fields(predicted, ["prediction_id", "of"])
+    refs, preds = reference.withColumn("location_key", F.col("item_id")), guessed.withColumn("location_key", F.col("of"))
+    matches, _ = agreement.matched(refs, preds, _SCORED)
+    return agreement.field_rates(matches, _SCORED).select("field", "numerator", "denominator", "missing_prediction")
