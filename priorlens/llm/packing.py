@@ -104,8 +104,9 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-def cut(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id, piece (from 0), start, length, ids (little-endian unsigned 32-bit integers, the end id included)."""
+def cut(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, *, narrow: bool = False, id_col="doc_id", text_col="text") -> DataFrame:
+    """doc_id, piece (from 0), start, length, ids (little-endian unsigned 32-bit integers, the end id included; ``narrow``: 16-bit
+    ones if all ids of a slice fit, which the number of bytes tells)."""
     small_batches(docs.sparkSession)
     rows = pick(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType
@@ -122,8 +123,13 @@ def cut(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, *, id
                         row.append(i)
                         piece.append(k)
                         ids.append(x[at : at + most])
-                piece = pa.array(piece, pa.int32())
                 length = pa.array([len(x) // 4 for x in ids], pa.int64())
+                if narrow:
+                    every = np.frombuffer(b"".join(ids), "<u4")
+                    if every.max(initial=0) < 1 << 16:
+                        raw, ends = every.astype("<u2").tobytes(), np.cumsum([len(x) // 2 for x in ids]).tolist()
+                        ids = [raw[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+                piece = pa.array(piece, pa.int32())
                 start = pa.array([p * capacity for p in piece.to_pylist()], pa.int64())
                 yield pa.RecordBatch.from_arrays([some.column("doc_id").take(pa.array(row, pa.int32())), piece, start, length, pa.array(ids, pa.binary())], schema=schema)
 
@@ -200,11 +206,25 @@ def place(items: DataFrame, capacity: int = CAPACITY, *, per_task: int = PER_TAS
     return out.select("number", "sequence_id", "offset")
 
 
+def widened(pieces: DataFrame) -> DataFrame:
+    """ids of 16 bits as ids of 32 bits again; the other columns as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, "ids", BATCH_ROWS):
+                ids, length = some.column("ids").to_pylist(), some.column("length").to_pylist()
+                ids = [x if len(x) == 4 * n else np.frombuffer(x, "<u2").astype("<u4").tobytes() for x, n in zip(ids, length, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()) if c == "ids" else some.column(c) for c in some.schema.names], names=some.schema.names)
+
+    return pieces.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema))
+
+
 def pack(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, *, per_task: int = PER_TASK, turns: int = TURNS, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, piece, start, length, ids, sequence_id, offset: each piece of each document and its place."""
-    pieces = stored(cut(docs, path, end_id, capacity, id_col=id_col, text_col=text_col).withColumn("number", F.monotonically_increasing_id()), "pieces")
+    # written and shuffled with 16 bits an id where they fit
+    pieces = stored(cut(docs, path, end_id, capacity, narrow=True, id_col=id_col, text_col=text_col).withColumn("number", F.monotonically_increasing_id()), "pieces")
     placed = place(pieces.select("number", "length"), capacity, per_task=per_task, turns=turns)
-    return pieces.join(placed, "number").drop("number")
+    return widened(pieces.join(placed, "number").drop("number"))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -120,6 +120,9 @@ def test_pack(docs, empty, spark):
     for s, parts in by.items():
         assert b"".join(x for _, x in sorted(parts)) == bytes(whole[s].ids) and whole[s].length <= 512 and sum(whole[s].parts) == whole[s].length
     assert packing.pack(empty, P.path("word_bpe_49k.json"), 1).collect() == []
+    wide = packing.pack(docs, P.path("word_bpe_49k.json"), 70_000, 512)  # an id that 16 bits don't hold
+    assert sorted(((r.doc_id, r.piece, bytes(r.ids)) for r in wide.collect()), key=repr) == sorted(((i, k, x[:-4] + np.array([70_000], "<u4").tobytes() if x[-4:] == b"\x01\0\0\0" and (i, k + 1) not in {(a, b) for a, b, *_ in want} else x) for i, k, _, x in want), key=repr)
+    assert packing.cut(docs, P.path("word_bpe_49k.json"), 1, 512, narrow=True).where("octet_length(ids) <> 2 * length").count() == 0
     with pytest.raises(Exception, match="lengths must be"):
         packing.place(spark.createDataFrame([(1, 0)], "number long, length long"), 10).collect()
 
