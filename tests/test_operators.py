@@ -414,3 +414,30 @@ def test_wide_intervals_fill_few_bins(spark):
     b = spark.createDataFrame([("k", 3, 9), ("k", 9_999_999, 10_000_005)], "k string, start int, end int")
     got = sorted((x.l.start, x.r.start, x.overlap_start, x.overlap_end) for x in align.interval_overlap(a, b, "k").collect())
     assert got == [(0, 3, 3, 9), (0, 9_999_999, 9_999_999, 10_000_000), (5, 3, 5, 6)]
+
+
+@pytest.mark.parametrize("first", [4, 1024])
+def test_similar_pairs_over_blocks(spark, monkeypatch, first):
+    """Sets in many blocks, several keys in one block, common sizes, and a first product that doesn't hold all members."""
+    monkeypatch.setattr(align, "BLOCK_WEIGHT", 3000)
+    monkeypatch.setattr(align, "FIRST_MEMBERS", first)
+    r = random.Random(8)
+    seeds = [[f"g{r.randint(0, 40)}" for _ in range(r.choice([5, 12, 12, 25]))] for _ in range(12)]
+    rows = [(i, r.choice(["x", "y", None]), [g for g in r.choice(seeds) if r.random() < 0.93] + ["z"] * r.randint(0, 1)) for i in range(150)]
+    got = sorted((x.left_id, x.right_id, x.b, round(x.jaccard, 9)) for x in align.similar_pairs(spark.createDataFrame(rows, "id int, b string, g array<string>"), ["b"], "g", 0.8, id_col="id").collect())
+    j = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 0
+    want = sorted((a[0], b[0], a[1], round(j(a[2], b[2]), 9)) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and j(a[2], b[2]) >= 0.8)
+    key = lambda x: (x[0], x[1])
+    assert sorted(got, key=key) == sorted(want, key=key) and len(want) > 100
+
+
+def test_equal_sets_need_no_comparison(spark, monkeypatch):
+    """A group whose equal sets give all pairs of the choice compares no classes."""
+    monkeypatch.setattr(align, "similar_pairs", None)
+    rows = [(i, "x", ["a", "b", f"c{i // 4}"]) for i in range(12)]
+    found = align.greedy_one_to_one(align.best_candidates(spark.createDataFrame(rows, "id int, b string, g array<string>"), "b", "g", 0.3, 8, id_col="id"), "b", 8)
+    assert sorted((x.left_id, x.right_id) for x in found.collect()) == [(0, 1), (1, 2), (2, 3), (4, 5), (5, 6), (6, 7), (8, 9), (9, 10)]
+
+
+def test_grams_of_long_code_points(spark):
+    assert spark.createDataFrame([("a😀b\nc",), ("ab",), (None,)], "t string").select(text.grams(F.col("t")).alias("g")).collect() == [(sorted(["a😀b", "😀b\n", "b\nc"]),), ([],), (None,)]
