@@ -19,6 +19,8 @@ from dataclasses import dataclass, field, fields
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -113,7 +115,8 @@ class Rulebook:
         df, columns = records, records.columns
         none, more = F.expr("cast(array() as array<string>)"), []
         if self.elements:
-            df = df.withColumn("_row", F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256))
+            # written once: what is collected comes in another order when it is computed again, and has another digest then
+            df = stored(df.withColumn("_row", F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)), "rulebook-records")
         for e in self.elements:
             each = self._looked_up(df.dropDuplicates(["_row"]).withColumn(e.name, F.explode(e.array)), e.name, tables)
             gathered = [F.collect_list(F.expr(self.text(x))).alias(name) for name, x in e.gathered.items()]

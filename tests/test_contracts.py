@@ -1,6 +1,7 @@
 """Rules as data: the compiler, and every contract rule with a record that passes and one that breaks it."""
 
 import copy
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,3 +172,11 @@ def test_compiler(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "missing" not in plan and plan.count("LocalRelation") + plan.count("LogicalRDD") <= 4
     assert book.check(records.limit(0), tables).collect() == []
+
+
+def test_records_that_come_in_another_order(spark):
+    """An array that is put together anew each time it is computed, as collected rows are, loses no rule of its elements."""
+    mixed = F.udf(lambda x: random.sample(x, len(x)), "array<int>").asNondeterministic()
+    rows = spark.createDataFrame([(i, list(range(12))) for i in range(40)], "k int, a array<int>").select("k", mixed("a").alias("a"))
+    found = Rulebook([Rule("big", "e < 11", part="e"), Rule("few", "size(a) > 20")], elements=[Elements("e", "a")]).check(rows, {}).collect()
+    assert len(found) == 40 and all(x.errors == ["big", "few"] for x in found)
