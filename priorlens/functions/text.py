@@ -74,6 +74,32 @@ def chunks(x):
     return None if x is None else [(m.start(), m.end(), m[0]) for m in re.finditer(r"\S+", x)]
 
 
+# What str.split takes for white space, as Java's expressions have it.
+_BLANK = r"\s\x1c-\x1f"
+
+
+def chunk_bounds(x: Column) -> Column:
+    """struct(chunks, first_start, last_end) of ``chunks``, in Spark's own functions: no array of spans is made, so a batch of
+    long texts takes no memory in Python. Null text gives null; a text without chunks has 0, its length and 0."""
+    n = F.length(x)
+    return F.when(x.isNotNull(), F.struct(
+        F.regexp_count(x, F.lit(f"(?U)[^{_BLANK}]+")).alias("chunks"), (n - F.length(F.regexp_replace(x, f"(?U)\\A[{_BLANK}]+", ""))).alias("first_start"),
+        F.length(F.regexp_replace(x, f"(?U)(?<![{_BLANK}])[{_BLANK}]++\\z", "")).alias("last_end"),
+    ))
+
+
+#: Whole texts that a batch to Python holds, in queries whose functions make arrays of spans there.
+BATCH_ROWS = 256
+
+
+def small_batches(spark) -> None:
+    """Bound the Arrow batches of the session, unless it was set to less already: Spark's own default would hold the spans of
+    10,000 whole texts at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 _END = re.compile(f"{SENTENCE_END}+[{CLOSERS}]*(?=\\s|$)|\n+")
 
 

@@ -239,6 +239,7 @@ def signal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text.small_batches(spark)
     s = _t(spark, sf_dir, "documents").select("doc_id", F.explode(text.signals("text")).alias("s"))
     return s.groupBy("s.kind").agg(F.count(F.lit(1)).alias("spans"), F.count_distinct("doc_id").alias("documents"))
 

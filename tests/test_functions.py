@@ -1,5 +1,6 @@
 """Scalar functions: as-of predicates, periods, numbers, text, URLs, ids."""
 
+import os
 from decimal import Decimal
 
 import pytest
@@ -194,3 +195,20 @@ def test_numbers_beyond_precision_are_said_to_be(spark):
     got = [r.p for r in spark.createDataFrame([(x,) for x in rows], "x string").select(N.parse_number(F.col("x")).alias("p")).collect()]
     assert [p.error for p in got] == [None, "number_beyond_precision", None, "number_beyond_precision", None, "number_beyond_precision", None]
     assert [p.value is None for p in got] == [False, True, False, True, False, True, False]
+
+
+def test_chunk_bounds_are_those_of_chunks(spark):
+    """Without Python in the plan, and with all that Python takes for white space; a long blank run takes no square of time."""
+    texts = [None, "", " \n", "a", " a b\n", "\x1c a\x85b　", "a\n\n", "😀 b ", "x" + " " * 200_000 + "y", "​z\x1f"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", text.chunks("t").alias("c"), text.chunk_bounds(F.col("t")).alias("b"))
+    for r in d.collect():
+        if not r.c:
+            assert r.b is None or r.b.chunks == 0
+        else:
+            assert (r.b.chunks, r.b.first_start, r.b.last_end) == (len(r.c), r.c[0].start, r.c[-1].end)
+
+
+def test_chunk_offsets_stay_in_spark(spark):
+    from priorlens.plans import record_queries
+
+    assert "Python" not in record_queries.chunk_offsets(spark, f"{os.environ.get('TEST_DATA', '/root/testdata')}/sf0.001")._jdf.queryExecution().executedPlan().toString()
