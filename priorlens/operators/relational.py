@@ -74,7 +74,8 @@ def nearest(left: DataFrame, right: DataFrame, key: str, a: str, b: str) -> Data
     """For each left row the right row of its key that lies nearest, ties to the smaller place."""
     r = right.select(key, F.struct(*right.columns).alias("nearest"), F.col(b).alias("_b"))
     j = left.withColumn("_row", F.struct(*left.columns)).join(r, key, "left")
-    return j.groupBy("_row").agg(F.min_by("nearest", F.struct(F.abs(F.col(a) - F.col("_b")), F.col("_b"))).alias("nearest")).select("_row.*", "nearest")
+    # rows of a key stay where the join has them: grouping by the row alone would shuffle every pair
+    return j.groupBy(key, "_row").agg(F.min_by("nearest", F.struct(F.abs(F.col(a) - F.col("_b")), F.col("_b"))).alias("nearest")).select("_row.*", "nearest")
 
 
 def column_spans(cells: DataFrame, keys: Sequence[str], order: str, span: str = "colspan") -> DataFrame:
