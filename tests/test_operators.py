@@ -441,3 +441,32 @@ def test_equal_sets_need_no_comparison(spark, monkeypatch):
 
 def test_grams_of_long_code_points(spark):
     assert spark.createDataFrame([("a😀b\nc",), ("ab",), (None,)], "t string").select(text.grams(F.col("t")).alias("g")).collect() == [(sorted(["a😀b", "😀b\n", "b\nc"]),), ([],), (None,)]
+
+
+def test_nearest_keeps_rows_where_the_join_has_them(spark):
+    rows = spark.range(40).selectExpr("id % 5 as k", "cast(id as int) as x")
+    out = relational.nearest(rows, rows.select("k", F.col("x").alias("y")), "k", "x", "y")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = out.select("k", "x", "nearest.y")._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("Initial Plan")[-1].count("Exchange") == 2 and all(r.x == r.y for r in out.select("x", "nearest.y").collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_facts_meet_without_digests(spark):
+    from priorlens.operators import routing
+
+    rows = spark.createDataFrame([(1, None, 0.5), (2, None, 0.5), (3, "a", None), (4, "a", None), (5, "a", 0.1)], "d int, k string, v double")
+    out = routing.corroborated(rows, ["k"], "v", "d")
+    assert "sha2" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.d, r.others, r.agreeing, r.corroboration) for r in out.collect()) == [(1, 1, 1, "one"), (2, 1, 1, "one"), (3, 2, 1, "one"), (4, 2, 1, "one"), (5, 2, 0, "conflict")]
+
+
+def test_cube_takes_rows_summed_by_part(spark):
+    import os
+
+    from priorlens.plans import record_queries
+
+    plan = record_queries.cube_totals(spark, f"{os.environ.get('TEST_DATA', '/root/testdata')}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan.split("Expand")[-1]
