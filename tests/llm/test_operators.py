@@ -141,6 +141,25 @@ def test_words_of_any_language(spark, monkeypatch):
     assert [few[i] for i in range(72)] == [True] * 60 + [False] * 12
 
 
+def test_words_come_from_all_documents(spark, monkeypatch):
+    """However few documents a sample would draw, words are counted in all of a label; a sample is drawn only if it is asked for."""
+    monkeypatch.setattr(quality, "SAMPLE_DOCS", 3)
+    rows = [(i, " ".join(f"own{i % 25}x{k % 7}" for k in range(100)), "en" if i % 3 else "de") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    want = defaultdict(Counter)
+    for _, t, lang in rows:
+        want[lang].update(t.split())
+        want[None].update(t.split())
+    got = {r.lang: (r.vocabulary, r.share) for r in quality.common_words(docs).collect()}
+    assert set(got) == set(want)
+    for lang, c in want.items():
+        best = sorted(c.items(), key=lambda x: (-x[1], x[0]))[: quality.COMMON]
+        total = sum(c.values())
+        assert got[lang] == ([w for w, _ in best], [n / total for _, n in best] + [(total - sum(n for _, n in best)) / total])
+    few = quality.common_words(docs, sample_docs=3).where("lang is null").first()
+    assert len({w.split("x")[0] for w in few.vocabulary}) <= 6
+
+
 # 2 top-k
 
 
