@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .reasons import first
+from .reasons import first, let
 
 
 def _d(x: Column) -> Column:
@@ -84,9 +84,9 @@ def parse_period(period_header: Column, year_header: Column) -> Column:
 
 def quarter_bounds(quarter_id: Column) -> Column:
     """``2024Q3`` -> struct(start, end); null for anything else."""
-    y, q = F.regexp_extract(quarter_id, r"^(\d{4})-?Q([1-4])$", 1), F.regexp_extract(quarter_id, r"^(\d{4})-?Q([1-4])$", 2)
-    start = F.when(y != "", F.make_date(y.try_cast("int"), (q.try_cast("int") - 1) * 3 + 1, F.lit(1)))
-    return F.struct(start.alias("start"), F.last_day(F.add_months(start, 2)).alias("end"))
+    digits = F.regexp_replace(F.regexp_extract(quarter_id, r"^(\d{4})-?Q([1-4])$", 0), "[-Q]", "")
+    start = let(digits, lambda d: F.when(d != "", F.make_date(F.substring(d, 1, 4).try_cast("int"), (F.substring(d, 5, 1).try_cast("int") - 1) * 3 + 1, F.lit(1))))
+    return let(start, lambda d: F.struct(d.alias("start"), F.last_day(F.add_months(d, 2)).alias("end")))
 
 
 def english_date(text: Column) -> Column:
@@ -95,16 +95,29 @@ def english_date(text: Column) -> Column:
 
 
 def safe_date(text: Column) -> Column:
-    """struct(day, clock, precision, zone): midnight and zone are never inferred; Korean half-days are read."""
-    day = F.regexp_extract(text, r"(\d{4})[-./년]\s*(\d{1,2})[-./월]\s*(\d{1,2})", 0)
-    part = lambda k: F.regexp_extract(day, r"(\d{4})\D+(\d{1,2})\D+(\d{1,2})", k).try_cast("int")
-    date = F.when(day != "", F.try_make_timestamp(part(1), part(2), part(3), F.lit(0), F.lit(0), F.lit(0)).cast("date"))
-    half = F.regexp_extract(text, r"(오전|오후)\s*\d{1,2}:\d{2}", 1)
-    hour, minute, second = (F.regexp_extract(text, r"(\d{1,2}):(\d{2})(?::(\d{2}))?", k).try_cast("int") for k in (1, 2, 3))
-    hour = F.when(half == "오후", hour % 12 + 12).when(half == "오전", hour % 12).otherwise(hour)
-    clock = F.when(hour.between(0, 23) & minute.between(0, 59), F.format_string("%02d:%02d:%02d", hour, minute, F.coalesce(second, F.lit(0))))
-    zone = F.nullif(F.regexp_extract(text, r"\d(Z|[+-]\d{2}:?\d{2}|\s?KST)$", 1), F.lit(""))
-    return F.struct(date.alias("day"), clock.alias("clock"), F.when(date.isNull(), "unknown").when(clock.isNull(), "date").when(second.isNull(), "minute").otherwise("second").alias("precision"), F.trim(zone).alias("zone"))
+    """struct(day, clock, precision, zone): midnight and zone are never inferred; Korean half-days are read. Each pattern is
+    looked for once, and its parts are split."""
+
+    def found(x):
+        day = F.regexp_extract(x, r"(\d{4})[-./년]\s*(\d{1,2})[-./월]\s*(\d{1,2})", 0)
+        clock = F.regexp_extract(x, r"(\d{1,2}):(\d{2})(?::(\d{2}))?", 0)
+        zone = F.regexp_extract(x, r"\d(Z|[+-]\d{2}:?\d{2}|\s?KST)$", 1)
+        return F.struct(F.split(day, r"\D+").alias("day"), F.split(clock, ":").alias("clock"), F.regexp_extract(x, r"(오전|오후)\s*\d{1,2}:\d{2}", 1).alias("half"), zone.alias("zone"))
+
+    def numbers(p):
+        part = lambda c, k: F.get(p[c], F.lit(k)).try_cast("int")
+        hour, date = part("clock", 0), F.try_make_timestamp(*[part("day", k) for k in range(3)], F.lit(0), F.lit(0), F.lit(0)).cast("date")
+        hour = F.when(p["half"] == "오후", hour % 12 + 12).when(p["half"] == "오전", hour % 12).otherwise(hour)
+        return F.struct(date.alias("day"), hour.alias("hour"), part("clock", 1).alias("minute"), part("clock", 2).alias("second"), F.trim(F.nullif(p["zone"], F.lit(""))).alias("zone"))
+
+    def fields(n):
+        two = lambda c: F.lpad(c.cast("string"), 2, "0")
+        told = n["hour"].between(0, 23) & n["minute"].between(0, 59)
+        clock = F.when(told, F.concat_ws(":", two(n["hour"]), two(n["minute"]), two(F.coalesce(n["second"], F.lit(0)))))
+        precision = F.when(n["day"].isNull(), "unknown").when(~F.coalesce(told, F.lit(False)), "date").when(n["second"].isNull(), "minute").otherwise("second")
+        return F.struct(n["day"].alias("day"), clock.alias("clock"), precision.alias("precision"), n["zone"].alias("zone"))
+
+    return let(let(let(text, found), numbers), fields)
 
 
 def utc_if_offset(text: Column) -> Column:

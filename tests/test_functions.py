@@ -103,6 +103,18 @@ def test_dates(spark):
     assert one(spark, periods.utc_if_offset(F.lit("2024-01-01T00:00:00"))) is None
 
 
+def test_dates_are_read_once(spark):
+    """Each pattern stands once in the plan of a date, however many of its fields are read; parts as before."""
+    rows = ["2024. 3. 5", "2024년 13월 5일", "2024-02-30 25:10", "2024-1-2 오전 12:05", "2024-1-2 오후 12:05:09Z", "9:61", "2024/12/31T23:59:58+0900", None, "", "2024-01-01 7:08 KST"]
+    d = spark.createDataFrame([(x,) for x in rows], "x string").select("x", periods.safe_date(F.col("x")).alias("s")).select("x", "s.day", "s.clock", "s.precision", "s.zone")
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("regexp_extract(") <= 4
+    assert [(str(r.day), r.clock, r.precision, r.zone) for r in d.collect()] == [
+        ("2024-03-05", None, "date", None), ("None", None, "unknown", None), ("None", None, "unknown", None), ("2024-01-02", "00:05:00", "minute", None), ("2024-01-02", "12:05:09", "second", "Z"),
+        ("None", None, "unknown", None), ("2024-12-31", "23:59:58", "second", "+0900"), ("None", None, "unknown", None), ("None", None, "unknown", None), ("2024-01-01", "07:08:00", "minute", "KST"),
+    ]
+
+
 @pytest.mark.parametrize("raw, value, error", [
     ("0", "0", None), ("0.000001", "0.000001", None), ("  12  ", "12", None), ("(10)", "-10", None), ("-", None, "dash_not_zero"), ("—", None, "dash_not_zero"), ("unknown", None, "unknown_numeric_value"), ("N/A", None, "unknown_numeric_value"), ("1,23", None, "malformed_numeric_token"), ("(-1)", None, "ambiguous_sign"),
     ("(10", None, "ambiguous_sign"), ("NaN", None, "malformed_numeric_token"), ("", None, "blank_numeric_cell"), ("  ", None, "blank_numeric_cell"), (None, None, "blank_numeric_cell"), ("$1,234.50", "1234.50", None), ("1,234,567", "1234567", None), ("-5", "-5", None),
