@@ -138,6 +138,31 @@ def test_blocks_are_those_of_difflib(monkeypatch, cells):
         assert blocks.matching_blocks("".join(a), "".join(b)) == theirs("".join(a), "".join(b))
 
 
+@pytest.mark.parametrize("passed", [0, 1, 20])
+def test_blocks_when_windows_take_too_much_work(monkeypatch, passed):
+    monkeypatch.setattr(blocks, "CELLS", 0)
+    monkeypatch.setattr(blocks, "PASSED", passed)
+    r = random.Random(passed)
+    for k in range(300):
+        a = "".join(r.choice(["ab", "abcdef"][k % 2]) for _ in range(r.randint(0, 60)))
+        b = "".join(a[p : p + r.randint(1, 20)] for p in (r.randint(0, 59) for _ in range(6))) + a[:5]
+        assert blocks.matching_blocks(a, b) == theirs(a, b)
+
+
+def test_paragraphs_are_found_without_hashes(monkeypatch):
+    """A body of a page in all of its text: no step hashes all windows of a range."""
+    r = random.Random(3)
+    said = [" ".join("".join(r.choice("aeinorst") for _ in range(r.randint(2, 9))) for _ in range(r.randint(5, 80))) for _ in range(40)]
+    a, b = "\n".join(said), "menu home about " + " ".join(said) + " all rights reserved"
+    wanted = theirs(a, b)
+
+    def none(*_):
+        raise AssertionError("hashed")
+
+    monkeypatch.setattr(blocks, "_Hashes", none)
+    assert blocks.matching_blocks(a, b) == wanted
+
+
 def test_blocks_of_a_megabyte():
     r = random.Random(1)
     words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(3000)]
