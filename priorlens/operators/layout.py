@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import tasks_for
+
 # How far a number may be from its label's line and its header, and how much text makes prose.
 LINE, REACH, PROSE, EXCERPT = 6, 95, 35, 200
 NUMBER = r"^\(?\d[\d,.]*\)?$"
@@ -18,25 +20,29 @@ def _on_side(x: Column, share: float) -> Column:
 def headers(lines: DataFrame, requests: DataFrame) -> DataFrame:
     """requests (request_id, page_id, needle, side, width) with ``header_x``, the place of the first line (page_id, ord, x0,
     text) on that side that holds the needle, or null."""
-    hit = requests.join(lines, "page_id").where(F.col("text").contains(F.col("needle")) & _on_side(F.col("x0"), 0.6))
-    found = hit.groupBy("request_id").agg(F.min_by("x0", F.struct("ord", "x0")).alias("header_x"))
-    return requests.join(found, "request_id", "left")
+    n = tasks_for(requests, lines)
+    hit = requests.repartition(n, "page_id").join(lines.repartition(n, "page_id").hint("merge"), "page_id").where(F.col("text").contains(F.col("needle")) & _on_side(F.col("x0"), 0.6))
+    found = hit.select("request_id", "ord", "x0").repartition(n, "request_id").groupBy("request_id").agg(F.min_by("x0", F.struct("ord", "x0")).alias("header_x"))
+    return requests.repartition(n, "request_id").join(found.hint("merge"), "request_id", "left")
 
 
 def row_values(words: DataFrame, requests: DataFrame) -> DataFrame:
     """requests (request_id, page_id, label, side, width, header_x) with the number that stands in the line of a word with the
     label, nearest to the header: ``label_text``, ``value_text``, ``distance``; null if there is none. words: page_id, ord,
     x0, y0, text. Of equal distances the first label's first number is taken. Lines are compared by bins of height, so a
-    page's words never meet all others."""
+    page's words never meet all others. Tasks are as many as the words ask for."""
+    n = tasks_for(requests.select("request_id"), words)
     w = words.select("page_id", "ord", "x0", "y0", "text")
     bin_ = F.floor(F.col("y0") / LINE)
-    at = requests.where(F.col("header_x").isNotNull()).join(w, "page_id").where(F.col("text").contains(F.col("label")) & _on_side(F.col("x0"), 0.5))
+    asked = requests.where(F.col("header_x").isNotNull()).select("request_id", "page_id", "label", "side", "width", "header_x").repartition(n, "page_id")
+    at = asked.join(w.repartition(n, "page_id").hint("merge"), "page_id").where(F.col("text").contains(F.col("label")) & _on_side(F.col("x0"), 0.5))
     at = at.select("request_id", "page_id", "header_x", F.col("ord").alias("_lo"), F.col("y0").alias("_ly"), F.col("text").alias("label_text"), F.explode(F.array(bin_ - 1, bin_, bin_ + 1)).alias("_b"))
     numbers = w.where(F.col("text").rlike(NUMBER)).withColumn("_b", bin_)
     distance = F.abs(F.col("x0") - F.col("header_x"))
-    j = at.join(numbers, ["page_id", "_b"]).where((F.abs(F.col("y0") - F.col("_ly")) < LINE) & (distance < REACH))
-    best = j.groupBy("request_id").agg(F.min(F.struct(distance.alias("distance"), "_lo", "ord", "label_text", F.col("text").alias("value_text"))).alias("_m"))
-    return requests.join(best, "request_id", "left").select(*requests.columns, "_m.label_text", "_m.value_text", F.col("_m.distance").alias("distance"))
+    j = at.repartition(n, "page_id", "_b").join(numbers.repartition(n, "page_id", "_b").hint("merge"), ["page_id", "_b"]).where((F.abs(F.col("y0") - F.col("_ly")) < LINE) & (distance < REACH))
+    near = j.select("request_id", F.struct(distance.alias("distance"), "_lo", "ord", "label_text", F.col("text").alias("value_text")).alias("_m"))
+    best = near.repartition(n, "request_id").groupBy("request_id").agg(F.min("_m").alias("_m"))
+    return requests.repartition(n, "request_id").join(best.hint("merge"), "request_id", "left").select(*requests.columns, "_m.label_text", "_m.value_text", F.col("_m.distance").alias("distance"))
 
 
 def prose_blocks(blocks: DataFrame, preferred: DataFrame) -> DataFrame:

@@ -174,15 +174,17 @@ select k as o_orderkey, case when k % 5 <> 0 then cast(100 as bigint) end as hea
 def laid_out_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page per order: the number in the line of a label, nearest to its header. Every fifth page has no header, every third
     has its numbers a line lower."""
-    li = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
-    p = li.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.count(F.lit(1)).alias("n"))
+    counted = lambda table, key, n: _t(spark, sf_dir, table).groupBy(F.col(key).alias("page_id")).agg(F.count(F.lit(1)).alias(n))
+    p = counted("lineitem", "l_orderkey", "lines").join(counted("orders", "o_orderkey", "orders"), "page_id").select("page_id", (F.col("lines") * F.col("orders")).alias("n"))
+    p = stored(p, "order-pages")  # words, lines and requests are made from it
     k = F.col("page_id")
     word = lambda i, x, y, t: F.struct(F.lit(i).alias("ord"), F.lit(x).cast("long").alias("x0"), y.cast("long").alias("y0"), t.alias("text"))
     y = F.lit(203) + F.when(k % 3 == 0, 6).otherwise(5)
     words = p.select(k, F.inline(F.array(word(0, 10, F.lit(203), F.lit("Net sales")), word(1, 130, y, F.lit("999")), word(2, 110, y, F.col("n").cast("string")), word(3, 105, y, F.lit("n/a")), word(4, 200, F.lit(203), F.lit("77")), word(5, 700, F.lit(203), F.lit("Net sales")))))
     lines = p.where(k % 5 != 0).select(k, F.lit(0).alias("ord"), F.lit(100).cast("long").alias("x0"), F.lit("3Q '24 2Q '24").alias("text"))
     asked = p.select(k.alias("request_id"), k, F.lit("3Q '24").alias("needle"), F.lit("sales").alias("label"), F.lit("left").alias("side"), F.lit(1000).alias("width"))
-    return layout.row_values(words, layout.headers(lines, asked)).select(k.alias("o_orderkey"), "header_x", "label_text", "value_text", "distance")
+    asked = stored(layout.headers(lines, asked), "order-headers")
+    return layout.row_values(words, asked).select(k.alias("o_orderkey"), "header_x", "label_text", "value_text", "distance")
 
 
 @query("""with t as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn = 1 desc, turn) as r from conversations where role = 'assistant' and contains(text, '.') and length(regexp_replace(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), '^ | $', '', 'g')) >= 35)

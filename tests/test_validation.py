@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from priorlens.operators import annotate, articles, layout, tables, validation
+from priorlens.sources import store
 
 BLOCK = "raw_text string, normalized_text string, offset_mapping struct<unit:string,status:string>, spans array<struct<start:int,end:int,text:string>>, source_xpath string, xpath_texts array<string>, location_status string, evidence_eligible boolean"
 
@@ -143,3 +144,14 @@ def test_record_and_validation_queries_match_their_sql(spark):
         assert cols == sorted(b.columns), name
         key = lambda x: sorted(map(repr, x[cols].astype(object).where(x[cols].notna(), None).map(plain).itertuples(index=False, name=None)))
         assert key(a) == key(b), name
+
+
+def test_joins_have_tasks_for_their_rows(spark, monkeypatch):
+    """Rows that compress well aren't dealt by their small size to a few tasks."""
+    monkeypatch.setattr(store, "TASK_ROWS", 100)
+    pages = spark.range(1000).select(F.col("id").alias("page_id"))
+    words = pages.select("page_id", F.inline(F.expr("array(struct(0 as ord, 10 as x0, 203 as y0, 'Net sales' as text), struct(1 as ord, 110 as x0, 205 as y0, '77' as text))")))
+    lines = pages.select("page_id", F.lit(0).alias("ord"), F.lit(100).alias("x0"), F.lit("3Q").alias("text"))
+    asked = pages.select(F.col("page_id").alias("request_id"), "page_id", F.lit("3Q").alias("needle"), F.lit("sales").alias("label"), F.lit("left").alias("side"), F.lit(1000).alias("width"))
+    found = layout.row_values(words, layout.headers(lines, asked))
+    assert found.rdd.getNumPartitions() >= 30 and found.where("value_text = '77' and distance = 10").count() == 1000
