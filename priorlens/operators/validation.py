@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.reasons import codes
+from ..sources.store import tasks_for
 
 NO_TEXTS = "cast(array() as array<string>)"
 
@@ -89,13 +90,15 @@ def fact_errors(facts: DataFrame, cells: DataFrame) -> DataFrame:
     value_span_start, value_span_end, value_raw, sign_policy, numeric_value, scale, numeric_value_base_units,
     balance_or_flow, period_start, period_end, period_duration_days, expected_header, fiscal_year,
     period_header_pointer, year_header_pointer; cells: doc_id, pointer, text; of several texts of a place the smallest counts.
-    Facts without header pointers aren't held against headers. Nothing is gathered: every place is a keyed join."""
+    Facts without header pointers aren't held against headers. Nothing is gathered: every place is a keyed join, in as many tasks as the rows ask for."""
+    n = tasks_for(facts, cells)
     places = ["evidence_pointer", "period_header_pointer", "year_header_pointer"]
-    once = cells.groupBy("doc_id", "pointer").agg(F.min("text").alias("_text"))
+    once = cells.repartition(n, "doc_id", "pointer").groupBy("doc_id", "pointer").agg(F.min("text").alias("_text"))
     j = facts
     for p in places:
-        j = j.join(once.select("doc_id", F.col("pointer").alias(p), F.col("_text").alias(f"_{p}")), ["doc_id", p], "left")
-    j = j.join(facts.groupBy("claim_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "claim_id", "left")
+        j = j.repartition(n, "doc_id", p).join(once.select("doc_id", F.col("pointer").alias(p), F.col("_text").alias(f"_{p}")).hint("merge"), ["doc_id", p], "left")
+    claims = facts.select("claim_id").repartition(n, "claim_id").groupBy("claim_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    j = j.repartition(n, "claim_id").join(claims.hint("merge"), "claim_id", "left")
     at = lambda p: F.col(f"_{p}")
     tight = lambda c: F.regexp_replace(c, r"\s+", "")
     cell, start, end = at(places[0]), F.col("value_span_start"), F.col("value_span_end")

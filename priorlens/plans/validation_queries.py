@@ -61,6 +61,7 @@ select o as l_orderkey, n as l_linenumber, {_errors("k % 13 = 0 => evidence_cell
 def fact_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The amounts of all order lines as facts, read again in the cells that they came from."""
     li = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum(_money("l_extendedprice")).cast("decimal(18,2)").alias("v"))
+    li = stored(li, "order-amounts")  # facts and cells are made from it
     k, amount = F.col("l_orderkey") * 8 + F.col("l_linenumber"), F.col("v")
     printed = F.concat(F.lit("$("), amount.cast("string"), F.lit(")"))
     cell = F.concat(F.lit(" "), printed, F.lit(" "))

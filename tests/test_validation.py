@@ -155,3 +155,16 @@ def test_joins_have_tasks_for_their_rows(spark, monkeypatch):
     asked = pages.select(F.col("page_id").alias("request_id"), "page_id", F.lit("3Q").alias("needle"), F.lit("sales").alias("label"), F.lit("left").alias("side"), F.lit(1000).alias("width"))
     found = layout.row_values(words, layout.headers(lines, asked))
     assert found.rdd.getNumPartitions() >= 30 and found.where("value_text = '77' and distance = 10").count() == 1000
+
+
+def test_facts_are_checked_in_tasks_for_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(store, "TASK_ROWS", 100)
+    pages = spark.range(1000).select(F.col("id").alias("page_id"))
+    facts = pages.selectExpr(
+        "cast(page_id as string) as claim_id", "'d' as doc_id", "concat('p', page_id) as evidence_pointer", "cast(null as string) as period_header_pointer", "cast(null as string) as year_header_pointer", "0 as value_span_start", "2 as value_span_end", "'77' as value_raw", "'preserve' as sign_policy", "'77' as numeric_value", "'1' as scale",
+        "'77' as numeric_value_base_units", "'balance' as balance_or_flow", "'2024-01-01' as period_start", "'2024-01-01' as period_end", "1 as period_duration_days", "'x' as expected_header", "2024 as fiscal_year",
+    )
+    cells = pages.selectExpr("'d' as doc_id", "concat('p', page_id) as pointer", "'77' as text").where("page_id > 0")
+    checked = validation.fact_errors(facts, cells)
+    assert checked.rdd.getNumPartitions() >= 19
+    assert checked.where("size(errors) = 0").count() == 999 and checked.where("errors = array('evidence_cell_missing')").count() == 1
