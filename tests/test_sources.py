@@ -107,6 +107,20 @@ def test_markup(spark):
     assert deep.count() == 1
 
 
+def test_bodies_in_bounded_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        pages = spark.range(0, 1300, 1, 1).selectExpr("id as page_id", "case when id % 3 > 0 then concat('<body><p>page ', id, '</p></body>') end as html")
+        got = markup.bodies(pages)
+        assert int(spark.conf.get(name)) <= 512
+        assert got.where("coalesce(body, '') <> if(page_id % 3 > 0, concat('page ', page_id), '')").count() == 0 and got.select("page_id").distinct().count() == got.count() == 1300
+        assert markup.bodies(pages.where("page_id < 0")).count() == 0
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_runner_reuses_and_stops(spark, tmp_path):
     calls = []
 
