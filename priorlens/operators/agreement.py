@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.numbers import ratio
 
@@ -66,8 +67,9 @@ def located(rows: DataFrame, evidence: str = "evidence", *keys: str) -> DataFram
 def matched(references: DataFrame, predictions: DataFrame, fields: list[str], *, item="item_id", prediction="prediction_id", valid: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """One-to-one matches by location_key. Returns (matches by reference with status, unmatched predictions). A key with
     several predictions is a tie and matches none; a reference key that comes twice is refused."""
-    r = references.groupBy("location_key").agg(F.count(F.lit(1)).alias("_n"))
-    refs = references.join(r, "location_key").withColumn("_ok", F.when(F.col("_n") > 1, F.raise_error(F.lit("duplicate reference location key"))).otherwise(F.lit(True)))
+    # counted where they are sorted for the join, so references are made once
+    alike = references.where(F.col("location_key").isNotNull()).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("location_key")))
+    refs = alike.withColumn("_ok", F.when(F.col("_n") > 1, F.raise_error(F.lit("duplicate reference location key"))).otherwise(F.lit(True)))
     p = predictions.withColumn("_valid", F.coalesce(valid, F.lit(False)) if valid is not None else F.lit(True))
     one = p.groupBy("location_key").agg(F.count(F.lit(1)).alias("_c"), F.min_by(F.struct(prediction, "_valid", *fields), prediction).alias("_p"))
     m = refs.join(one, "location_key", "left").where("_ok")

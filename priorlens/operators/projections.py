@@ -47,13 +47,11 @@ def _quotient(value: str, by: str):
 def annotations(records: DataFrame, evidence: DataFrame, consolidated_scope: str) -> DataFrame:
     """Contract records (see ``contracts``) as flat annotations. evidence: evidence_id, evidence_kind: the first evidence of a
     claim that the index has as ``numeric_value`` gives the value's span; a claim without one has none. Only ids and kinds of
-    numeric evidence are joined."""
+    numeric evidence are joined. The span is the same for all records with the same list of evidence, so that is their key."""
     numeric = evidence.where("evidence_kind = 'numeric_value'").select(F.col("evidence_id").alias("_e")).distinct()
-    key = F.sha2(F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false"}), 256)
-    r = records.withColumn("_key", key)
-    each = r.select("_key", F.posexplode("provenance.evidence").alias("_at", "e")).select("_key", "_at", F.col("e.evidence_id").alias("_e"), F.struct("e.start", "e.end").alias("_span"))
+    each = records.select(F.col("provenance.evidence").alias("_key")).select("_key", F.posexplode("_key").alias("_at", "e")).select("_key", "_at", F.col("e.evidence_id").alias("_e"), F.struct("e.start", "e.end").alias("_span"))
     value = each.join(numeric, "_e", "left_semi").groupBy("_key").agg(F.min_by("_span", "_at").alias("_value"))
-    r = r.join(value, "_key", "left")
+    r = records.withColumn("_key", F.col("provenance.evidence")).join(value, "_key", "left")
     put = {"{relation}": "record_kind = 'business_relation'", "{consolidated}": f"{_N}.scope_id = '{consolidated_scope}'"}
 
     def column(x: str, when: str | None = None):

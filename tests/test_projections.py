@@ -1,8 +1,9 @@
 """Projections of contracts, annotations and predictions to comparable fields, and inputs without answers."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from priorlens.operators import projections
+from priorlens.operators import agreement, projections
 
 PERIOD = "struct<period_start:string,period_end:string,as_of_date:string,period_kind:string,duration_days:int,fiscal_year:int,fiscal_quarter:int>"
 NORMALIZED = f"""struct<company_id:string,scope_id:string,modality:string,metric_id:string,definition_version:string,source_scale:string,numeric_value:string,currency:string,canonical_unit:string,sign_policy:string,accounting_basis:string,financial_context:struct<balance_or_flow:string>,
@@ -59,3 +60,14 @@ def test_inputs_without_answers(spark):
     assert [(x.input_id, x.reasons) for x in projections.leaks(inputs, links, ["metric_id", "source_claim_id"]).collect()] == [(bad, ["value:source_claim_id"])]
     named = inputs.withColumn("more", F.struct(F.struct(F.lit(1).alias("metric_id")).alias("deep")))
     assert projections.leaks(named, links, ["metric_id"]).where(F.array_contains("reasons", "field:metric_id")).count() == 4
+
+
+def test_references_are_made_once(spark):
+    refs = spark.range(50).selectExpr("id as item_id", "if(id = 7, null, concat('k', id)) as location_key", "'x' as f")
+    preds = spark.createDataFrame([("p1", "k1", "x"), ("p2", "k2", "x"), ("p3", "k2", "x")], "prediction_id string, location_key string, f string")
+    out, _ = agreement.matched(refs, preds, ["f"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    got = {r.item_id: r.match_status for r in out.collect()}
+    assert len(got) == 49 and got[1] == "matched" and got[2] == "tie_conflict" and got[3] == "missing"
+    with pytest.raises(Exception, match="duplicate reference"):
+        agreement.matched(refs.unionByName(refs), preds, ["f"])[0].collect()
