@@ -10,25 +10,50 @@ from ..sources.store import stored
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None, *, a="a", b="b", node="node") -> DataFrame:
-    """node, component: the smallest node reachable over undirected edges. Nodes without edges stand alone.
-
-    Alternating star contraction: larger neighbours are hung to the smallest of a neighbourhood, then smaller ones to the
-    smallest of them, until the edge set stays as it is. Rounds grow with the logarithm of the longest chain; each round's
-    edges are a written table, so the plan doesn't grow and lost executors cost one round."""
-    e = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
-    while (now := e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()) != seen:
-        seen = now
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        hung = stored(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "hung")
-        low = hung.groupBy("u").agg(F.min("v").alias("m"))
-        e = stored(hung.join(low, "u").select("v", "m").toDF("u", "v").where("u <> v").unionByName(low.toDF("u", "v")).distinct(), "edges")
-    out = e.select(F.col("u").alias(node), F.col("v").alias("component"))
-    out = out.unionByName(e.select(F.col("v").alias(node), F.col("v").alias("component")).distinct())
+    """node, component: the smallest node reachable over undirected edges. Nodes without edges stand alone; with ``nodes``,
+    only these are returned."""
+    out = labelled(edges, nodes, a=a, b=b, node=node)
+    return out.drop("given") if nodes is None else out.where("given").drop("given")
+
+
+def labelled(edges: DataFrame, nodes: DataFrame | None = None, *, a="a", b="b", node="node") -> DataFrame:
+    """node, component (the smallest node reachable), given (is it one of ``nodes``): all nodes, those of edges too.
+
+    A node whose only neighbour is smaller takes that one's component, so its edges are done after one pass (all of them,
+    where groups are tied to their smallest member). What is left is contracted until no edge is left; names play no part
+    in that, and each component is named by its smallest node at the end."""
+    e = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v"), "edges")
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("given", F.lit(nodes is None))
     if nodes is not None:
-        out = nodes.select(node).distinct().join(out, node, "left").select(node, F.coalesce("component", node).alias("component"))
-    return out
+        both = both.unionByName(nodes.select(F.col(node).alias("u"), F.lit(None).alias("v"), F.lit(True).alias("given")))
+    near = stored(both.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("given").alias("given")), "neighbours")
+    rest = stored(e.join(near.where("lo < hi").select("u"), "u", "left_semi"), "rest")
+    out = near.select(F.col("u").alias(node), F.expr("case when lo = hi and lo < u then lo else u end").alias("at"), "given")
+    met = _contracted(rest)
+    if met is None:
+        return out.select(node, F.col("at").alias("component"), "given")
+    named = met.join(met.groupBy("m").agg(F.min("u").alias("component")), "m").select(F.col("u").alias("at"), "component")
+    return out.join(named, "at", "left").select(node, F.coalesce("component", "at").alias("component"), "given")
+
+
+def _contracted(e: DataFrame) -> DataFrame | None:
+    """u, m: every node of the edges (u, v) and one node that stands for its component; None without edges.
+
+    In each round a node goes to that one of itself and its neighbours which a hash of the round puts first, and edges are
+    drawn between where their ends went. So long chains and large groups lose a part of their nodes in every round, and all
+    rounds together read a few times the edges. Each round's tables are written: lost executors cost one round."""
+    rounds = []
+    while e.count():
+        turn = F.lit(len(rounds))
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        first = both.groupBy("u").agg(F.min(F.xxhash64(turn, "v")).alias("h"), F.min_by("v", F.xxhash64(turn, "v")).alias("m"))
+        rounds.append(stored(first.select("u", F.when(F.col("h") < F.xxhash64(turn, "u"), F.col("m")).otherwise(F.col("u")).alias("m")), "went"))
+        ends = e.join(rounds[-1].toDF("u", "um"), "u").join(rounds[-1].toDF("v", "vm"), "v").where("um <> vm")
+        e = stored(ends.select(F.greatest("um", "vm").alias("u"), F.least("um", "vm").alias("v")).distinct(), "edges")
+    out = None
+    for went in reversed(rounds):
+        out = went if out is None else went.join(out.toDF("m", "on"), "m", "left").select("u", F.coalesce("on", "m").alias("m"))
+    return None if out is None else stored(out, "met")
 
 
 def component_sizes(found: DataFrame, node: str = "node") -> DataFrame:

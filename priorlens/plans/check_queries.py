@@ -115,12 +115,13 @@ def routed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders dealt to three splits: what shares a customer or a part and supplier stays together, priorities are balanced."""
     orders, lines = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")
-    rows = orders.select(F.concat(F.lit("o"), "o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("stratum"))
-    own = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("low"))
-    ties = orders.join(own, "o_custkey").where("o_orderkey > low").select(F.concat(F.lit("o"), "o_orderkey").alias("from_id"), F.concat(F.lit("o"), "low").alias("to_id"))
-    copies = lines.groupBy("l_partkey", "l_suppkey", "l_quantity").agg(F.min("l_orderkey").alias("low"), F.max("l_orderkey").alias("high")).where("low < high")
-    ties = ties.unionByName(copies.select(F.concat(F.lit("o"), "high").alias("from_id"), F.concat(F.lit("o"), "low").alias("to_id")))
-    return splits.manifest(rows, ties, {"train": 0.8, "development": 0.1, "test": 0.1}).select("row_id", "stratum", "component", "split")
+    own = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("to_id"))
+    ties = orders.join(own, "o_custkey").where("o_orderkey > to_id").select(F.col("o_orderkey").alias("from_id"), "to_id")
+    copies = lines.groupBy("l_partkey", "l_suppkey", "l_quantity").agg(F.max("l_orderkey").alias("from_id"), F.min("l_orderkey").alias("to_id")).where("to_id < from_id")
+    called = lambda k: F.concat(F.lit("o"), k)
+    rows = orders.select("o_orderkey", F.col("o_orderpriority").alias("stratum"))
+    found = splits.manifest(rows, ties.unionByName(copies.select("from_id", "to_id")), {"train": 0.8, "development": 0.1, "test": 0.1}, row="o_orderkey", name=called)
+    return found.select(called(F.col("o_orderkey")).alias("row_id"), "stratum", "component", "split")
 
 
 @query()

@@ -73,6 +73,61 @@ def test_splits_keep_components_whole(spark):
     assert sorted(map(repr, again.collect())) == sorted(map(repr, got.collect()))
 
 
+def smallest_reachable(edges, nodes):
+    up = {n: n for e in edges for n in e} | {n: n for n in nodes}
+
+    def top(n):
+        while up[n] != n:
+            up[n] = n = up[up[n]]
+        return n
+
+    for a, b in edges:
+        low, high = sorted((top(a), top(b)))
+        up[high] = low
+    return {n: top(n) for n in nodes}
+
+
+@pytest.mark.parametrize("kind", [int, str])
+def test_components_read_done_edges_once(spark, monkeypatch, kind):
+    r, written = random.Random(17), []
+    real = lineage.stored
+
+    def kept(df, what):
+        out = real(df, what)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(lineage, "stored", kept)
+    # groups tied to their smallest member, a few links between groups
+    groups = [(10 * g + k, 10 * g) for g in range(300) for k in range(1, 10)] + [(r.randrange(3000), r.randrange(3000)) for _ in range(20)]
+    # a chain whose ids are in order, one whose ids aren't, a dense part, twins and loops
+    far = [*range(4001, 4300)]
+    r.shuffle(far)
+    other = [(3001 + i, 3000 + i) for i in range(400)] + list(zip(far, far[1:])) + [(r.randrange(5000, 5040), r.randrange(5000, 5040)) for _ in range(300)] + [(6000, 6001), (6001, 6000), (6002, 6002)]
+    nodes = [kind(n) for n in [*range(0, 3500), *far, *range(4990, 5050), 6000, 6001, 6002, 7000]]
+    for edges, most in ((groups, 4), (groups + other, 8))[kind is str :]:
+        edges = [(kind(a), kind(b)) for a, b in edges]
+        written.clear()
+        t = "long" if kind is int else "string"
+        found = lineage.components(spark.createDataFrame([*edges, (None, nodes[0])], f"a {t}, b {t}"), spark.createDataFrame([(n,) for n in [*nodes, *nodes[:5]]], f"node {t}"))
+        got = found.collect()
+        assert len(got) == len(nodes) and {x.node: x.component for x in got} == smallest_reachable(edges, nodes)
+        assert sum(written) <= most * (len(edges) + len(nodes)) / 2, (sum(written), len(edges), len(nodes))
+
+
+def test_manifest_of_numbers_is_that_of_their_names(spark):
+    r = random.Random(5)
+    rows = [(i, r.choice(["x", "y", None])) for i in range(8, 900)] + [(20, "x"), (None, "x")]
+    # ids below 8 and above 899 have no row: they tie rows and can name what they tie
+    edges = [(r.randrange(1000), r.randrange(1000)) for _ in range(400)] + [(3, 700), (1, 2), (None, 9), (950, 960)]
+    numbers, ties = spark.createDataFrame(rows, "k long, stratum string"), spark.createDataFrame(edges, "from_id long, to_id long")
+    called = lambda k: F.concat(F.lit("o"), k)
+    shares = {"train": 0.7, "development": 0.1, "test": 0.2}
+    want = splits.manifest(numbers.where("k is not null").select(called(F.col("k")).alias("row_id"), "stratum"), ties.select(*[called(F.col(c)).alias(c) for c in ties.columns]), shares)
+    got = splits.manifest(numbers, ties, shares, row="k", name=called).select(called(F.col("k")).alias("row_id"), "stratum", "component", "split")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() == 893
+
+
 def test_sizes_of_splits_are_within_the_bound(spark):
     r = random.Random(9)
     parts = [(f"c{i}", r.choice(["x", None]), r.choice([0, 1, 2, 3, 40])) for i in range(4000)] + [("big", "x", 3000), ("bigger", "x", 4500), ("only", "z", 10)]
