@@ -117,10 +117,11 @@ def split_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, lines = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")
     own = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("to_id"))
     ties = orders.join(own, "o_custkey").where("o_orderkey > to_id").select(F.col("o_orderkey").alias("from_id"), "to_id")
-    copies = lines.groupBy("l_partkey", "l_suppkey", "l_quantity").agg(F.max("l_orderkey").alias("from_id"), F.min("l_orderkey").alias("to_id")).where("to_id < from_id")
+    first = lines.groupBy("l_partkey", "l_suppkey").agg(F.min("l_orderkey").alias("to_id"), F.max("l_orderkey").alias("last")).where("to_id < last").drop("last")
+    bought = lines.join(first, ["l_partkey", "l_suppkey"]).where("l_orderkey > to_id").select(F.col("l_orderkey").alias("from_id"), "to_id")
     called = lambda k: F.concat(F.lit("o"), k)
     rows = orders.select("o_orderkey", F.col("o_orderpriority").alias("stratum"))
-    found = splits.manifest(rows, ties.unionByName(copies.select("from_id", "to_id")), {"train": 0.8, "development": 0.1, "test": 0.1}, row="o_orderkey", name=called)
+    found = splits.manifest(rows, ties.unionByName(bought), {"train": 0.8, "development": 0.1, "test": 0.1}, row="o_orderkey", name=called)
     return found.select(called(F.col("o_orderkey")).alias("row_id"), "stratum", "component", "split")
 
 

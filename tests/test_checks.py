@@ -128,6 +128,15 @@ def test_manifest_of_numbers_is_that_of_their_names(spark):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() == 893
 
 
+def test_all_orders_of_a_part_and_supplier_stay_together(spark, tmp_path):
+    spark.createDataFrame([(k, k, "1-URGENT") for k in range(1, 9)], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    # part 1 of supplier 1 in four orders and quantities; part 1 or supplier 1 alone ties nothing, nor does one that is unknown
+    lines = [(1, 1, 1, 5.0), (2, 1, 1, 5.0), (3, 1, 1, 5.0), (4, 1, 1, 7.0), (5, 1, 2, 5.0), (6, 2, 1, 5.0), (7, None, 1, 5.0), (8, None, 1, 5.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.row_id: r.component for r in record_queries.QUERIES["split_manifest"](spark, str(tmp_path)).collect()}
+    assert got == {f"o{k}": "o1" if k <= 4 else f"o{k}" for k in range(1, 9)}
+
+
 def test_sizes_of_splits_are_within_the_bound(spark):
     r = random.Random(9)
     parts = [(f"c{i}", r.choice(["x", None]), r.choice([0, 1, 2, 3, 40])) for i in range(4000)] + [("big", "x", 3000), ("bigger", "x", 4500), ("only", "z", 10)]
