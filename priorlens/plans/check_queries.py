@@ -36,10 +36,12 @@ ORDER_BOOK = Rulebook(
 )
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _with_lines(orders: DataFrame, lines: DataFrame) -> DataFrame:
     line = F.struct(F.col("l_partkey").alias("partkey"), F.col("l_suppkey").alias("suppkey"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_shipdate").alias("shipdate"))
-    lines = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
-    return _t(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
+    # rows are dealt as they are, which are smaller than half-filled arrays
+    lines = lines.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate").repartition("l_orderkey")
+    lines = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
 
 
 @query("""
@@ -58,7 +60,9 @@ from orders left join customer on c_custkey = o_custkey left join a on k = o_ord
 def order_rulebook(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order against rules about it and its lines, read from their registry table."""
     book = ORDER_BOOK.with_rules(ORDER_BOOK.table(spark))
-    found = book.check(_orders(spark, sf_dir), {t: _t(spark, sf_dir, t) for t in ("customer", "part", "supplier")})
+    tables = {t: _t(spark, sf_dir, t) for t in ("customer", "part", "supplier")}
+    orders = book.looked_up(_t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"), tables)
+    found = book.check(_with_lines(orders, _t(spark, sf_dir, "lineitem")), tables, have=("customer", "buyer"), keep=["o_orderkey"])
     return found.select("o_orderkey", F.concat_ws("|", "errors").alias("errors"))
 
 
