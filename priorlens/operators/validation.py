@@ -9,9 +9,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.reasons import codes
-from ..sources.store import tasks_for
+from ..sources import store
 
 NO_TEXTS = "cast(array() as array<string>)"
 
@@ -85,37 +86,75 @@ def evidence_errors(packets: DataFrame, evidence: DataFrame) -> DataFrame:
     return j.withColumn("errors", found).drop("_rows")
 
 
+PLACES = ["evidence_pointer", "period_header_pointer", "year_header_pointer"]
+#: Documents are counted in so many parts by hash, to find those that are too large for one task.
+PARTS = 65_536
+
+
+def _part() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))
+
+
+def _dealt(facts: DataFrame, cells: DataFrame) -> tuple[int, list[int]]:
+    """The number of tasks for facts and cells, and the parts of documents that would crowd one of them."""
+    rows = facts.select(_part().alias("p")).unionAll(cells.select(_part().alias("p"))).groupBy("p").count().collect()
+    every = sum(r["count"] for r in rows)
+    n = max(facts.sparkSession.sparkContext.defaultParallelism, -(-every // store.TASK_ROWS))
+    return n, [r["p"] for r in rows if r["count"] > max(store.TASK_ROWS, 4 * every // n)]
+
+
+def _read_by_document(facts: DataFrame, cells: DataFrame, n: int) -> DataFrame:
+    """facts with the text of each place as ``_<place>``. Facts and cells are dealt once, by document; places then meet in
+    windows inside the task, which take no other shuffle and hold one place at a time."""
+    rows = facts.withColumns({"_at": F.lit(None).cast("string"), "_text": F.lit(None).cast("string")})
+    rows = rows.unionByName(cells.select("doc_id", F.col("pointer").alias("_at"), F.col("text").alias("_text")), allowMissingColumns=True).repartition(n, "doc_id")
+    for p in PLACES:
+        rows = rows.withColumn(f"_{p}", F.min("_text").over(Window.partitionBy("doc_id", F.coalesce("_at", p))))
+    return rows.where("_at is null").drop("_at", "_text")
+
+
+def _read_by_place(facts: DataFrame, cells: DataFrame, n: int) -> DataFrame:
+    """The same for documents of any size: every place is a keyed join, which shuffles the facts again."""
+    once = cells.repartition(n, "doc_id", "pointer").groupBy("doc_id", "pointer").agg(F.min("text").alias("_text"))
+    for p in PLACES:
+        facts = facts.repartition(n, "doc_id", p).join(once.select("doc_id", F.col("pointer").alias(p), F.col("_text").alias(f"_{p}")).hint("merge"), ["doc_id", p], "left")
+    return facts
+
+
 def fact_errors(facts: DataFrame, cells: DataFrame) -> DataFrame:
     """Adds ``errors``: every number is read again at its place. facts: claim_id, doc_id, evidence_pointer,
     value_span_start, value_span_end, value_raw, sign_policy, numeric_value, scale, numeric_value_base_units,
     balance_or_flow, period_start, period_end, period_duration_days, expected_header, fiscal_year,
     period_header_pointer, year_header_pointer; cells: doc_id, pointer, text; of several texts of a place the smallest counts.
-    Facts without header pointers aren't held against headers. Nothing is gathered: every place is a keyed join, in as many tasks as the rows ask for."""
-    n = tasks_for(facts, cells)
-    places = ["evidence_pointer", "period_header_pointer", "year_header_pointer"]
-    once = cells.repartition(n, "doc_id", "pointer").groupBy("doc_id", "pointer").agg(F.min("text").alias("_text"))
-    j = facts
-    for p in places:
-        j = j.repartition(n, "doc_id", p).join(once.select("doc_id", F.col("pointer").alias(p), F.col("_text").alias(f"_{p}")).hint("merge"), ["doc_id", p], "left")
-    claims = facts.select("claim_id").repartition(n, "claim_id").groupBy("claim_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    j = j.repartition(n, "claim_id").join(claims.hint("merge"), "claim_id", "left")
+    Facts without header pointers aren't held against headers. Nothing is gathered. Facts and cells go through one shuffle by
+    document, but those of crowded documents, and what was found goes through one by claim, as bits."""
+    n, crowded = _dealt(facts, cells)
+    dec = lambda c: F.col(c).try_cast("decimal(38,10)")
+    days = F.datediff(F.col("period_end").try_cast("date"), F.col("period_start").try_cast("date")) + 1
+    # what needs no cell is known before rows are dealt
+    known = facts.withColumns({"_days": (F.col("balance_or_flow") == "flow") & _differs(days, F.col("period_duration_days")), "_flip": F.col("sign_policy") == "outflow_to_positive"})
+    placed = cells.select("doc_id", "pointer", "text").where("doc_id is not null and pointer is not null")
+    if crowded:
+        some = _part().isin(crowded)
+        j = _read_by_document(known.where(~some), placed.where(~some), n).unionByName(_read_by_place(known.where(some), placed.where(some), n))
+    else:
+        j = _read_by_document(known, placed, n)
     at = lambda p: F.col(f"_{p}")
     tight = lambda c: F.regexp_replace(c, r"\s+", "")
-    cell, start, end = at(places[0]), F.col("value_span_start"), F.col("value_span_end")
+    cell, start, end = at(PLACES[0]), F.col("value_span_start"), F.col("value_span_end")
     read = F.substring(cell, start + 1, end - start)
     value = _number(read)
-    signed = F.when(F.col("sign_policy") == "outflow_to_positive", -value).otherwise(value)
-    dec = lambda c: F.col(c).try_cast("decimal(38,10)")
+    signed = F.when(F.col("_flip"), -value).otherwise(value)
     base = signed.cast("decimal(24,6)") * dec("scale").cast("decimal(14,4)")
-    days = F.datediff(F.col("period_end").try_cast("date"), F.col("period_start").try_cast("date")) + 1
-    found = codes(
-        (F.col("_n") > 1, "claim_id_repeated"), (cell.isNull(), "evidence_cell_missing"),
-        (cell.isNotNull() & _differs(read, F.col("value_raw")), "value_span_mismatch"), (cell.isNotNull() & value.isNull(), "value_not_numeric"),
-        (value.isNotNull() & _differs(signed, dec("numeric_value")), "signed_value_mismatch"), (value.isNotNull() & _differs(base, dec("numeric_value_base_units")), "base_units_mismatch"),
-        ((F.col("balance_or_flow") == "flow") & _differs(days, F.col("period_duration_days")), "period_length_mismatch"),
-        (F.col(places[1]).isNotNull() & ~F.coalesce(tight(at(places[1])).contains(tight(F.col("expected_header"))), F.lit(False)), "period_header_mismatch"),
-        (F.col(places[2]).isNotNull() & ~F.coalesce(at(places[2]).contains(F.col("fiscal_year").cast("string")), F.lit(False)), "year_header_mismatch"),
-    )
+    rules = [
+        (cell.isNull(), "evidence_cell_missing"), (cell.isNotNull() & _differs(read, F.col("value_raw")), "value_span_mismatch"), (cell.isNotNull() & value.isNull(), "value_not_numeric"),
+        (value.isNotNull() & _differs(signed, dec("numeric_value")), "signed_value_mismatch"), (value.isNotNull() & _differs(base, dec("numeric_value_base_units")), "base_units_mismatch"), (F.col("_days"), "period_length_mismatch"),
+        (F.col(PLACES[1]).isNotNull() & ~F.coalesce(tight(at(PLACES[1])).contains(tight(F.col("expected_header"))), F.lit(False)), "period_header_mismatch"),
+        (F.col(PLACES[2]).isNotNull() & ~F.coalesce(at(PLACES[2]).contains(F.col("fiscal_year").cast("string")), F.lit(False)), "year_header_mismatch"),
+    ]
+    bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(broken, 1 << k).otherwise(0) for k, (broken, _) in enumerate(rules)])
+    j = j.select(*facts.columns, bits.alias("_bits")).repartition(n, "claim_id").withColumn("_n", F.count("claim_id").over(Window.partitionBy("claim_id")))
+    found = codes((F.col("_n") > 1, "claim_id_repeated"), *[(F.col("_bits").bitwiseAND(F.lit(1 << k)) != 0, code) for k, (_, code) in enumerate(rules)])
     return j.withColumn("errors", found).select(*facts.columns, "errors")
 
 

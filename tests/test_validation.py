@@ -36,6 +36,38 @@ def test_facts_repeated_missing_and_negative(spark):
     assert validation.fact_errors(spark.createDataFrame([], FACT), cells).count() == 0
 
 
+def test_facts_of_a_crowded_document(spark, monkeypatch):
+    """Documents too large for a task are joined by place, all others dealt once: the errors are the same, unknown places too."""
+    fact = lambda d, k: (f"{d}-{k % 90}", d, f"/v{k}" if k % 7 else None, 0, 3, f"{100 + k % 5}", "preserve", f"{100 + k % 3}", "1", f"{100 + k % 5}", "balance", None, None, None, "June 30", 2024, f"/h{k % 4}", None if k % 5 else "/y", 1)
+    rows = [*[fact("big", k) for k in range(120)], *[fact(f"d{k % 9}", k) for k in range(60)], fact(None, 1), fact("lone", 2), (None, *fact("d1", 3)[1:]), (None, *fact("d1", 4)[1:])]
+    texts = [(d, f"/v{k}", f"{100 + k % 4}") for d in ("big", *[f"d{x}" for x in range(9)]) for k in range(110)] + [(d, f"/h{k}", "June 30,") for d in ("big", "d2") for k in range(3)]
+    texts += [("big", "/y", "FY 2024"), ("d5", "/y", "2023"), ("d5", None, "FY 2024"), (None, "/v1", "101"), ("big", "/v1", None), ("big", "/v2", "100")]
+    facts, cells = spark.createDataFrame(rows, FACT), spark.createDataFrame(texts, "doc_id string, pointer string, text string")
+    found = lambda: sorted((repr(tuple(x)) for x in validation.fact_errors(facts, cells).collect()))
+    assert not validation._dealt(facts, cells)[1]
+    want = found()
+    assert len(want) == len(rows)
+    monkeypatch.setattr(store, "TASK_ROWS", 10)
+    n, crowded = validation._dealt(facts, cells)
+    assert n > 100 and 0 < len(crowded) < 13
+    monkeypatch.setattr(validation, "_dealt", lambda *_: (8, crowded))
+    assert found() == want
+    monkeypatch.setattr(validation, "_read_by_document", validation._read_by_place)
+    assert found() == want
+
+
+def test_facts_are_dealt_twice(spark):
+    """By document and by claim: before, they went through four shuffles with all that the rules read."""
+    texts = spark.range(3000).select(F.concat("id", F.lit("-d")).alias("doc_id"), F.concat_ws("", *[F.sha2(F.concat("id", F.lit(f"-{i}")), 512) for i in range(8)]).alias("text"))
+    text = lambda x: F.lit(x).cast("string")
+    row = {"claim_id": F.col("doc_id"), "evidence_pointer": text("/v"), "value_span_start": F.lit(0), "value_span_end": F.length("text"), "value_raw": F.col("text"), "period_header_pointer": text("/h"), "year_header_pointer": text("/y"), "fiscal_year": F.lit(2024)}
+    facts = texts.select(*[row.get(name, F.lit(None).cast(kind) if name != "doc_id" else F.col("doc_id")).alias(name) for name, kind in (c.split() for c in FACT.split(", "))])
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    before = written()
+    checked = validation.fact_errors(facts, texts.select("doc_id", F.lit("/v").alias("pointer"), "text")).select("claim_id", "errors").where("array_contains(errors, 'value_not_numeric')")
+    assert checked.count() == 3000 and written() - before < 8_500_000  # 3 MB of texts on either side
+
+
 def test_annotations_without_columns_or_facts(spark):
     contract = {"required_top_level": ["item_id", "facts", "method"], "assessment_file_required_top_level": ["questions"]}
     df = spark.createDataFrame([("i",)], "item_id string")
