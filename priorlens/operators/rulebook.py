@@ -190,7 +190,7 @@ class Rulebook:
         columns, late = records.columns if keep is None else list(keep), self._late()
         df = self.looked_up(records, tables, have=have)
         # rules over the record: those before the first stop that has to wait are tested now, as far as they need no elements
-        passed, early, rest, waits = F.lit(True), [], [], False
+        passed, early, rest, waits = F.lit(True), [], [], keep is None  # with all columns kept, there is nothing to gain
         for k, r in enumerate(x for x in self.rules if not x.part):
             if waits or self._names(r.applies, late):
                 rest.append((r, None))
